@@ -55,7 +55,7 @@ def group_size(df: DataFrame, keys, name: str = "n") -> DataFrame:
     """Row count of each key, attached to its rows (partial counts, then a join)."""
     keys = list(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, keys) if keys else df.crossJoin(counts)
+    return df.join(counts, keys) if keys else df.withColumn(name, counts.scalar())
 
 
 def hash_ordinal(df: DataFrame, keys, digest: Column, tie, name: str = "ordinal") -> DataFrame:

@@ -60,3 +60,25 @@ def sql_uniform(seed, *exprs: str) -> str:
 def sql_digest(seed, *exprs: str) -> str:
     key = " || '::' || ".join([f"'{seed}'"] + [f"({e})::varchar" for e in exprs])
     return f"sha256({key})"
+
+
+def sql_values(name: str, columns, rows) -> str:
+    """A CTE of constant rows."""
+
+    def lit(v):
+        if v is None:
+            return "null"
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, float):
+            return f"{v!r}::double"
+        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"{name}({', '.join(columns)}) as (values {body})"
+
+
+def sql_case(expr: str, mapping: dict) -> str:
+    """Constant lookup as CASE, null when absent."""
+    quote = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return "case " + expr + " " + " ".join(f"when {quote(k)} then {quote(v)}" for k, v in mapping.items()) + " end"
