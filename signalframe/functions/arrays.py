@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``.
+
+    The optimiser inlines a computed column into the lambda that uses it, which
+    would recompute it for every array element; a lambda parameter is not inlined.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
 
@@ -18,17 +27,19 @@ def spread(x: Column, ddof: int = 0) -> Column:
     """Standard deviation; ``ddof=0`` population, ``ddof=1`` sample.
 
     Moments are taken about the first element in one fold, so a large offset
-    does not cancel and the mean is not recomputed per element.
+    does not cancel and no second pass is needed.
     """
-    n = F.size(x).cast("double")
-    origin = F.get(x, F.lit(0))
-    moments = F.aggregate(
-        F.transform(x, lambda v: v - origin),
-        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
-        lambda acc, d: F.struct((acc["s"] + d).alias("s"), (acc["q"] + d * d).alias("q")),
-        lambda acc: F.greatest(acc["q"] - acc["s"] * acc["s"] / n, F.lit(0.0)),
-    )
-    return F.sqrt(moments / F.nullif(n - F.lit(float(ddof)), F.lit(0.0)))
+
+    def step(acc, v):
+        d = v - acc["o"]
+        return F.struct(acc["o"].alias("o"), (acc["s"] + d).alias("s"), (acc["q"] + d * d).alias("q"), (acc["n"] + 1.0).alias("n"))
+
+    def finish(acc):
+        m2 = F.greatest(acc["q"] - acc["s"] * acc["s"] / acc["n"], F.lit(0.0))
+        return F.sqrt(m2 / F.nullif(acc["n"] - F.lit(float(ddof)), F.lit(0.0)))
+
+    zero = F.struct(F.coalesce(F.get(x, F.lit(0)).cast("double"), F.lit(0.0)).alias("o"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0.0).alias("n"))
+    return F.when(F.size(x) > 0, F.aggregate(x, zero, step, finish))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,16 +66,20 @@ def doubles(x: Column) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / total(e))
+    def scaled(top):
+        return let(F.transform(x, lambda v: F.exp(v - top)), lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t)))
+
+    return let(F.array_max(x), scaled)
 
 
 def quantile(x: Column, q) -> Column:
     """Linear-interpolated quantile of one bounded array."""
     level = q if isinstance(q, Column) else F.lit(float(q))
-    s = F.array_sort(x)
-    place = level * (F.size(x) - 1)
-    lo = F.floor(place).cast("int")
-    hi = F.ceil(place).cast("int")
-    return F.get(s, lo) + (place - lo) * (F.get(s, hi) - F.get(s, lo))
+
+    def pick(s):
+        place = level * (F.size(s) - 1)
+        lo = F.floor(place).cast("int")
+        hi = F.ceil(place).cast("int")
+        return F.get(s, lo) + (place - lo) * (F.get(s, hi) - F.get(s, lo))
+
+    return let(F.array_sort(x), pick)

@@ -16,25 +16,25 @@ def zscore(df: DataFrame, eps_mode: str = "add") -> DataFrame:
     ``add`` sd + 1e-8, ``floor`` max(sd, 1e-8), ``one`` sd 0 becomes 1,
     ``sample`` sample sd + 1e-12.
     """
-    centred = df.withColumn("__m", A.mean(F.col("x"))).withColumn(
-        "__s", _guard(A.spread(F.col("x"), 1 if eps_mode == "sample" else 0), eps_mode)
-    )
-    return centred.withColumn("x", F.transform("x", lambda v: (v - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
+    x = F.col("x")
+    sd = _guard(A.spread(x, 1 if eps_mode == "sample" else 0), eps_mode)
+    stats = F.struct(A.mean(x).alias("m"), sd.alias("s"))
+    return df.withColumn("x", A.let(stats, lambda p: F.transform(x, lambda v: (v - p["m"]) / p["s"])))
 
 
 def minmax(df: DataFrame, eps_mode: str = "zero") -> DataFrame:
     """Scale to [-1, 1]. ``zero``: a constant row becomes 0; ``floor``: range at least 1e-8."""
-    lo, hi = F.array_min("x"), F.array_max("x")
-    ranged = df.withColumn("__lo", lo).withColumn("__r", hi - lo)
-    if eps_mode == "zero":
-        scaled = F.when(
-            F.col("__r") == 0, F.transform("x", lambda v: v * 0.0)
-        ).otherwise(F.transform("x", lambda v: 2.0 * (v - F.col("__lo")) / F.nullif(F.col("__r"), F.lit(0.0)) - 1.0))
-    elif eps_mode == "floor":
-        scaled = F.transform("x", lambda v: 2.0 * (v - F.col("__lo")) / F.greatest(F.col("__r"), F.lit(EPS)) - 1.0)
-    else:
+    if eps_mode not in ("zero", "floor"):
         raise ValueError(f"unknown eps_mode {eps_mode!r}")
-    return ranged.withColumn("x", scaled).drop("__lo", "__r")
+    x = F.col("x")
+    stats = F.struct(F.array_min(x).alias("lo"), (F.array_max(x) - F.array_min(x)).alias("r"))
+
+    def scaled(p):
+        if eps_mode == "floor":
+            return F.transform(x, lambda v: 2.0 * (v - p["lo"]) / F.greatest(p["r"], F.lit(EPS)) - 1.0)
+        return F.transform(x, lambda v: F.when(p["r"] == 0, 0.0).otherwise(2.0 * (v - p["lo"]) / F.nullif(p["r"], F.lit(0.0)) - 1.0))
+
+    return df.withColumn("x", A.let(stats, scaled))
 
 
 def maxabs(df: DataFrame, eps_mode: str = "one") -> DataFrame:
@@ -44,7 +44,7 @@ def maxabs(df: DataFrame, eps_mode: str = "one") -> DataFrame:
         "one": F.when(peak == 0, F.lit(1.0)).otherwise(peak),
         "floor": F.greatest(peak, F.lit(EPS)),
     }[eps_mode]
-    return df.withColumn("__p", guarded).withColumn("x", F.transform("x", lambda v: v / F.col("__p"))).drop("__p")
+    return df.withColumn("x", A.let(guarded, lambda p: F.transform("x", lambda v: v / p)))
 
 
 def scale(df: DataFrame, k: float) -> DataFrame:

@@ -134,9 +134,21 @@ def weighted_sample(items: DataFrame, draws: DataFrame, weights: dict[str, float
     return at.join(placed, [dataset, "__pos"]).select(draw, dataset, key)
 
 
+def _as_number(metric: str) -> Column:
+    return F.col(metric).try_cast("double")
+
+
 def rank_runs(df: DataFrame, metric: str) -> DataFrame:
-    """Runs by a metric stored as text, unparsable ones last."""
-    return df.withColumn("__v", F.try_to_number(metric, F.lit("9999999990.999999999")).cast("double")).orderBy(F.desc_nulls_last("__v")).drop("__v")
+    """Runs by a metric stored as text, best first, unparsable ones last."""
+    return df.withColumn("__v", _as_number(metric)).orderBy(F.desc_nulls_last("__v")).drop("__v")
+
+
+def place_runs(df: DataFrame, metric: str, key: str, name: str = "place") -> DataFrame:
+    """Rank number of each run (1 = best) without one global sort task."""
+    v = F.coalesce(-_as_number(metric), F.lit(float("inf")))
+    bucket = F.when(v == float("inf"), F.lit(2**40)).otherwise(monotone_bucket(v))
+    out = ordinal(df.withColumn("__v", v), [], ["__v", key], bucket, name)
+    return out.withColumn(name, F.col(name) + 1).drop("__v")
 
 
 def best_epoch(history: DataFrame, metric: str, min_delta: float = 0.0, negate: bool = False, keys=("run_id",), epoch: str = "epoch") -> DataFrame:

@@ -29,28 +29,33 @@ def windows(signals: DataFrame, window: int, step: int, tail: str = "drop") -> D
     """
     if tail not in TAILS:
         raise ValueError(f"unknown tail policy {tail!r}; expected one of {TAILS}")
-    n_here = F.size("x")
-    end = F.col("t0") + n_here
     fits = (F.pmod(F.col("frame"), F.lit(step)) == 0) & (F.col("halo") >= max(window - step, 0))
     guard = F.when(fits, F.col("t0")).otherwise(
         F.raise_error(F.lit("frame must be a multiple of step and halo at least window - step"))
     )
-    starts = F.when(
-        n_here > 0,
-        F.sequence(guard, F.least(F.col("t0") + F.col("frame"), end) - 1, F.lit(step).cast("long")),
-    ).otherwise(F.array().cast("array<bigint>"))
+    n_here = F.size("x")
+    end = F.col("t0") + n_here
     has_full = end >= window
     last_full = F.floor((end - window) / step).cast("long") * step
-    after = F.when(has_full, last_full + step).otherwise(F.lit(0))
-    ends_here = n_here < F.col("frame") + F.col("halo")
+    facts = F.struct(
+        end.alias("end"),
+        (n_here < F.col("frame") + F.col("halo")).alias("ends_here"),
+        has_full.alias("has_full"),
+        last_full.alias("last_full"),
+        F.when(has_full, last_full + step).otherwise(F.lit(0)).alias("after"),
+        F.when(
+            n_here > 0,
+            F.sequence(guard, F.least(F.col("t0") + F.col("frame"), end) - 1, F.lit(step).cast("long")),
+        ).otherwise(F.array().cast("array<bigint>")).alias("starts"),
+    )
     rule = {
-        "drop": lambda s: F.lit(False),
-        "floor": lambda s: (F.pmod(end, F.lit(step)) != 0) & (s == F.floor(end / step) * step),
-        "all": lambda s: F.lit(True),
-        "keep": lambda s: (s == after) & (~has_full | (last_full + window < end)),
-        "next": lambda s: s == after,
+        "drop": lambda p, s: F.lit(False),
+        "floor": lambda p, s: (F.pmod(p["end"], F.lit(step)) != 0) & (s == F.floor(p["end"] / step) * step),
+        "all": lambda p, s: F.lit(True),
+        "keep": lambda p, s: (s == p["after"]) & (~p["has_full"] | (p["last_full"] + window < p["end"])),
+        "next": lambda p, s: s == p["after"],
     }[tail]
-    kept = F.filter(starts, lambda s: (s + window <= end) | (ends_here & rule(s)))
+    kept = A.let(facts, lambda p: F.filter(p["starts"], lambda s: (s + window <= p["end"]) | (p["ends_here"] & rule(p, s))))
     rest = [c for c in signals.columns if c not in ("x", "t0", "frame", "halo")]
     cut = signals.select(*rest, "t0", "x", F.explode(kept).alias("start"))
     piece = F.slice(F.col("x"), (F.col("start") - F.col("t0") + 1).cast("int"), window)
@@ -213,15 +218,16 @@ def annotation_windows(ann: DataFrame, window: float, last: str = "overlap") ->
     n = F.floor(F.col("duration") / window).cast("int")
     regular = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.col("onset") + k * window)
     rest = F.col("duration") - n * window
-    starts = regular
     if last == "overlap":
         tail = F.when(rest > 0, F.array(F.col("onset") + F.col("duration") - window)).otherwise(
             F.array().cast("array<double>")
         )
         starts = F.concat(regular, tail)
-    elif last != "drop":
+    elif last == "drop":
+        starts = regular
+    else:
         raise ValueError(f"unknown last-window rule {last!r}")
-    return ann.filter(n >= 1).withColumn("start", F.explode(starts))
+    return ann.filter(F.col("duration") >= window).withColumn("start", F.explode(starts))
 
 
 def crop_wake(ann: DataFrame, minutes: float = 30.0, wake: str = "W", keys=("recording_id",)) -> DataFrame:
