@@ -64,13 +64,23 @@ def dwt_stack(windows: DataFrame, length: int, wavelet: str = "db6", levels: int
     off = (kernel - len(lo)) // 2 - kernel // 2
     kept = (length + 2 * (kernel // 2) - kernel) // 2 + 1
 
+    edge = max(kernel, -2 * off)
+    zeros = F.array_repeat(F.lit(0.0), edge)
+
     def level(x, taps):
-        def at(i):
-            n = F.floor(i * kept / F.lit(length)).cast("int") * 2
-            parts = [F.coalesce(F.when(n + (k + off) >= 0, F.get(x, n + (k + off))), F.lit(0.0)) * float(w) for k, w in enumerate(taps) if w]
-            return sum(parts[1:], parts[0])
+        used = [(k, float(w)) for k, w in enumerate(taps) if w]
+
+        def coefficient(padded):
+            def at(n):
+                parts = [F.get(padded, n * 2 + (k + off + edge)) * w for k, w in used]
+                return sum(parts[1:], parts[0])
+
+            return F.transform(F.sequence(F.lit(0), F.lit(kept - 1)), at)
+
+        def upsample(half):
+            return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.get(half, F.floor(i * kept / F.lit(length)).cast("int")))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at)
+        return A.let(F.concat(zeros, x, zeros), lambda padded: A.let(coefficient(padded), upsample))
 
     out = windows.withColumn("__a", F.col("x"))
     names = []
