@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Up to this many non-zero weights the map becomes plain arithmetic in generated
 # code; beyond it one numpy product per Arrow batch is faster and keeps plans small.
@@ -30,7 +31,7 @@ def apply_matrix(x: Column, matrix: np.ndarray) -> Column:
         return F.when(fits, F.array(*rows)).otherwise(wrong)
     weights = np.ascontiguousarray(matrix.T)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def product(col: pd.Series) -> pd.Series:
         if not len(col):
             return pd.Series([], dtype=object)
