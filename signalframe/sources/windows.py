@@ -94,7 +94,7 @@ def prep_summary(df: DataFrame, params: dict, label: str = "label", label_names:
         F.sum("n").alias("n"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(label).cast("string"), "n")))).alias("classes"),
     )
-    splits = F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", F.struct("n", "classes")))))
+    splits = F.map_from_entries(F.collect_list(F.struct("split", F.struct("n", "classes"))))
     extra = [F.lit(json.dumps(params, sort_keys=True)).alias("parameters"), F.lit(json.dumps(label_names or {}, sort_keys=True)).alias("label_map")]
     return per.agg(splits.alias("splits")).select(F.to_json(F.struct("splits", *extra)).alias("summary"))
 
