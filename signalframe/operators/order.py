@@ -4,7 +4,7 @@ A plain ``row_number() over (partition by key)`` sends every row of a key to one
 task. Here a key is cut into buckets by an expression that never decreases along
 the order; work inside a bucket is local, and only one row per (key, bucket)
 takes part in the running total that joins the buckets up. The result is exactly
-what the one-level window would give.
+what the one-level window would give. Keys and buckets must not be null.
 """
 
 from __future__ import annotations
@@ -38,15 +38,10 @@ def _join_up(local, data, keys, sums):
     before = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
     totals = data.groupBy(*keys, _B).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     offsets = totals.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.col(_B).alias("__kb"),
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__off_{n}") for n in sums],
+        *keys, _B, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__off_{n}") for n in sums]
     )
-    on = local[_B].eqNullSafe(offsets["__kb"])
-    for k in keys:
-        on = on & local[k].eqNullSafe(offsets[f"__k_{k}"])
     cols = [c for c in local.columns if c not in sums and c != _B]
-    return local.join(offsets, on).select(
+    return local.join(offsets, [*keys, _B]).select(
         *cols, *[(F.col(n) + F.col(f"__off_{n}")).alias(n) for n in sums]
     )
 
@@ -65,10 +60,45 @@ def hash_ordinal(df: DataFrame, keys, digest: Column, tie, name: str = "ordinal"
     return out.drop("__digest")
 
 
+def hash_threshold(df: DataFrame, keys, digest: Column, tie: str, quota: Column) -> DataFrame:
+    """Per key the ``(digest, tie)`` of its ``quota``-th row in hash order.
+
+    Returns ``(keys, limit)``; a key with at most ``quota`` rows has no limit and a
+    quota below one gives the empty limit. Bucket counts find the one bucket in
+    which the boundary falls, so only a 65 536th of the rows is ever ranked and
+    the payload of the rows is not shuffled. ``quota`` may use the keys' columns.
+    """
+    keys = list(keys)
+    slim = df.select(*keys, digest.alias("__d"), F.col(tie).alias("__t"), quota.cast("long").alias("__q"))
+    slim = slim.withColumn(_B, F.substring("__d", 1, 4))
+    upto = W.partitionBy(*keys).orderBy(_B).rowsBetween(W.unboundedPreceding, 0)
+    counts = slim.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("__c"), F.max("__q").alias("__q"))
+    counts = counts.withColumn("__upto", F.sum("__c").over(upto))
+    total = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.max("__q").alias("__q"))
+    edge = counts.filter((F.col("__q") >= 1) & (F.col("__upto") >= F.col("__q")) & (F.col("__upto") - F.col("__c") < F.col("__q")))
+    edge = edge.select(*keys, _B, (F.col("__q") - F.col("__upto") + F.col("__c")).alias("__rank"))
+    inside = W.partitionBy(*keys, _B).orderBy("__d", "__t")
+    ranked = slim.drop("__q").join(edge, [*keys, _B]).withColumn("__rn", F.row_number().over(inside))
+    exact = ranked.filter(F.col("__rn") == F.col("__rank")).select(*keys, F.struct("__d", "__t").alias("__at"))
+    out = total.join(exact, keys, "left")
+    return out.select(
+        *keys, F.when(F.col("__n") <= F.col("__q"), F.lit(True)).otherwise(False).alias("__all"), F.col("__at").alias("limit")
+    )
+
+
+def hash_head(df: DataFrame, keys, digest: Column, tie: str, quota: Column) -> DataFrame:
+    """Exactly the first ``quota`` rows of each key in hash order."""
+    keys = list(keys)
+    limits = hash_threshold(df, keys, digest, tie, quota)
+    at = F.struct(digest.alias("__d"), F.col(tie).alias("__t"))
+    kept = df.join(limits, keys).filter(F.col("__all") | F.coalesce(at <= F.col("limit"), F.lit(False)))
+    return kept.drop("__all", "limit")
+
+
 def monotone_bucket(value: Column, bits: int = 12) -> Column:
     """Non-decreasing integer bucket of any real number."""
     squash = 0.5 + 0.5 * value / (1.0 + F.abs(value))
-    return F.floor(squash * F.lit(float(2**bits))).cast("long")
+    return F.coalesce(F.floor(squash * F.lit(float(2**bits))).cast("long"), F.lit(-1).cast("long"))
 
 
 def previous(df: DataFrame, keys, t: str, cols: dict[str, str], block: int = 65536) -> DataFrame:

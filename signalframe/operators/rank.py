@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from .order import hash_ordinal, monotone_bucket, ordinal
+from .order import hash_head, hash_ordinal, monotone_bucket, ordinal
 
 
 def first_occurrence(df: DataFrame, keys, order) -> DataFrame:
@@ -89,16 +89,15 @@ def cap_class(df: DataFrame, cls, ratio: float, seed=42, label: str = "label", s
     """Limit class ``cls`` to ``int(ratio * median(other class counts))`` per split."""
     other = df.filter(F.col(label) != cls).groupBy(split, label).agg(F.count(F.lit(1)).alias("__c"))
     caps = other.groupBy(split).agg(F.floor(ratio * F.percentile("__c", 0.5)).alias("__cap"))
-    ranked = hash_ordinal(df.filter(F.col(label) == cls), [split], H.digest(seed, key), [key], "__r")
-    kept = ranked.join(caps, split, "left").filter(F.col("__cap").isNull() | (F.col("__r") < F.col("__cap")))
-    return df.filter(F.col(label) != cls).unionByName(kept.select(*df.columns))
+    mine = df.filter(F.col(label) == cls).join(caps, split, "left")
+    quota = F.coalesce("__cap", F.lit(2**62))
+    kept = hash_head(mine, [split], H.digest(seed, key), key, quota).select(*df.columns)
+    return df.filter(F.col(label) != cls).unionByName(kept)
 
 
 def cap_per_class(df: DataFrame, n: int, seed=42, label: str = "label", split: str = "split", key: str = "window_id") -> DataFrame:
-    """At most ``n`` hash-chosen rows per (split, class); the limit prunes map-side."""
-    w = W.partitionBy(split, label).orderBy("__d", key)
-    out = df.withColumn("__d", H.digest(seed, key))
-    return out.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__d", "__rn")
+    """At most ``n`` hash-chosen rows per (split, class)."""
+    return hash_head(df, [split, label], H.digest(seed, key), key, F.lit(n)).select(*df.columns)
 
 
 def shuffle(df: DataFrame, seed=42, key: str = "window_id", partitions: int | None = None) -> DataFrame:

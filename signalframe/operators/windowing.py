@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import hashing as H
 from .layout import _field, to_signals
-from .order import ordinal, previous
 
 TAILS = ("drop", "floor", "all", "keep", "next")
 
@@ -110,20 +109,45 @@ def patchify(df: DataFrame, patch: int, levels: int = 0) -> DataFrame:
 def segments(samples: DataFrame, cols, keys=("recording_id",), block: int = 65536) -> DataFrame:
     """Maximal runs over which all of ``cols`` stay constant.
 
-    Returns ``(keys, segment, start, stop, cols)`` with ``stop`` exclusive. Change
-    points come from a blocked lag; they are numbered with a two-level ordinal
-    and each is joined to its successor, so no task sees a whole recording.
+    Returns ``(keys, segment, start, stop, cols)`` with ``stop`` exclusive. Samples
+    are handled in blocks of ``block`` indices that overlap by one sample on each
+    side; blocks are joined up through one row per block, so no task sees a whole
+    recording and the samples are shuffled once.
     """
     keys, cols = list(keys), list(cols)
-    state = samples.select(*keys, "t", *cols, F.struct(*cols).alias("__state"))
-    marked = previous(state, keys, "t", {"__prev": "__state"}, block)
-    change = marked.filter(F.col("__prev").isNull() | ~F.col("__prev").eqNullSafe(F.col("__state")))
-    change = change.select(*keys, F.col("t").alias("start"), *cols)
-    numbered = ordinal(change, keys, ["start"], F.floor(F.col("start") / block), "segment")
-    follow = numbered.select(*keys, (F.col("segment") - 1).alias("segment"), F.col("start").alias("__next"))
-    ends = samples.groupBy(*keys).agg((F.max("t") + 1).alias("__len"))
-    out = numbered.join(follow, [*keys, "segment"], "left").join(ends, keys)
-    return out.select(*keys, "segment", "start", F.coalesce("__next", "__len").alias("stop"), *cols)
+    t = F.col("t")
+    own = F.floor(t / block).cast("long")
+    place = F.pmod(t, F.lit(block))
+    homes = F.array_compact(F.array(
+        F.when((place == 0) & (t > 0), own - 1), own, F.when(place == block - 1, own + 1)
+    ))
+    spread = samples.select(*keys, "t", *cols, F.struct(*cols).alias("__state"), own.alias("__own"), F.explode(homes).alias("__blk"))
+    in_block = W.partitionBy(*keys, "__blk").orderBy("t")
+    seen = spread.withColumn("__prev", F.lag("__state").over(in_block)).withColumn("__next", F.lead("t").over(in_block))
+    seen = seen.filter(F.col("__own") == F.col("__blk"))
+    starts = F.when(F.col("__prev").isNull() | ~F.col("__prev").eqNullSafe(F.col("__state")), t)
+    ends = F.when(F.col("__next").isNull(), t + 1)
+    # Boundaries: the start of every run and the end of the recording.
+    marks = seen.select(
+        *keys, "__blk", *cols,
+        F.explode(F.array_compact(F.array(
+            F.when(starts.isNotNull(), F.struct(starts.alias("at"), F.lit(True).alias("run"))),
+            F.when(ends.isNotNull(), F.struct(ends.alias("at"), F.lit(False).alias("run"))),
+        ))).alias("__m"),
+    ).select(*keys, "__blk", *cols, F.col("__m.at").alias("start"), F.col("__m.run").alias("__run"))
+    ordered = W.partitionBy(*keys, "__blk").orderBy("start")
+    local = marks.withColumn("__n", F.row_number().over(ordered) - 1).withColumn("__stop", F.lead("start").over(ordered))
+    per_block = marks.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__c"), F.min("start").alias("__first"))
+    along = W.partitionBy(*keys).orderBy("__blk")
+    joined = per_block.select(
+        *keys, "__blk",
+        F.coalesce(F.sum("__c").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+        F.lead("__first").over(along).alias("__following"),
+    )
+    out = local.filter("__run").join(joined, [*keys, "__blk"])
+    return out.select(
+        *keys, (F.col("__n") + F.col("__off")).alias("segment"), "start", F.coalesce("__stop", "__following").alias("stop"), *cols
+    )
 
 
 def segment_windows(samples: DataFrame, segs: DataFrame, window: int, step: int,
