@@ -65,7 +65,7 @@ def dx_codes(text: Column) -> Column:
 
 def read_dx_headers(spark: SparkSession, path: str, glob: str = "*.hea") -> DataFrame:
     """``(path, stem, codes)`` from whole header files."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     located = text.select(F.col("_metadata.file_path").alias("path"), "value")
     return located.select("path", stem_of(F.col("path")).alias("stem"), dx_codes(F.col("value")).alias("codes"))
 
