@@ -21,31 +21,43 @@ def to_signals(
     row. ``channels`` names the value columns of a wide table; without it the
     table is long with columns ``channel`` and ``v``.
     """
-    keys = list(keys)
-    long_form = channels is None
-    group = keys + (["channel"] if long_form else [])
-    values = ["v"] if long_form else list(channels)
+    group, values, packed = frames(samples, frame, halo, keys, channels)
+    meta = [
+        (F.col("frame_no") * frame).alias("t0"),
+        F.lit(frame).alias("frame"),
+        F.lit(halo).alias("halo"),
+    ]
+    if channels is None:
+        return packed.select(*group, *meta, _field("samples", "v").alias("x"))
+    return packed.select(*group, *meta, F.explode(channel_rows("samples", values)).alias("__c")).select(
+        *group, "__c.channel", "t0", "frame", "halo", "__c.x"
+    )
+
+
+def frames(samples: DataFrame, frame: int, halo: int, keys, channels=None):
+    """Samples packed per ``(keys, frame_no)`` as ``samples ARRAY<STRUCT<t, values>>``.
+
+    Returns the grouping columns, the value columns and the table, which is hash
+    partitioned on the grouping columns and the frame number.
+    """
+    group = list(keys) + (["channel"] if channels is None else [])
+    values = ["v"] if channels is None else list(channels)
     t = F.col("t")
     last = F.floor(t / frame).cast("long")
     first = F.greatest(F.floor((t - halo) / frame).cast("long"), F.lit(0).cast("long"))
     framed = samples.select(
         *group, "t", *values,
-        (F.explode(F.sequence(first, last)) if halo else last).alias("__f"),
-    )
-    packed = framed.groupBy(*group, "__f").agg(
-        F.array_sort(F.collect_list(F.struct("t", *values))).alias("__s")
+        (F.explode(F.sequence(first, last)) if halo else last).alias("frame_no"),
     )
-    meta = [
-        (F.col("__f") * frame).alias("t0"),
-        F.lit(frame).alias("frame"),
-        F.lit(halo).alias("halo"),
-    ]
-    if long_form:
-        return packed.select(*group, *meta, _field("v").alias("x"))
-    rows = F.array(*[F.struct(F.lit(c).alias("channel"), _field(c).alias("x")) for c in values])
-    return packed.select(*keys, *meta, F.explode(rows).alias("__c")).select(
-        *keys, "__c.channel", "t0", "frame", "halo", "__c.x"
+    packed = framed.groupBy(*group, "frame_no").agg(
+        F.array_sort(F.collect_list(F.struct("t", *values))).alias("samples")
     )
+    return group, values, packed
+
+
+def channel_rows(source: str, values) -> Column:
+    """Array of ``(channel, x)`` from an array of sample structs."""
+    return F.array(*[F.struct(F.lit(c).alias("channel"), _field(source, c).alias("x")) for c in values])
 
 
 def to_samples(signals: DataFrame, keys=("recording_id", "channel")) -> DataFrame:
@@ -91,5 +103,5 @@ def split_row(df: DataFrame, value: str, channels: int, length: int, names=None)
     return df.select(*rest, F.explode(rows).alias("__c")).select(*rest, "__c.channel", "__c.x")
 
 
-def _field(name: str) -> Column:
-    return F.transform("__s", lambda s: s[name].cast("double"))
+def _field(source: str, name: str) -> Column:
+    return F.transform(source, lambda s: s[name].cast("double"))

@@ -153,12 +153,18 @@ def place_runs(df: DataFrame, metric: str, key: str, name: str = "place") -> Dat
 def best_epoch(history: DataFrame, metric: str, min_delta: float = 0.0, negate: bool = False, keys=("run_id",), epoch: str = "epoch") -> DataFrame:
     """Checkpoint selection: an epoch improves when ``metric > best + min_delta``.
 
-    An improving epoch always exceeds every earlier epoch, so only running-maximum
-    records are folded; they are found with a two-level running maximum.
+    With no margin that is the first epoch of the highest value, a plain
+    aggregate. Otherwise an improving epoch still exceeds every earlier one, so
+    only a run's running-maximum records are folded; they are found with a
+    two-level running maximum and are few (a strictly rising series of a bounded
+    metric).
     """
     keys = list(keys)
     value = -F.col(metric) if negate else F.col(metric)
     ok = history.select(*keys, epoch, value.cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    if min_delta == 0:
+        top = F.max_by(F.struct(F.col(epoch).cast("long").alias("e"), F.col("__v").alias("v")), F.struct(F.col("__v"), -F.col(epoch)))
+        return ok.groupBy(*keys).agg(top.alias("__best")).select(*keys, F.col("__best.e").alias("best_epoch"), F.col("__best.v").alias("best_value"))
     block = F.floor(F.col(epoch) / 4096)
     inside = W.partitionBy(*keys, "__b").orderBy(epoch).rowsBetween(W.unboundedPreceding, -1)
     local = ok.withColumn("__b", block).withColumn("__local", F.max("__v").over(inside))

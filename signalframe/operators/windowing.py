@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import hashing as H
-from .layout import _field, to_signals
+from .layout import channel_rows, frames, to_signals
 
 TAILS = ("drop", "floor", "all", "keep", "next")
 
@@ -155,8 +155,7 @@ def segment_windows(samples: DataFrame, segs: DataFrame, window: int, step: int,
     """Complete windows cut inside each segment, so none crosses a boundary.
 
     ``segs`` carries whatever was decided per segment (label, split); filter it
-    first. Each window start is a row; samples are matched to windows on
-    (recording, coarse time bin) and packed per window, which is bounded.
+    first.
     """
     keys = list(keys)
     carried = [c for c in segs.columns if c not in (*keys, "start", "stop")]
@@ -168,29 +167,24 @@ def segment_windows(samples: DataFrame, segs: DataFrame, window: int, step: int,
 
 
 def _gather(samples, starts, window, keys, carried, channels):
-    """Attach ``window`` samples to each start by an equi join on time bins."""
-    bin_ = max(window, 1)
-    lo = F.floor(F.col("start") / bin_).cast("long")
-    hi = F.floor((F.col("start") + window - 1) / bin_).cast("long")
-    spread = starts.withColumn("__bin", F.explode(F.sequence(lo, hi)))
-    long_form = channels is None
-    values = ["v"] if long_form else list(channels)
-    extra = ["channel"] if long_form else []
-    binned = samples.select(*keys, *extra, "t", *values, F.floor(F.col("t") / bin_).cast("long").alias("__bin"))
-    matched = spread.join(binned, [*keys, "__bin"]).filter(
-        (F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + window)
-    )
-    packed = matched.groupBy(*keys, *carried, "start", *extra).agg(
-        F.array_sort(F.collect_list(F.struct("t", *values))).alias("__s")
+    """Cut ``window`` samples at each start.
+
+    Samples are packed into frames that overlap by ``window - 1`` and the starts of
+    a frame into one array, so samples are shuffled once and meet their starts in
+    a join of frames, not of samples. A window over the recording's end is short.
+    """
+    frame = max(1024, 4 * window)
+    group, values, packed = frames(samples, frame, window - 1, keys, channels)
+    wanted = starts.groupBy(*keys, F.floor(F.col("start") / frame).cast("long").alias("frame_no")).agg(
+        F.collect_list(F.struct("start", *[c for c in carried])).alias("__w")
     )
-    if long_form:
-        return packed.select(*keys, *carried, "start", "channel", F.transform("__s", lambda s: s["v"]).alias("x"))
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("channel"), _field(c).alias("x"))
-        for c in values
-    ])
-    return packed.select(*keys, *carried, "start", F.explode(rows).alias("__c")).select(
-        *keys, *carried, "start", "__c.channel", "__c.x"
+    cut = packed.join(wanted, [*keys, "frame_no"]).select(*group, "frame_no", "samples", F.explode("__w").alias("__w"))
+    at = (F.col("__w.start") - F.col("frame_no") * frame + 1).cast("int")
+    cut = cut.select(*group, *[F.col(f"__w.{c}").alias(c) for c in carried], F.col("__w.start").alias("start"), F.slice("samples", at, window).alias("samples"))
+    if channels is None:
+        return cut.select(*group, *carried, "start", F.transform("samples", lambda s: s["v"]).alias("x"))
+    return cut.select(*group, *carried, "start", F.explode(channel_rows("samples", values)).alias("__c")).select(
+        *group, *carried, "start", "__c.channel", "__c.x"
     )
 
 

@@ -109,7 +109,7 @@ clocked as (select recording_id, event_id, epoch(ts) - epoch(timestamp '2024-01-
 
 
 def event_clock(T):
-    sec = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200.0
+    sec = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', ts)") / 1e6
     return T.events.select(F.col("user_id").alias("recording_id"), "event_id", sec.alias("sec"), F.col("value").alias("v"))
 
 
