@@ -76,7 +76,7 @@ def _score_counts(df: DataFrame, keys, y: Column, score: Column) -> DataFrame:
         F.sum(y.cast("long")).alias("__p"), F.sum((1 - y).cast("long")).alias("__n")
     )
     down = by.withColumn("__o", -F.col("__s"))
-    return prefix_sum(down, keys, ["__o"], monotone_bucket(F.col("__o")), {"__cp": F.col("__p"), "__cn": F.col("__n")})
+    return prefix_sum(down, keys, ["__o"], monotone_bucket(F.col("__o"), 16), {"__cp": F.col("__p"), "__cn": F.col("__n")})
 
 
 def auroc(df: DataFrame, keys=(), y: str = "y", score: str = "score", name: str = "auroc") -> DataFrame:

@@ -322,7 +322,12 @@ def _(T):
     return channels.channel_id(named).select("recording_id", "channel", "idx", "channel_id")
 
 
-@query("channels_hashed_name_slot")
+_CRC = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(channel) + 1), lambda i: ord(substr(channel, i, 1))::bigint)), lambda a, b: list_reduce(list_concat([xor(a, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384::bigint))), 4294967295::bigint)"
+
+
+@query("channels_hashed_name_slot", f"""with {_CANON}, {sql_values('known', ['channel', 'slot'], [(n, i + 1) for i, n in enumerate(sorted(electrodes.POSITIONS))])},
+s as (select raw_name, case when channel = '' then 0 else coalesce(slot, 68 + {_CRC} % (512 - 68)) end::int as slot from named left join known using (channel))
+select raw_name, slot, count(*) as n from s group by 1, 2""")
 def _(T):
     return _raw_names(T).groupBy("raw_name", electrodes.name_slot(F.col("raw_name")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
 

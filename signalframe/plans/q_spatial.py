@@ -87,7 +87,12 @@ def _(T):
     return spatial.sample_views(T.embeddings.select(F.col("vec_id").alias("window_id")), seed=3)
 
 
-@query("spatial_sampled_views_applied")
+@query("spatial_sampled_views_applied", f"""with {MONTAGE}, {_AGG},
+sv as (select distinct vec_id, label, case when {sql_uniform('3:tier', 'vec_id', 'slot')} < 0.2::double then ({_HARD})[least(floor({sql_uniform('3:hard', 'vec_id', 'slot')} * 5)::int, 4) + 1]
+  else ({_STD})[least(floor({sql_uniform('3:standard', 'vec_id', 'slot')} * 3)::int, 2) + 1] end as view from embeddings, unnest(range(0, 2)) as r(slot)),
+hit as (select sv.vec_id, sv.view, r.tier from sv join refs r on r.montage_id = sv.label and r.view = sv.view and r.ref is not null),
+al as (select * from hit union all select vec_id, 'original', 'standard' from embeddings where vec_id not in (select vec_id from hit))
+select view, tier, count(*) as n from al group by 1, 2""")
 def _(T):
     packed = packed4(T)
     want = spatial.sample_views(packed.select("vec_id"), seed=3, key="vec_id").select("vec_id", "view").distinct()
@@ -290,10 +295,15 @@ def _(T):
     return got.select("recording_id", "start", "ch_i", "ch_j", rnd("value", 5).alias("value"))
 
 
-@query("pairs_condition_number")
+# Two channels of 32 samples: the correlation matrix [[1, r], [r, 1]] has condition (1 + |r|) / (1 - |r|).
+@query("pairs_condition_number", f"""with {X.C}, h as (select vec_id, x[1:32] as a, x[33:64] as b from embedded),
+c as (select vec_id, (list_dot_product(a, b) - 32 * list_avg(a) * list_avg(b)) / 31 as ab, list_var_samp(a) as aa, list_var_samp(b) as bb from (select vec_id, a, b from h)),
+r as (select vec_id, abs(0.9::double * ab / sqrt((0.9::double * aa + 0.1::double * (aa + bb) / 2) * (0.9::double * bb + 0.1::double * (aa + bb) / 2))) as r from c)
+select vec_id, {sql_rnd('(1 + r) / (1 - r)')} as condition_number from r""")
 def _(T):
-    cov = pairs.channel_covariance(packed_windows(T), ["recording_id", "start"])
-    return pairs.condition_number(cov, ["recording_id", "start", "band"]).select("recording_id", "start", rnd("condition_number", 4).alias("condition_number"))
+    two = layout.pack_channels(layout.split_row(T.embedded.select("vec_id", "x"), "x", 2, 32), ["vec_id"])
+    cov = pairs.channel_covariance(two, ["vec_id"], shrinkage="fixed", coef=0.1, load=0.0)
+    return pairs.condition_number(cov, ["vec_id", "band"]).select("vec_id", rnd("condition_number").alias("condition_number"))
 
 
 @query("pairs_combined_graph", f"""with {_Z}, {_cov_sql('zw', 'recording_id, start', '0.1::double', '0.0')}, a as (select recording_id, start, ch_i, ch_j, s as value from fin where ch_i <= ch_j),
@@ -307,7 +317,15 @@ def _(T):
     return got.select("recording_id", "start", "ch_i", "ch_j", rnd("value").alias("value"))
 
 
-@query("metrics_band_covariance_error")
+@query("metrics_band_covariance_error", f"""with {X.C}, {_BANDS_SQL},
+bins as (select band, k from bands, unnest(range(0, 8)) as r(k) where k * 64.0::double / 16 >= lo and k * 64.0::double / 16 < hi),
+kern as (select band, d, 2.0::double / 16 * sum(cos(2 * pi() * k * d / 16)) as g from bins, unnest(range(-15, 16)) as r(d) group by 1, 2),
+two as (select vec_id, channel, t, v as tv, v + 0.05::double * ((t + vec_id) % 3 - 1) as rv from samples4),
+bf as (select s.vec_id, s.channel, kern.band, s.t + kern.d as t, sum(s.tv * kern.g) as tv, sum(s.rv * kern.g) as rv from two s join kern on s.t + kern.d between 0 and 15 group by 1, 2, 3, 4),
+bl as (select vec_id, channel, band, list(tv order by t) as tv, list(rv order by t) as rv from bf group by 1, 2, 3),
+cc as (select a.vec_id, a.band, a.channel as ci, b.channel as cj, list_dot_product(a.tv, b.tv) / 15 as ct, list_dot_product(a.rv, b.rv) / 15 as cr from bl a join bl b on b.vec_id = a.vec_id and b.band = a.band),
+m as (select sum((cr - ct) ** 2) as e, sum(ct * ct) as s, (select count(*) * 5 * 16 from embeddings) as n from cc)
+select {sql_rnd('(e / n) / sqrt(greatest(s / n, 1e-10))', 8)} as error from m""")
 def _(T):
     packed = layout.pack_channels(T.windows4, ["vec_id"])
     recon = packed.withColumn("x", F.transform("x", lambda r: F.transform(r, lambda v, i: v + 0.05 * (F.pmod(i + F.col("vec_id"), F.lit(3)) - 1))))

@@ -270,7 +270,17 @@ def _(T):
     return got.select("vec_id", "kind", F.posexplode("x").alias("channel", "c")).select("vec_id", "kind", "channel", F.posexplode("c").alias("t", "v")).select("vec_id", "kind", "channel", "t", rnd("v").alias("v"))
 
 
-@query("corrupt_random_kinds")
+_BAD_RANK = f"row_number() over (partition by vec_id, t order by {sql_digest('9:bad', 'vec_id', 'channel')}, channel)"
+
+
+@query("corrupt_random_kinds", f"""with {_CORR},
+st as (select vec_id, greatest(avg(v * v), 1e-12::double) as power, greatest(stddev_samp(v), 1e-6::double) as sd from samples4 group by 1),
+j as (select s.*, lv.kind, lv.level, st.power, st.sd, {_BAD_RANK.replace('vec_id', 's.vec_id').replace('channel', 's.channel').replace('by s.vec_id, t', 'by s.vec_id, s.t')} as rk from samples4 s join lv on lv.vec_id = s.vec_id join st on st.vec_id = s.vec_id where lv.kind in ('noise', 'drift', 'bad_channel')),
+y as (select vec_id, kind, channel, t, case kind
+  when 'noise' then v + {_NORMAL('9:noise', 'vec_id', 'channel', 't')} * sqrt(power / pow(10.0::double, (20 + (-5 - 20) * level) / 10.0))
+  when 'drift' then v + (0.1::double + (3.0::double - 0.1::double) * level) * sd * sin(6.283::double * (0.5::double + 2.0::double * {sql_uniform('9:freq', 'vec_id', 'channel')}) * t / 15.0 + {sql_uniform('9:phase', 'vec_id', 'channel')} * 6.283::double)
+  else case when rk <= round_even(4 * 0.5::double * level, 0) then {_NORMAL('9:bad', 'vec_id', 'channel', 't')} * 1e-3::double else v end end as v from j)
+select vec_id, kind, channel::int as channel, {sql_rnd('sum(v)')} as s from y group by 1, 2, 3""")
 def _(T):
     got = _corrupted(T).filter(F.col("kind").isin("noise", "drift", "bad_channel"))
     return got.select("vec_id", "kind", F.posexplode("x").alias("channel", "c")).select("vec_id", "kind", "channel", rnd(A.total(F.col("c"))).alias("s"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +49,30 @@ def checksum(content: Column, max_bytes: int | None = None) -> Column:
 
 
 def file_checksum(spark: SparkSession, root: str, glob: str = "*", max_bytes: int | None = 1 << 24) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return files.select("path", "length", checksum(F.col("content"), max_bytes).alias("checksum"))
+    """``(path, length, checksum)`` with the rule of ``checksum``.
+
+    The listing does not read contents; each task streams the leading blocks of
+    its files, so a file's size does not matter and only ``max_bytes`` are read.
+    """
+    block = 1 << 20
+
+    def digest(uri: str) -> str:
+        source, path = pafs.FileSystem.from_uri(uri)
+        sha, seen = hashlib.sha1(), 0
+        with source.open_input_stream(path, compression=None) as stream:
+            while not max_bytes or seen < max_bytes:
+                part = stream.read(block)
+                if not part:
+                    break
+                sha.update(part)
+                seen += len(part)
+        return sha.hexdigest()
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(checksum=[digest(p) for p in pdf["path"]])
+
+    return recording_catalog(spark, root, glob).select("path", "length").mapInPandas(run, "path string, length bigint, checksum string")
 
 
 def verify_checksums(files: DataFrame, expected: DataFrame, key: str = "path") -> DataFrame:

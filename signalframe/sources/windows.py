@@ -75,16 +75,16 @@ def assert_non_empty_splits(df: DataFrame, splits=("train", "val", "test")) -> N
 def write_windows(df: DataFrame, path: str, splits=None, partitions: int | None = None, codec: str = "zstd") -> None:
     """Partitioned Parquet by dataset and split, clustered by recording.
 
-    Rows are spread by (dataset, split, recording, start), so one huge recording
-    does not become one writer task; a hash of the same keys picks the task.
+    Rows are range partitioned on (dataset, split, recording, start): a task writes
+    to one or two folders, files are even in size, and a huge recording is spread
+    over as many tasks as its windows fill.
     """
     if splits is not None:
         assert_non_empty_splits(df, splits)
-    spread = [c for c in ("dataset_id", "split", "recording_id", "start") if c in df.columns]
-    ordered = df.repartition(partitions, *spread) if partitions else df.repartition(*spread)
+    order = [c for c in ("dataset_id", "split", "recording_id", "start") if c in df.columns]
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     by = [c for c in ("dataset_id", "split") if c in df.columns]
-    inside = [c for c in ("dataset_id", "split", "recording_id", "start") if c in df.columns]
-    ordered.sortWithinPartitions(*inside).write.mode("append").partitionBy(*by).option("compression", codec).parquet(path)
+    ranged.sortWithinPartitions(*order).write.mode("append").partitionBy(*by).option("compression", codec).parquet(path)
 
 
 def prep_summary(df: DataFrame, params: dict, label: str = "label", label_names: dict | None = None) -> DataFrame:
