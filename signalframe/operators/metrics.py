@@ -69,36 +69,41 @@ def sigmoid(df: DataFrame, logits: str = "logits", out: str = "probs") -> DataFr
     return df.withColumn(out, F.transform(logits, lambda v: 1.0 / (1.0 + F.exp(-v))))
 
 
-def _score_counts(df: DataFrame, keys, y: Column, score: Column) -> DataFrame:
-    """Positives and negatives per distinct score, with running totals from the top."""
-    keys = list(keys)
-    by = df.groupBy(*keys, score.alias("__s")).agg(
-        F.sum(y.cast("long")).alias("__p"), F.sum((1 - y).cast("long")).alias("__n")
-    )
-    down = by.withColumn("__o", -F.col("__s"))
-    return prefix_sum(down, keys, ["__o"], monotone_bucket(F.col("__o"), 16), {"__cp": F.col("__p"), "__cn": F.col("__n")})
-
-
-def auroc(df: DataFrame, keys=(), y: str = "y", score: str = "score", name: str = "auroc") -> DataFrame:
-    """Binary AUROC per key, ties counted half; null when only one class occurs.
+def ranking_metrics(df: DataFrame, keys=(), y: str = "y", score: str = "score") -> DataFrame:
+    """``(keys, auroc, ap)``: binary AUROC with ties counted half and average precision.
 
     Rows collapse to distinct scores first; running totals over scores are
-    two-level, so neither a popular score nor a big key makes a hot task.
+    two-level, so neither a popular score nor a big key makes a hot task. Values
+    that need a class that does not occur are null.
     """
     keys = list(keys)
-    c = _score_counts(df, keys, F.col(y), F.col(score))
+    counts = df.groupBy(*keys, F.col(score).alias("__s")).agg(
+        F.sum(F.col(y).cast("long")).alias("__p"), F.sum((1 - F.col(y)).cast("long")).alias("__n")
+    )
+    return _ranked(counts, keys)
+
+
+def _ranked(counts: DataFrame, keys) -> DataFrame:
+    down = counts.withColumn("__o", -F.col("__s"))
+    c = prefix_sum(down, keys, ["__o"], monotone_bucket(F.col("__o"), 16), {"__cp": F.col("__p"), "__cn": F.col("__n")})
     above = F.col("__cp") - F.col("__p")
+    positives, negatives = F.sum("__p").cast("double"), F.sum("__n").cast("double")
     wins = F.sum(F.col("__n") * (above + 0.5 * F.col("__p")))
-    total = F.sum("__p").cast("double") * F.sum("__n")
-    return c.groupBy(*keys).agg((wins / F.nullif(total, F.lit(0.0))).alias(name))
+    gain = F.sum(F.col("__p") * F.col("__cp") / (F.col("__cp") + F.col("__cn")))
+    return c.groupBy(*keys).agg(
+        (wins / F.nullif(positives * negatives, F.lit(0.0))).alias("auroc"),
+        (gain / F.nullif(positives, F.lit(0.0))).alias("ap"),
+    )
+
 
+def auroc(df: DataFrame, keys=(), y: str = "y", score: str = "score") -> DataFrame:
+    """Binary AUROC per key, null when only one class occurs."""
+    return ranking_metrics(df, keys, y, score).drop("ap")
 
-def average_precision(df: DataFrame, keys=(), y: str = "y", score: str = "score", name: str = "ap") -> DataFrame:
+
+def average_precision(df: DataFrame, keys=(), y: str = "y", score: str = "score") -> DataFrame:
     """Sum over distinct scores of recall gain times precision."""
-    keys = list(keys)
-    c = _score_counts(df, keys, F.col(y), F.col(score))
-    gain = F.sum(F.col("__p") * F.col("__cp") / (F.col("__cp") + F.col("__cn")))
-    return c.groupBy(*keys).agg((gain / F.nullif(F.sum("__p").cast("double"), F.lit(0.0))).alias(name))
+    return ranking_metrics(df, keys, y, score).drop("auroc")
 
 
 def auroc_ovr(df: DataFrame, k: int, probs: str = "probs", renormalise: bool = True) -> DataFrame:
@@ -147,14 +152,22 @@ def multilabel_metrics(long: DataFrame, threshold: float = 0.5) -> DataFrame:
     for m, (num, den) in parts.items():
         aggs += [ratio(F.sum(num), F.sum(den)).alias(f"{m}_micro"), F.avg(ratio(num, den)).alias(f"{m}_macro")]
     base = counts.agg(*aggs, (F.sum(fp + fn) / F.sum("n")).alias("hamming_loss"))
-    binary = long.select("class_id", y.alias("y"), "score")
-    out = base
-    for name, fn_ in (("auroc", auroc), ("ap", average_precision)):
-        micro = fn_(binary, (), name="v")
-        classes = fn_(binary, ["class_id"], name="v")
-        macro = classes.agg(F.when(F.count("v") == F.count(F.lit(1)), F.avg("v")).alias("v"))
-        out = out.withColumn(f"{name}_micro", micro.scalar()).withColumn(f"{name}_macro", macro.scalar())
-    return out
+    # One ranking over the classes and, as one more group, over all of them pooled.
+    by_score = long.groupBy("class_id", F.col("score").alias("__s")).agg(
+        F.sum(y.cast("long")).alias("__p"), F.sum((1 - y).cast("long")).alias("__n")
+    )
+    group = F.explode(F.array(F.concat(F.lit("c"), F.col("class_id").cast("string")), F.lit("pooled")))
+    pooled = by_score.select(group.alias("__g"), "__s", "__p", "__n").groupBy("__g", "__s").agg(F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
+    is_class = F.col("__g") != "pooled"
+
+    def both(m):
+        defined = F.count(F.when(is_class, F.col(m))) == F.count(F.when(is_class, 1))
+        macro = F.when(defined, F.avg(F.when(is_class, F.col(m))))
+        return [F.max(F.when(~is_class, F.col(m))).alias(f"{m}_micro"), macro.alias(f"{m}_macro")]
+
+    ranks = _ranked(pooled, ["__g"]).agg(*both("auroc"), *both("ap"))
+    ranks = ranks.select(F.struct(*ranks.columns).alias("r"))
+    return base.withColumn("__r", ranks.scalar()).select(*base.columns, "__r.*")
 
 
 def masked_error(df: DataFrame, rel: float = 0.1) -> DataFrame:

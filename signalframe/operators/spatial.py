@@ -201,12 +201,15 @@ def geometric_graph(montage: DataFrame, sigma: float = 0.3, self_loops: bool = T
 
 
 def graph_laplacian(edges: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """``I - D^-1/2 A D^-1/2``; isolated channels keep the identity row."""
-    deg = edges.groupBy("montage_id", "ch_i").agg(F.sum("value").alias("d"))
-    inv = deg.select("montage_id", "ch_i", F.when(F.col("d") > eps, 1.0 / F.sqrt("d")).otherwise(0.0).alias("s"))
-    e = edges.join(inv, ["montage_id", "ch_i"]).withColumnRenamed("s", "si").join(inv.withColumnsRenamed({"ch_i": "ch_j", "s": "sj"}), ["montage_id", "ch_j"])
+    """``I - D^-1/2 A D^-1/2`` of a symmetric graph that lists both directions of an
+    edge; isolated channels keep the identity row."""
+    def inverse_root(side):
+        d = F.sum("value").over(W.partitionBy("montage_id", side))
+        return F.when(d > eps, 1.0 / F.sqrt(d)).otherwise(0.0)
+
+    e = edges.withColumn("__i", inverse_root("ch_i")).withColumn("__j", inverse_root("ch_j"))
     eye = F.when(F.col("ch_i") == F.col("ch_j"), 1.0).otherwise(0.0)
-    return e.select("montage_id", "ch_i", "ch_j", (eye - F.col("si") * F.col("value") * F.col("sj")).alias("value"))
+    return e.select("montage_id", "ch_i", "ch_j", (eye - F.col("__i") * F.col("value") * F.col("__j")).alias("value"))
 
 
 def as_operator(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..session import cut_lineage
 from .order import group_size, hash_ordinal, ordinal
 
 
@@ -58,8 +59,14 @@ def split_records(df: DataFrame, ratios=(0.8, 0.1, 0.1), seed=42, subject="subje
     return out
 
 
+def _ids(df, key):
+    """Distinct ids, written once: the ranking below reads them several times and
+    must not scan the corpus again for each."""
+    return cut_lineage(df.select(key).distinct())
+
+
 def _ranked_ids(df, key, seed):
-    ids = df.select(key).distinct()
+    ids = _ids(df, key)
     return group_size(hash_ordinal(ids, [], H.digest(seed, key), [key], "__r"), [], "__n")
 
 
@@ -105,7 +112,7 @@ def holdout_split(df: DataFrame, key: str = "subject_id", seed=7) -> DataFrame:
 
 
 def _listed(df, key):
-    ids = df.select(key).distinct()
+    ids = _ids(df, key)
     text = dict(ids.dtypes)[key] == "string"
     bucket = F.substring(key, 1, 3) if text else F.floor(F.col(key) / 1024)
     return group_size(ordinal(ids, [], [key], bucket, "__pos"), [], "__n")

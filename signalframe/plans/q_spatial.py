@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import electrodes
 from ..operators import layout, metrics, normalize, pairs, spatial
+from ..session import cut_lineage
 from . import fixtures as X
 from .q_wavelet import _BANDS_SQL, FS
 from .registry import query, rnd, sql_digest, sql_rnd, sql_uniform, sql_values
@@ -20,7 +21,8 @@ mxyz as (select m.*, t.x, t.y, t.z from montage m join tpos t on t.name = m.chan
 
 
 def montage(T):
-    ids = T.embeddings.select(F.col("label").alias("montage_id")).distinct()
+    # A montage table is small and read many times: write it once.
+    ids = cut_lineage(T.embeddings.select(F.col("label").alias("montage_id")).distinct())
     m = ids.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(3))))
     name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), F.pmod(F.col("montage_id") + F.col("pos") * 2, F.lit(7)) + 1)
     return m.select("montage_id", "pos", name.alias("channel"), (F.pmod(F.col("montage_id") * 3 + F.col("pos"), F.lit(5)) != 0).alias("good"),
