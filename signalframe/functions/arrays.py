@@ -82,4 +82,4 @@ def quantile(x: Column, q) -> Column:
         hi = F.ceil(place).cast("int")
         return F.get(s, lo) + (place - lo) * (F.get(s, hi) - F.get(s, lo))
 
-    return let(F.array_sort(x), pick)
+    return let(F.sort_array(x), pick)

@@ -112,7 +112,7 @@ def corrupt(packed: DataFrame, seed=0, keys=("window_id",), prob: float = 0.5, k
 
 def _chosen(keys, seed, n_channels, n_bad):
     """Indices of the ``n_bad`` channels with the smallest hash."""
-    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), n_channels - 1), lambda c: F.struct(H.digest(f"{seed}:bad", *keys, c).alias("d"), c.alias("c"))))
+    ranked = F.sort_array(F.transform(F.sequence(F.lit(0), n_channels - 1), lambda c: F.struct(H.digest(f"{seed}:bad", *keys, c).alias("d"), c.alias("c"))))
     return F.transform(F.slice(ranked, 1, F.greatest(n_bad, F.lit(0))), lambda s: s["c"])
 
 

@@ -50,7 +50,7 @@ def frames(samples: DataFrame, frame: int, halo: int, keys, channels=None):
         (F.explode(F.sequence(first, last)) if halo else last).alias("frame_no"),
     )
     packed = framed.groupBy(*group, "frame_no").agg(
-        F.array_sort(F.collect_list(F.struct("t", *values))).alias("samples")
+        F.sort_array(F.collect_list(F.struct("t", *values))).alias("samples")
     )
     return group, values, packed
 
@@ -80,7 +80,7 @@ def pack_channels(windows: DataFrame, keys, value: str = "x") -> DataFrame:
     Bounded by the montage (at most a few hundred channels of one window).
     """
     keys = list(keys)
-    packed = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("channel", value))).alias("__p"))
+    packed = windows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("channel", value))).alias("__p"))
     return packed.select(
         *keys,
         F.transform("__p", lambda s: s["channel"]).alias("channels"),

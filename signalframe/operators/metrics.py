@@ -220,7 +220,7 @@ def view_consistency(views: DataFrame, anchor: DataFrame | None = None, metric:
     if anchor is not None:
         j = views.join(anchor.withColumnRenamed("z", "__a"), key)
         return j.groupBy("view").agg(F.avg(dist(F.col("z"), F.col("__a"))).alias("v")).agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("consistency"))
-    packed = views.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("view", "z"))).alias("s"))
+    packed = views.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("view", "z"))).alias("s"))
     first = packed.select(key, F.posexplode("s").alias("i", "a"), "s")
     pairs = first.select(F.col("a.view").alias("va"), F.col("a.z").alias("za"), F.explode(F.slice(F.col("s"), F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("b"))
     per = pairs.select("va", F.col("b.view").alias("vb"), dist(F.col("za"), F.col("b.z")).alias("d"))
@@ -290,7 +290,7 @@ def perturb(windows: DataFrame, seed=0, key: str = "window_id", fractions=(0.1,
 
     n = F.size("x")
     order = lambda tag: F.transform(
-        F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.struct(H.digest(f"{seed}:{tag}", c).alias("d"), c.alias("c")))), lambda s: s["c"]
+        F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.struct(H.digest(f"{seed}:{tag}", c).alias("d"), c.alias("c")))), lambda s: s["c"]
     )
     x = F.col("x")
 

@@ -41,7 +41,9 @@ def _join_up(local, data, keys, sums):
         *keys, _B, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__off_{n}") for n in sums]
     )
     cols = [c for c in local.columns if c not in sums and c != _B]
-    return local.join(offsets, [*keys, _B]).select(
+    # The window left the rows partitioned and sorted on exactly the join columns,
+    # so a merge join costs them nothing and the offsets never reach the driver.
+    return local.join(offsets.hint("merge"), [*keys, _B]).select(
         *cols, *[(F.col(n) + F.col(f"__off_{n}")).alias(n) for n in sums]
     )
 

@@ -171,10 +171,10 @@ def best_epoch(history: DataFrame, metric: str, min_delta: float = 0.0, negate:
     tops = ok.withColumn("__b", block).groupBy(*keys, "__b").agg(F.max("__v").alias("__t"))
     before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     tops = tops.withColumn("__before", F.max("__t").over(before)).drop("__t")
-    records = local.join(tops, [*keys, "__b"]).filter(
+    records = local.join(tops.hint("merge"), [*keys, "__b"]).filter(
         F.col("__v") > F.greatest(F.coalesce("__local", F.lit(float("-inf"))), F.coalesce("__before", F.lit(float("-inf"))))
     )
-    folded = records.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("long").alias("e"), F.col("__v").alias("v")))).alias("__s"))
+    folded = records.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(epoch).cast("long").alias("e"), F.col("__v").alias("v")))).alias("__s"))
     start = F.struct(F.lit(-1).cast("long").alias("e"), F.lit(float("-inf")).alias("v"))
     best = F.aggregate("__s", start, lambda b, s: F.when(s["v"] > b["v"] + min_delta, s).otherwise(b))
     return folded.select(*keys, best.alias("__best")).select(*keys, F.col("__best.e").alias("best_epoch"), F.col("__best.v").alias("best_value"))
@@ -194,7 +194,7 @@ def pareto_front(df: DataFrame, perf: str, cost: str, maximize: bool = True) ->
     tops = tops.withColumn("__before", F.max("__t").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1))).drop("__t")
     local = per_cost.withColumn("__local", F.max("__best").over(W.partitionBy("__b").orderBy("__cost").rowsBetween(W.unboundedPreceding, -1)))
     low = F.lit(float("-inf"))
-    front = local.join(tops, "__b").filter(
+    front = local.join(tops.hint("merge"), "__b").filter(
         F.col("__best") > F.greatest(F.coalesce("__local", low), F.coalesce("__before", low))
     ).select("__cost", "__best")
     return rows.join(front, (rows[cost] == front["__cost"]) & (rows["__p"] == front["__best"])).drop("__p", "__cost", "__best")

@@ -66,7 +66,7 @@ def fold_summary(folds: DataFrame, metrics, expected: int, published: dict[str,
     long = unpivot_metrics(folds, metrics, [fold])
     ids = folds.select(fold).distinct()
     want = folds.sparkSession.range(expected).select(F.concat(F.lit("fold"), "id").alias(fold))
-    missing = want.join(ids, fold, "left_anti").agg(F.array_join(F.array_sort(F.collect_list(fold)), ",").alias("m")).scalar()
+    missing = want.join(ids, fold, "left_anti").agg(F.array_join(F.sort_array(F.collect_list(fold)), ",").alias("m")).scalar()
     n_folds = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = long.groupBy("metric").agg(
         F.avg("value").alias("mean"), F.when(F.count("value") > 1, F.stddev_samp("value")).alias("sd"), F.count("value").alias("n")

@@ -39,8 +39,8 @@ def reference_channels(montage: DataFrame, views=STANDARD_VIEWS + HARD_VIEWS, ca
     firsts = [F.min(F.when(F.col("__c") == l, F.col("pos"))).alias(f"__{l}") for l in labels]
     drawn = F.min_by("pos", F.when(F.col("good"), H.digest(seed, "montage_id", "channel")))
     m = named.groupBy("montage_id").agg(
-        F.array_sort(F.collect_list("pos")).alias("positions"),
-        F.array_sort(F.collect_list(F.when(F.col("good"), F.col("pos")))).alias("good"),
+        F.sort_array(F.collect_list("pos")).alias("positions"),
+        F.sort_array(F.collect_list(F.when(F.col("good"), F.col("pos")))).alias("good"),
         F.min("derivation_type").alias("derivation_type"),
         drawn.alias("__drawn"), *firsts,
     )
@@ -228,7 +228,7 @@ def combine_graphs(a: DataFrame, b: DataFrame, l1: float, l2: float, keys=("mont
 def montage_hash(montage: DataFrame, decimals: int = 4) -> DataFrame:
     """``(montage_id, montage_hash)`` over names, rounded coordinates and good pattern."""
     part = F.concat_ws(":", F.lpad(F.col("pos").cast("string"), 6, "0"), "channel", *[F.format_number(F.round(F.col(a), decimals) + 0.0, decimals) for a in "xyz"], F.col("good").cast("string"))
-    return montage.groupBy("montage_id").agg(F.substring(F.sha1(F.encode(F.concat_ws("|", F.array_sort(F.collect_list(part))), "utf-8")), 1, 16).alias("montage_hash"))
+    return montage.groupBy("montage_id").agg(F.substring(F.sha1(F.encode(F.concat_ws("|", F.sort_array(F.collect_list(part))), "utf-8")), 1, 16).alias("montage_hash"))
 
 
 def _spline_terms(cos: np.ndarray, order: int, terms: int) -> tuple[np.ndarray, np.ndarray]:

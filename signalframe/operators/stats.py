@@ -14,7 +14,7 @@ def manifest_stats(manifest: DataFrame) -> DataFrame:
     Distinct subjects and recordings are counted from partial distinct sets; the
     value lists are over dimensions with few values.
     """
-    sets = lambda c: F.array_sort(F.collect_set(c))
+    sets = lambda c: F.sort_array(F.collect_set(c))
     return manifest.agg(
         F.count(F.lit(1)).alias("count"),
         sets("dataset_id").alias("datasets"),
@@ -24,7 +24,7 @@ def manifest_stats(manifest: DataFrame) -> DataFrame:
         sets("num_channels").alias("channels"),
         sets("sampling_rate").alias("sampling_rates"),
         F.round(F.sum(F.col("window_end") - F.col("window_start")) / 3600.0, 3).alias("total_hours"),
-        F.array_sort(F.collect_set(F.when(~F.col("has_coordinates"), F.col("dataset_id")))).alias("without_coordinates"),
+        F.sort_array(F.collect_set(F.when(~F.col("has_coordinates"), F.col("dataset_id")))).alias("without_coordinates"),
     )
 
 
@@ -138,7 +138,7 @@ def pool(tokens: DataFrame, how: str, keys=("window_id",), position: str = "patc
         flat = spread.groupBy(*keys, "__d").agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("__v"))
     else:
         raise ValueError(f"unknown pooling {how!r}")
-    packed = flat.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__d", "__v"))).alias("__s"))
+    packed = flat.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__d", "__v"))).alias("__s"))
     return packed.select(*keys, F.transform("__s", lambda s: s["__v"]).alias(value))
 
 

@@ -144,7 +144,7 @@ def segments(samples: DataFrame, cols, keys=("recording_id",), block: int = 6553
         F.coalesce(F.sum("__c").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
         F.lead("__first").over(along).alias("__following"),
     )
-    out = local.filter("__run").join(joined, [*keys, "__blk"])
+    out = local.filter("__run").join(joined.hint("merge"), [*keys, "__blk"])
     return out.select(
         *keys, (F.col("__n") + F.col("__off")).alias("segment"), "start", F.coalesce("__stop", "__following").alias("stop"), *cols
     )

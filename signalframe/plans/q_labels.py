@@ -303,7 +303,7 @@ def _(T):
     named = T.samples.select(F.concat(F.lit("f"), F.lpad(rid.cast("string"), 9, "0")).alias("path"), "channel", F.when(dead, 3.0).otherwise(F.col("v")).alias("v"))
     have = named.groupBy("path", "channel").agg(F.stddev_pop("v").alias("s")).filter(F.col("s") > 1e-12).groupBy("path").agg(F.collect_set("channel").alias("h"))
     want = F.array(F.lit("qty"), F.lit("tax"), F.lit("emg"))
-    return have.select("path", F.array_join(F.array_sort(F.array_union("h", want)), ",").alias("u"), F.array_join(F.array_sort(F.array_except("h", want)), ",").alias("extra"))
+    return have.select("path", F.array_join(F.sort_array(F.array_union("h", want)), ",").alias("u"), F.array_join(F.sort_array(F.array_except("h", want)), ",").alias("extra"))
 
 
 @query("channels_select_by_index", f"""with {X.C}

@@ -92,7 +92,7 @@ def prep_summary(df: DataFrame, params: dict, label: str = "label", label_names:
     counts = df.groupBy("split", label).agg(F.count(F.lit(1)).alias("n"))
     per = counts.groupBy("split").agg(
         F.sum("n").alias("n"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(label).cast("string"), "n")))).alias("classes"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(label).cast("string"), "n")))).alias("classes"),
     )
     splits = F.map_from_entries(F.collect_list(F.struct("split", F.struct("n", "classes"))))
     extra = [F.lit(json.dumps(params, sort_keys=True)).alias("parameters"), F.lit(json.dumps(label_names or {}, sort_keys=True)).alias("label_map")]
