@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,23 +118,26 @@ def segments(samples: DataFrame, cols, keys=("recording_id",), block: int = 6553
     t = F.col("t")
     own = F.floor(t / block).cast("long")
     place = F.pmod(t, F.lit(block))
-    homes = F.array_compact(F.array(
-        F.when((place == 0) & (t > 0), own - 1), own, F.when(place == block - 1, own + 1)
-    ))
-    spread = samples.select(*keys, "t", *cols, F.struct(*cols).alias("__state"), own.alias("__own"), F.explode(homes).alias("__blk"))
+    first, last = place == 0, place == block - 1
+    homes = (
+        F.when(first & last, F.array(own - 1, own, own + 1))
+        .when(first, F.array(own - 1, own))
+        .when(last, F.array(own, own + 1))
+        .otherwise(F.array(own))
+    )
+    spread = samples.select(*keys, "t", F.struct(*cols).alias("__state"), own.alias("__own"), F.explode(homes).alias("__blk"))
     in_block = W.partitionBy(*keys, "__blk").orderBy("t")
     seen = spread.withColumn("__prev", F.lag("__state").over(in_block)).withColumn("__next", F.lead("t").over(in_block))
     seen = seen.filter(F.col("__own") == F.col("__blk"))
-    starts = F.when(F.col("__prev").isNull() | ~F.col("__prev").eqNullSafe(F.col("__state")), t)
-    ends = F.when(F.col("__next").isNull(), t + 1)
+    changes = F.col("__prev").isNull() | ~F.col("__prev").eqNullSafe(F.col("__state"))
+    closes = F.col("__next").isNull()
+    start = F.struct(t.alias("at"), F.lit(True).alias("run"))
+    stop = F.struct((t + 1).alias("at"), F.lit(False).alias("run"))
     # Boundaries: the start of every run and the end of the recording.
-    marks = seen.select(
-        *keys, "__blk", *cols,
-        F.explode(F.array_compact(F.array(
-            F.when(starts.isNotNull(), F.struct(starts.alias("at"), F.lit(True).alias("run"))),
-            F.when(ends.isNotNull(), F.struct(ends.alias("at"), F.lit(False).alias("run"))),
-        ))).alias("__m"),
-    ).select(*keys, "__blk", *cols, F.col("__m.at").alias("start"), F.col("__m.run").alias("__run"))
+    found = F.when(changes & closes, F.array(start, stop)).when(changes, F.array(start)).when(closes, F.array(stop))
+    marks = seen.select(*keys, "__blk", "__state", F.explode(found).alias("__m")).select(
+        *keys, "__blk", "__state", F.col("__m.at").alias("start"), F.col("__m.run").alias("__run")
+    )
     ordered = W.partitionBy(*keys, "__blk").orderBy("start")
     local = marks.withColumn("__n", F.row_number().over(ordered) - 1).withColumn("__stop", F.lead("start").over(ordered))
     per_block = marks.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__c"), F.min("start").alias("__first"))
@@ -146,7 +149,7 @@ def segments(samples: DataFrame, cols, keys=("recording_id",), block: int = 6553
     )
     out = local.filter("__run").join(joined.hint("merge"), [*keys, "__blk"])
     return out.select(
-        *keys, (F.col("__n") + F.col("__off")).alias("segment"), "start", F.coalesce("__stop", "__following").alias("stop"), *cols
+        *keys, (F.col("__n") + F.col("__off")).alias("segment"), "start", F.coalesce("__stop", "__following").alias("stop"), *[F.col(f"__state.{c}").alias(c) for c in cols]
     )
 
 

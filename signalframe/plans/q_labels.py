@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import electrodes, tables
-from ..operators import channels, labels, layout
+from ..operators import channels, labels
 from . import fixtures as X
 from .registry import query, rnd, sql_case, sql_rnd, sql_values
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import hashing as H
-from ..operators import augment, labels, layout, metrics, results, wavelet
+from ..operators import layout, metrics, results, wavelet
 from . import fixtures as X
-from .q_wavelet import _KINDS, _R2, HAAR2
-from .registry import query, rnd, sql_case, sql_digest, sql_rnd, sql_uniform, sql_values
+from .q_wavelet import HAAR2
+from .registry import query, rnd, sql_digest, sql_rnd, sql_uniform, sql_values
 
 P = X.F_
 
@@ -293,9 +293,6 @@ def _(T):
     return metrics.condition_grid(modal, _CONDITIONS, 2).select("window_id", "modality", "condition", "kind", rnd("level").alias("level"))
 
 
-_MOD = """ev as (select distinct user_id, event_type from events)"""
-
-
 @query("join_align_modalities", """with a as (select distinct user_id as k from events where event_type = 'click'), b as (select distinct o_custkey as k from orders where o_orderstatus = 'O'), c as (select s_suppkey as k from supplier)
 select coalesce(a.k, b.k, c.k) as window_id, a.k is not null as has_eeg, b.k is not null as has_ecg, c.k is not null as has_semg from a full join b on a.k = b.k full join c on c.k = coalesce(a.k, b.k)""")
 def _(T):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import tables
-from ..operators import layout, rank, splits, stats, windowing
+from ..operators import rank, splits, stats, windowing
 from . import fixtures as X
 from .q_labels import DATASETS_SQL, dataset_of, dataset_of_sql
 from .registry import query, rnd, sql_digest, sql_rnd, sql_uniform
@@ -223,8 +223,6 @@ def _(T):
 v as (select run_id, metric, try_cast(metric as double) as x from r)
 select run_id, metric, row_number() over (order by x desc nulls last, run_id) as place from v""")
 def _(T):
-    from ..operators.order import ordinal
-
     metric = F.when(F.col("o_orderkey") % 7 == 0, "nan?").otherwise(F.concat((F.col("o_orderkey") % 1000).cast("string"), F.lit(".5")))
     runs = T.orders.select(F.col("o_orderkey").alias("run_id"), metric.alias("metric"))
     return rank.place_runs(runs, "metric", "run_id").select("run_id", "metric", "place")

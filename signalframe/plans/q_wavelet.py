@@ -8,12 +8,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions import hashing as H
 from ..functions import wavelets as V
 from ..operators import augment, layout, normalize, rank, spectral, splits, wavelet, windowing
 from . import fixtures as X
 from .q_splits import _SPLIT
-from .q_windowing import digest_rows, digest_sql
 from .registry import query, rnd, sql_digest, sql_rnd, sql_uniform, sql_values
 
 _R2 = repr(math.sqrt(0.5)) + "::double"

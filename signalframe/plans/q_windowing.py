@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions import hashing as H
 from ..operators import layout, normalize, windowing
 from . import fixtures as X
 from .registry import query, rnd, sql_rnd, sql_uniform
