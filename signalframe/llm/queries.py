@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, shared_path
+from .mixing import mix
 from .quality import cascade
+from .simhash import near_groups
+from .token_files import read_tokens, with_crc, write_tokens
+
+#: Where the public tokenizers' files lie; the same on every worker.
+TOKENIZERS = "/opt/tokenizers"
 
 QUERIES = {}
 ORACLES = {}
@@ -45,3 +51,20 @@ select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols
   not (base_failed or 100 * n_upper > 50 * word_chars or word_chars < 3 * n_words or word_chars > 12 * n_words or 100 * n_symbols > 10 * n_words or 100 * n_dup_lines > 40 * n_lines) kept
 from v
 """
+
+
+@_query
+def op1_source_mix(spark, sf_dir):
+    return mix(documents(spark, sf_dir)).drop("row")
+
+
+@_query
+def op5_simhash(spark, sf_dir):
+    return near_groups(documents(spark, sf_dir))
+
+
+@_query
+def op6_token_files(spark, sf_dir):
+    folder = shared_path(spark, "token-files")
+    write_tokens(documents(spark, sf_dir), folder, f"{TOKENIZERS}/word_bpe_49k.json")
+    return with_crc(read_tokens(spark, folder))
