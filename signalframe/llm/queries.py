@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import documents, shared_path
+from .line_dedup import dedup_lines
 from .mixing import mix
 from .quality import cascade
 from .simhash import near_groups
@@ -68,3 +69,8 @@ def op6_token_files(spark, sf_dir):
     folder = shared_path(spark, "token-files")
     write_tokens(documents(spark, sf_dir), folder, f"{TOKENIZERS}/word_bpe_49k.json")
     return with_crc(read_tokens(spark, folder))
+
+
+@_query
+def op10_line_dedup(spark, sf_dir):
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
