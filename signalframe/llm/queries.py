@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import documents, shared_path
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .pieces import segmentations
 from .quality import cascade
 from .simhash import near_groups
 from .token_files import read_tokens, with_crc, write_tokens
@@ -74,3 +75,9 @@ def op6_token_files(spark, sf_dir):
 @_query
 def op10_line_dedup(spark, sf_dir):
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@_query
+def op9_sampled_pieces(spark, sf_dir):
+    out = segmentations(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return out.select("doc_id", "draw", "n_pieces", "log_prob", "value", "log_inclusion", "ids", "decoded")
