@@ -281,7 +281,7 @@ class Lattices:
             for j, (r, w, start, edges, phi, val) in enumerate(jobs):
                 own = path[ends[j] : ends[j + 1]]
                 whole = np.concatenate([edges, own])
-                done[r].append((whole, float(phi + (total[ends[j + 1] - 1] - zero[j] if len(own) else 0.0)), float(val)))
+                done[r].append((whole, float(share[whole].sum(dtype=np.float64)), float(val)))
                 for v, at, edge, who in branches[j]:
                     lead = np.concatenate([edges, path[ends[j] : at]])
                     heapq.heappush(open_[r], (-v, len(done[r]), at, edge, lead, int(place[who]), float(phi + before[at] - zero[j] + share[edge])))
