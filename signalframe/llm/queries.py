@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from .common import documents, shared_path
@@ -81,3 +82,8 @@ def op10_line_dedup(spark, sf_dir):
 def op9_sampled_pieces(spark, sf_dir):
     out = segmentations(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
     return out.select("doc_id", "draw", "n_pieces", "log_prob", "value", "log_inclusion", "ids", "decoded")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, text_of
+from .common import keep, row_key, text_of, words_of
 from .components import components
 
 BLOCK = 512
 #: Distinct fingerprints the plan is estimated on.
-SAMPLE = 4096
+SAMPLE = 2048
 #: Cost of one emitted row in units of one compared pair.
 ROW_COST = 400.0
 _STEP = 1 << 15
@@ -49,10 +49,15 @@ def _shingles(words: list[bytes], k: int):
     return map(b" ".join, zip(*[words[i:] for i in range(k)]))
 
 
-def fingerprint(text: bytes, k: int, lanes: int) -> str:
-    """Hex fingerprint of ``64 * lanes`` bits; a bit is set if over half the shingles set it."""
+def fingerprint(text: bytes, k: int, lanes: int, once: bool = False) -> str:
+    """Hex fingerprint of ``64 * lanes`` bits; a bit is set if over half the shingles set it.
+
+    ``once`` counts a repeated shingle one time.
+    """
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(s, 42) for s in _shingles(text.lower().split(), k)], dtype=np.uint64)
+    if once:
+        hashes = np.unique(hashes)
     if not len(hashes):
         return "0" * 16 * lanes
     out = []
@@ -67,16 +72,17 @@ def fingerprint(text: bytes, k: int, lanes: int) -> str:
     return "".join(out)
 
 
-def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1) -> DataFrame:
-    """``(doc_id, fingerprint)`` per row; A-Z is lower-cased, a null text is empty, a text without words gives zero."""
+def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, once: bool = False) -> DataFrame:
+    """``(doc_id, row, text_key, fingerprint)`` per row; A-Z is lower-cased, a null text is empty, a text without words gives zero."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            prints = [fingerprint(t, k, lanes) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
+            texts = batch.column(3).cast(pa.binary()).to_pylist()
+            prints = [fingerprint(t, k, lanes, once) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints, pa.string())], ["doc_id", "row", "text_key", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, text_key long, fingerprint string")
 
 
 def _lanes_of(prints: list[str]) -> np.ndarray:
@@ -231,10 +237,14 @@ def _pairs_in(lanes, flips, side, e, distance):
                 x, y = np.flatnonzero((flips == fa) & (side == sa)), np.flatnonzero((flips == fb) & (side == sb))
                 if not len(x) or not len(y):
                     continue
-                d = sum(np.bitwise_count(lanes[x, k][:, None] ^ lanes[y, k][None, :]).astype(np.int16) for k in range(lanes.shape[1]))
-                i, j = np.nonzero(d <= distance)
-                if len(i):
-                    found.append(np.stack([x[i], y[j], d[i, j]]))
+                for at in range(0, len(x), 512):
+                    z = x[at : at + 512]
+                    d = np.bitwise_count(lanes[z, 0][:, None] ^ lanes[y, 0][None, :])
+                    for k in range(1, lanes.shape[1]):
+                        d += np.bitwise_count(lanes[z, k][:, None] ^ lanes[y, k][None, :])
+                    i, j = np.nonzero(d <= distance)
+                    if len(i):
+                        found.append(np.stack([z[i], y[j], d[i, j]]))
     out = np.concatenate(found, axis=1)
     same = (lanes[out[0]] == lanes[out[1]]).all(axis=1)
     return out[:, ~same]
@@ -283,12 +293,13 @@ def _links(pieces, distance):
     return run
 
 
-def links(prints: DataFrame, distance: int = 3, lanes: int = 1) -> DataFrame:
+def links(prints: DataFrame, distance: int = 3, lanes: int = 1, block: int | None = None) -> DataFrame:
     """``(a, b, bits)``: links between different fingerprints of ``prints(fingerprint)``.
 
     The connected parts of the result are those of all pairs within ``distance``
     bits, and so are those of its links of at most any smaller number of bits.
     """
+    block = block or BLOCK
     total = prints.count()
     share = min(1.0, SAMPLE / max(total, 1))
     picked = (F.pmod(F.xxhash64("fingerprint"), F.lit(1_000_003)) < int(share * 1_000_003) + 1) if share < 1 else F.lit(True)
@@ -297,9 +308,9 @@ def links(prints: DataFrame, distance: int = 3, lanes: int = 1) -> DataFrame:
     names = [f"f{k}" for k in range(lanes)]
     schema = "part int, key long, flips int, " + ", ".join(f"{n} long" for n in names)
     rows = prints.select("fingerprint").mapInArrow(_keys(pieces), schema)
-    big = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-    big = big.select("part", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(big, ["part", "key"], "left")
+    big = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    big = big.select("part", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = rows.join(keep(big, "large-buckets"), ["part", "key"], "left")
     blocks = F.coalesce("blocks", F.lit(1))
     own = F.pmod(F.xxhash64(*names), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -334,3 +345,55 @@ def near_groups(docs: DataFrame, k: int = 3, lanes: int = 1, distance: int = 3)
     distinct = prints.select("fingerprint").distinct()
     found = keep(groups(prints, links(keep(distinct, "distinct"), distance, lanes)), "groups")
     return prints.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``(text_key, shingles)``: the different k-word shingles of each text, A-Z lower-cased."""
+    lower = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = docs.select("text_key", words_of(lower).alias("w"))
+    n = F.greatest(F.size("w") - (k - 1), F.lit(1))
+    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
+    return words.select("text_key", F.array_distinct(F.when(F.size("w") > 0, hashes).otherwise(F.array().cast("array<long>"))).alias("shingles"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, lanes: int = 2, distance: int = 24) -> DataFrame:
+    """``(doc_id, row, text_key, group)`` per row: groups linked by shingle sets at least ``similarity`` alike.
+
+    SimHash over the set of k-word shingles finds the pairs, the closest ones of
+    every group by a least spanning forest; each is then decided on its exact
+    Jaccard similarity. Two texts without words are alike. ``group`` is a text
+    key; see :func:`keep_one` for the choice within a group.
+    """
+    prints = keep(fingerprints(docs, k, lanes, once=True), "set-fingerprints")
+    same = prints.groupBy("fingerprint").agg(F.min("text_key").alias("least"))
+    same = keep(same, "distinct-sets")
+    pairs = keep(links(same.select("fingerprint"), distance, lanes, block=4096).groupBy("a", "b").agg(F.min("bits").alias("bits")), "near-pairs")
+    name = lambda c: same.select(F.col("fingerprint").alias(c), F.col("least").alias(f"{c}_key"))
+    wanted = pairs.join(name("a"), "a").join(name("b"), "b").select("a_key", "b_key")
+    own = prints.select("fingerprint", "text_key").distinct().join(same, "fingerprint").filter("text_key <> least")
+    wanted = keep(wanted.unionByName(own.select(F.col("least").alias("a_key"), F.col("text_key").alias("b_key"))), "pairs-to-verify")
+    nodes = keep(wanted.select(F.col("a_key").alias("text_key")).union(wanted.select("b_key")).distinct(), "nodes")
+    texts = docs.select(F.xxhash64(text_of()).alias("text_key"), "text").join(nodes, "text_key")
+    sets = keep(_shingle_sets(texts, k).dropDuplicates(["text_key"]), "shingle-sets")
+    both = wanted.join(sets.select(F.col("text_key").alias("a_key"), F.col("shingles").alias("x")), "a_key")
+    both = both.join(sets.select(F.col("text_key").alias("b_key"), F.col("shingles").alias("y")), "b_key")
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    alike = both.filter((union == 0) | (common >= F.lit(similarity) * union)).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    roots = keep(components(keep(alike, "alike")), "roots")
+    found = prints.join(roots, prints.text_key == roots.node, "left")
+    return found.select("doc_id", "row", "text_key", F.coalesce("root", "text_key").alias("group"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, the one of least ``doc_id``.
+
+    A null ``doc_id`` comes after all others; of rows with equal ids the one of the
+    least hash stays, of equal rows one; an empty table stays empty.
+    """
+    own = docs.columns
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = near_duplicates(docs, **options).groupBy("group").agg(F.min(rank).alias("best"))
+    best = keep(best.select(F.col("best.row").alias("__keep")).distinct(), "kept-rows")
+    rows = docs.withColumn("__row", row_key(docs)).dropDuplicates(["__row"])
+    return rows.join(best, F.col("__row") == F.col("__keep")).select(*[f"`{c}`" for c in own])
