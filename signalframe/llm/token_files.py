@@ -29,19 +29,29 @@ _ENCODERS: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose words never cross white space.
 
-    Each different word is encoded once by the library, several in one call with
-    the library's own end token between them; a text is its words' ids in order.
+    Each different word is encoded once by the library; a text is its words' ids in
+    order. A word of letters and closing marks is taken as its letters (A-Z
+    in lower case) and its marks, where the tokenizer splits it anyway; many such letter
+    runs go in one text and part at the ends of words. All other words go one by one.
     """
 
-    def __init__(self, path: str, divider: str = "<|endoftext|>"):
+    _MARKS = b".,!?;:"
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.divider, self.divider_id = divider, self.tokenizer.token_to_id(divider)
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self):
         self.places: dict[bytes, int] = {}
+        self.runs: dict[str, np.ndarray] = {}
         self.ids = np.zeros(1 << 20, dtype=np.int32)
         self.ends = np.zeros(1 << 16, dtype=np.int64)
 
@@ -54,22 +64,36 @@ class WordEncoder:
         self.ids[at : at + len(ids)] = ids
         self.ends[n : n + len(lengths)] = at + np.cumsum(lengths)
 
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+
     def learn(self, words: list[bytes]):
-        """Encode new different words; those that hold the divider go one by one."""
-        plain = [w for w in words if self.divider.encode() not in w]
-        odd = [w for w in words if self.divider.encode() in w]
-        for at in range(0, len(plain), 512):
-            some = plain[at : at + 512]
-            text = self.divider.join(w.decode("utf-8", "replace") for w in some)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
-            cuts = np.flatnonzero(ids == self.divider_id)
-            lengths = np.diff(np.r_[-1, cuts, len(ids)]) - 1
-            self._append(ids[ids != self.divider_id], lengths)
-            self.places.update(zip(some, range(len(self.places), len(self.places) + len(some))))
-        for w in odd:
-            ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-            self._append(np.array(ids, dtype=np.int32), np.array([len(ids)]))
-            self.places[w] = len(self.places)
+        """Encode new different words."""
+        runs, parts = self.runs, []
+        for w in words:
+            letters = w.rstrip(self._MARKS)
+            run = letters.lower().decode("utf-8", "replace")  # A-Z only
+            parts.append((run, w[len(letters) :].decode()) if run.isalpha() else None)
+        new = [r for r in dict.fromkeys(p[0] for p in parts if p) if r not in runs]
+        for at in range(0, len(new), 256):
+            some = new[at : at + 256]
+            ids = self._one(" ".join(some))
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) == len(some):
+                runs.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends))))
+            else:  # letters that normalise to something else
+                runs.update((r, self._one(r)) for r in some)
+        for p in parts:
+            if p and p[1] and p[1] not in runs:
+                runs[p[1]] = self._one(p[1])
+        other = [w.decode("utf-8", "replace") for w, p in zip(words, parts) if p is None]
+        alone = iter([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(other, add_special_tokens=False)])
+        runs[""] = np.zeros(0, np.int32)
+        heads = [next(alone) if p is None else runs[p[0]] for p in parts]
+        tails = [runs["" if p is None else p[1]] for p in parts]
+        sizes = np.array([len(h) + len(t) for h, t in zip(heads, tails)])
+        self._append(np.concatenate([x for pair in zip(heads, tails) for x in pair]), sizes)
+        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words))))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of each text."""
