@@ -9,7 +9,8 @@ more is a passage by itself and forms a chunk of its own.
 Chunks met in more than one place by hash are candidates. They are compared by
 their bytes with the first place that has the same bytes, which keeps its lines;
 from all other places the chunk goes, together with the lines before and after it
-as far as they too equal the first place's neighbours.
+as far as they too equal the first place's neighbours (by 64-bit hash: a chunk's
+ends depend on what surrounds a passage, so its first and last lines fall outside).
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def _start(ends: Column, k: Column) -> Column:
 
 
 def _alike(a: Column, b: Column) -> Column:
-    """How many leading lines two arrays share."""
+    """How many leading elements two arrays share."""
     n = F.least(F.size(a), F.size(b))
     differ = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(a, i) != F.get(b, i)))
     return F.array_min(differ)
@@ -77,15 +78,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     often = keep(often, "repeated-hashes")
     marked = spots.join(often, "hash").groupBy("row").agg(F.collect_list("k").alias("ks"))
     # Only documents with a candidate give chunks; each brings its neighbours' lines.
-    found = cut.join(marked, "row").withColumn("k", F.explode("ks"))
+    # Lists that grow with the corpus are merged, not broadcast, at any size.
+    found = cut.join(marked.hint("merge"), "row").withColumn("k", F.explode("ks"))
     at, end = _start(F.col("ends"), F.col("k")), F.get("ends", F.col("k") - 1)
     # The neighbouring chunk and EDGE lines beyond: as far as foreign lines can move an end.
     above = _start(F.col("ends"), F.col("k") - 1) - EDGE
     below = F.coalesce(F.get("ends", F.col("k")), F.size("lines")) + EDGE
     above = F.greatest(above, F.lit(1))
+    hashes = lambda lines: F.transform(lines, lambda s: F.xxhash64(s))
     found = found.select(
         "doc_id", "row", at.alias("at"), end.alias("end"), F.array_join(F.slice("lines", at, end - at + 1), "\n").alias("chunk"),
-        F.reverse(F.slice("lines", above, at - above)).alias("above"), F.slice("lines", end + 1, below - end).alias("below"),
+        hashes(F.reverse(F.slice("lines", above, at - above))).alias("above"), hashes(F.slice("lines", end + 1, below - end)).alias("below"),
     ).withColumn("hash", F.xxhash64("chunk"))
     found = keep(found, "candidates")
     # The bytes are part of the grouping key; equal chunks of a task become one row before the shuffle.
@@ -108,7 +111,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = repeated(docs).groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last"))))).alias("__gone"))
     gone = keep(gone.withColumnRenamed("row", "__at"), "removed-lines")
-    rows = docs.withColumn("__row", row_key(docs)).join(gone, F.col("__row") == F.col("__at"), "left")
+    rows = docs.withColumn("__row", row_key(docs)).join(gone.hint("merge"), F.col("__row") == F.col("__at"), "left")
     rows = rows.withColumn("__lines", F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(1), F.size("__lines")), F.col("__gone"))
     cleaned = F.array_join(F.transform(left, lambda i: F.get("__lines", i - 1)), "\n")
