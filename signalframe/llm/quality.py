@@ -167,4 +167,8 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, order: list[dict]
             live = F.col("__by").isNull()
             df = df.withColumns({"__text": F.when(live, F.col("__text")), "__words": F.when(live, F.col("__words"))})
     more = [f"__{f}" for f in FEATURES] if features else []
-    return df.select(*own, F.col("__by").isNull().alias("kept"), F.col("__by").alias("rejected_by"), *more)
+    # A filter on the verdict would be pushed down through every step, each copying
+    # the ones before it; it stops at a generator, which makes one row of each row here.
+    verdict = F.explode(F.array(F.struct(F.col("__by").isNull().alias("kept"), F.col("__by").alias("by"))))
+    df = df.select(*own, *more, verdict.alias("__verdict"))
+    return df.select(*own, F.col("__verdict.kept").alias("kept"), F.col("__verdict.by").alias("rejected_by"), *more)
