@@ -20,6 +20,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, GAP), "")
 
 
+def shingle_hashes(words: Column, k: int) -> Column:
+    """64-bit hash of every run of ``k`` words; of all the words if there are fewer, none if there are none."""
+
+    # Single elements, not slices: a slice inside a lambda walks the whole array each
+    # time. The words are bound once per row, however they were made.
+    def hashes(w):
+        n = F.greatest(F.size(w) - (k - 1), F.lit(1))
+        one = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]))
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<long>"))
+
+    return F.element_at(F.transform(F.array(words), hashes), 1)
+
+
 def row_key(docs: DataFrame) -> Column:
     """64-bit key over every column: rows that agree in all columns share it."""
     return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])

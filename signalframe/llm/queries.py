@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from .common import documents, shared_path
+from .fingerprints import compare
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .pieces import segmentations
@@ -84,6 +85,11 @@ def op9_sampled_pieces(spark, sf_dir):
     return out.select("doc_id", "draw", "n_pieces", "log_prob", "value", "log_inclusion", "ids", "decoded")
 
 
+@_query
+def op4_fingerprints(spark, sf_dir):
+    return compare(documents(spark, sf_dir))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

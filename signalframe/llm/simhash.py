@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, row_key, text_of, words_of
+from .common import keep, row_key, shingle_hashes, text_of, words_of
 from .components import components
 
 BLOCK = 512
@@ -351,9 +351,7 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """``(text_key, shingles)``: the different k-word shingles of each text, A-Z lower-cased."""
     lower = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = docs.select("text_key", words_of(lower).alias("w"))
-    n = F.greatest(F.size("w") - (k - 1), F.lit(1))
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
-    return words.select("text_key", F.array_distinct(F.when(F.size("w") > 0, hashes).otherwise(F.array().cast("array<long>"))).alias("shingles"))
+    return words.select("text_key", F.array_distinct(shingle_hashes(F.col("w"), k)).alias("shingles"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, lanes: int = 2, distance: int = 24) -> DataFrame:
