@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import documents, shared_path
 from .fingerprints import compare
 from .line_dedup import dedup_lines
+from .lm import score
 from .mixing import mix
 from .pieces import segmentations
 from .quality import cascade
@@ -90,6 +91,11 @@ def op4_fingerprints(spark, sf_dir):
     return compare(documents(spark, sf_dir))
 
 
+@_query
+def op7_lm_scores(spark, sf_dir):
+    return score(documents(spark, sf_dir))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
