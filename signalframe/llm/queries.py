@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import documents, shared_path
 from .fingerprints import compare
+from .licenses import TEMPLATES, scan
 from .line_dedup import dedup_lines
 from .lm import score
 from .mixing import mix
 from .pieces import segmentations
 from .quality import cascade
 from .simhash import near_groups
+from .token_counts import attribute
 from .token_files import read_tokens, with_crc, write_tokens
 
 #: Where the public tokenizers' files lie; the same on every worker.
@@ -96,6 +98,35 @@ def op7_lm_scores(spark, sf_dir):
     return score(documents(spark, sf_dir))
 
 
+@_query
+def op2_license_scan(spark, sf_dir):
+    return scan(documents(spark, sf_dir))
+
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
+
+# Exact containment by joining shingles; a template of up to five words is one shingle.
+ORACLES["op2_license_scan"] = rf"""
+with t(license, text) as (values {_TEMPLATES}),
+every_text as (select license id, null::bigint doc_id, text from t union all select 'd' || row_number() over (), doc_id, text from documents where text is not null),
+w as (select id, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda x: x <> '') ws from every_text),
+s as (select id, doc_id, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) i, ws from w where len(ws) > 0),
+h as (select id, doc_id, i - 1 i, array_to_string(ws[i:i+4], ' ') s from s),
+n as (select id license, count(distinct s) n from h where id in (select license from t) group by 1),
+m as (select d.id, d.doc_id, n.license, count(distinct d.s) c, min(d.i) a, max(d.i) b, any_value(n.n) n
+      from h d join (select distinct id, s from h where id in (select license from t)) x on d.s = x.s join n on n.license = x.id
+      where d.id not in (select license from t) group by d.id, d.doc_id, n.license)
+select doc_id, license, c / n contained, a::int first_shingle, b::int last_shingle from m where c >= 0.8 * n
+"""
+
+
+@_query
+def op3_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return attribute(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", public_tokenizers.PATTERN)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
