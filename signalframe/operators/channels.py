@@ -56,16 +56,14 @@ def require_channels(channels: DataFrame, names: list[str], fs: float, keys=("re
     return counts.withColumn("problem", problem).filter(F.col("problem").isNotNull())
 
 
-def live_channels(samples: DataFrame, tol: float = 1e-12, probe: int = 3, path: str = "path") -> DataFrame:
+def live_channels(samples: DataFrame, tol: float = 1e-12, path: str = "path") -> DataFrame:
     """Per file and channel: does it carry signal here, is it in the kept set?
 
-    The kept set is the union of live channels over the first ``probe`` files in
-    name order. Returns ``(path, channel, live, kept, flag)`` with flag ``flat``
+    The kept set is the union of live channels over all files. Returns ``(path, channel, live, kept, flag)`` with flag ``flat``
     for a kept channel without signal and ``extra`` for a live one outside.
     """
     spread = samples.groupBy(path, "channel").agg((F.stddev_pop("v") > tol).alias("live"))
-    probed = samples.select(path).distinct().orderBy(path).limit(probe)
-    kept = spread.filter("live").join(probed, path, "left_semi").select("channel").distinct().withColumn("kept", F.lit(True))
+    kept = spread.filter("live").select("channel").distinct().withColumn("kept", F.lit(True))
     out = spread.join(kept, "channel", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     flag = F.when(F.col("kept") & ~F.col("live"), "flat").when(~F.col("kept") & F.col("live"), "extra").otherwise("ok")
     return out.withColumn("flag", flag)
@@ -151,19 +149,20 @@ def fourier_features(df: DataFrame, bands: int = 8, scale: float = 2.0) -> DataF
 
 
 def validate_windows(windows: DataFrame) -> DataFrame:
-    """Constraint flags per window; all false means valid.
+    """Constraint flags per window; all false means valid, a null field is a violation.
 
     ``windows(window_id, modality, emg_region, sampling_rate, n_channels,
     n_names, n_xyz, n_mask)``.
     """
+    flag = lambda bad: F.coalesce(bad, F.lit(True))
     return windows.select(
         "window_id",
-        (~F.col("modality").isin(*tables.MODALITIES)).alias("bad_modality"),
-        (F.col("n_names") != F.col("n_channels")).alias("bad_names"),
-        (F.col("n_xyz") != F.col("n_channels")).alias("bad_xyz"),
-        (F.col("n_mask") != F.col("n_channels")).alias("bad_mask"),
-        (F.col("sampling_rate") <= 0).alias("bad_rate"),
-        ((F.col("modality") == "semg") & ~F.col("emg_region").isin(*tables.EMG_REGIONS)).alias("bad_region"),
+        flag(~F.col("modality").isin(*tables.MODALITIES)).alias("bad_modality"),
+        flag(F.col("n_names") != F.col("n_channels")).alias("bad_names"),
+        flag(F.col("n_xyz") != F.col("n_channels")).alias("bad_xyz"),
+        flag(F.col("n_mask") != F.col("n_channels")).alias("bad_mask"),
+        flag(F.col("sampling_rate") <= 0).alias("bad_rate"),
+        ((F.coalesce("modality", F.lit("")) == "semg") & flag(~F.col("emg_region").isin(*tables.EMG_REGIONS))).alias("bad_region"),
     )
 
 
@@ -178,7 +177,7 @@ def uses_surface_laplacian() -> Column:
 
 
 def non_limb(datasets: DataFrame) -> DataFrame:
-    return datasets.filter((F.col("modality") == "semg") & (F.col("emg_region") != "limb"))
+    return datasets.filter((F.col("modality") == "semg") & ~F.col("emg_region").eqNullSafe(F.lit("limb")))
 
 
 def assert_limb(datasets: DataFrame) -> None:

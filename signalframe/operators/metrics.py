@@ -84,7 +84,7 @@ def ranking_metrics(df: DataFrame, keys=(), y: str = "y", score: str = "score")
 
 def _ranked(counts: DataFrame, keys) -> DataFrame:
     down = counts.withColumn("__o", -F.col("__s"))
-    c = prefix_sum(down, keys, ["__o"], monotone_bucket(F.col("__o"), 16), {"__cp": F.col("__p"), "__cn": F.col("__n")})
+    c = prefix_sum(down, keys, ["__o"], monotone_bucket(F.col("__o")), {"__cp": F.col("__p"), "__cn": F.col("__n")})
     above = F.col("__cp") - F.col("__p")
     positives, negatives = F.sum("__p").cast("double"), F.sum("__n").cast("double")
     wins = F.sum(F.col("__n") * (above + 0.5 * F.col("__p")))

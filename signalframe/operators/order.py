@@ -97,24 +97,35 @@ def hash_head(df: DataFrame, keys, digest: Column, tie: str, quota: Column) -> D
     return kept.drop("__all", "limit")
 
 
-def monotone_bucket(value: Column, bits: int = 12) -> Column:
-    """Non-decreasing integer bucket of any real number."""
-    squash = 0.5 + 0.5 * value / (1.0 + F.abs(value))
-    return F.coalesce(F.floor(squash * F.lit(float(2**bits))).cast("long"), F.lit(-1).cast("long"))
+def monotone_bucket(value: Column, steps: int = 64) -> Column:
+    """Non-decreasing integer bucket of any double, about ``steps`` per factor e.
+
+    Magnitudes are spread by logarithm, so no range of values falls together. Minus
+    infinity comes first, then infinity, NaN (which Spark sorts last) and null.
+    """
+    spread = F.least(F.log1p(F.abs(value) * 2.0**20), F.lit(1000.0))
+    bucket = F.floor(F.signum(value) * spread * steps).cast("long")
+    far = F.lit(2**40)
+    return (
+        F.when(value.isNull(), far + 2).when(F.isnan(value), far + 1)
+        .when(value == float("inf"), far).when(value == float("-inf"), -far).otherwise(bucket)
+    )
 
 
 def previous(df: DataFrame, keys, t: str, cols: dict[str, str], block: int = 65536) -> DataFrame:
-    """Value at ``t-1`` for a gap-free index ``t``.
+    """Value of the last sample before each one along ``t``.
 
-    Rows are processed in blocks of ``block`` indices; the last row of a block is
-    also sent to the next one, so a long recording is spread over many tasks.
+    Rows are processed in blocks of ``block`` indices; the first row of a block
+    takes the last values of the block before, whatever indices are missing.
     """
     keys = list(keys)
-    own = F.floor(F.col(t) / block).cast("long")
-    at_edge = F.pmod(F.col(t), F.lit(block)) == block - 1
-    spread = df.withColumn(
-        "__blk", F.explode(F.when(at_edge, F.array(own, own + 1)).otherwise(F.array(own)))
-    )
-    w = W.partitionBy(*keys, "__blk").orderBy(t)
-    with_prev = spread.select("*", *[F.lag(c).over(w).alias(n) for n, c in cols.items()])
-    return with_prev.filter(own == F.col("__blk")).drop("__blk")
+    data = df.withColumn("__blk", F.floor(F.col(t) / block).cast("long"))
+    inside = W.partitionBy(*keys, "__blk").orderBy(t)
+    along = W.partitionBy(*keys).orderBy("__blk")
+    now = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
+    edges = data.groupBy(*keys, "__blk").agg(F.max_by(now, F.col(t)).alias("__last"))
+    edges = edges.select(*keys, "__blk", F.lag("__last").over(along).alias("__edge"))
+    local = data.withColumn("__at", F.row_number().over(inside)).withColumn("__before", F.lag(now).over(inside))
+    out = local.join(edges.hint("merge"), [*keys, "__blk"])
+    picked = [F.when(F.col("__at") > 1, F.col(f"__before.{n}")).otherwise(F.col(f"__edge.{n}")).alias(n) for n in cols]
+    return out.select(*df.columns, *picked)

@@ -134,19 +134,24 @@ def weighted_sample(items: DataFrame, draws: DataFrame, weights: dict[str, float
 
 
 def _as_number(metric: str) -> Column:
-    return F.col(metric).try_cast("double")
+    """The metric as a number; unparsable text and NaN are null."""
+    v = F.col(metric).try_cast("double")
+    return F.when(~F.isnan(v), v)
 
 
 def rank_runs(df: DataFrame, metric: str) -> DataFrame:
-    """Runs by a metric stored as text, best first, unparsable ones last."""
+    """Runs by a metric stored as text, best first; NaN and unparsable ones last."""
     return df.withColumn("__v", _as_number(metric)).orderBy(F.desc_nulls_last("__v")).drop("__v")
 
 
 def place_runs(df: DataFrame, metric: str, key: str, name: str = "place") -> DataFrame:
-    """Rank number of each run (1 = best) without one global sort task."""
-    v = F.coalesce(-_as_number(metric), F.lit(float("inf")))
-    bucket = F.when(v == float("inf"), F.lit(2**40)).otherwise(monotone_bucket(v))
-    out = ordinal(df.withColumn("__v", v), [], ["__v", key], bucket, name)
+    """Rank number of each run (1 = best) without one global sort task.
+
+    Runs without a number come last, by key: NaN sorts after infinity.
+    """
+    v = F.coalesce(-_as_number(metric), F.lit(float("nan")))
+    data = df.withColumn("__v", v)
+    out = ordinal(data, [], ["__v", key], monotone_bucket(F.col("__v")), name)
     return out.withColumn(name, F.col(name) + 1).drop("__v")
 
 
@@ -184,17 +189,18 @@ def pareto_front(df: DataFrame, perf: str, cost: str, maximize: bool = True) ->
     """Rows no other row beats on performance at no more cost.
 
     A row survives when it is the best of its own cost and strictly better than
-    everything cheaper. Best-per-cost is a partial aggregate; the running maximum
+    everything cheaper. NaN performance or cost is no result. Best-per-cost is a partial aggregate; the running maximum
     over cheaper costs is two-level, so neither needs all rows in one place.
     """
     p = F.col(perf).cast("double") if maximize else -F.col(perf).cast("double")
-    rows = df.withColumn("__p", p).filter(F.col("__p").isNotNull() & F.col(cost).isNotNull())
+    number = lambda c: c.isNotNull() & ~F.isnan(c.cast("double"))
+    rows = df.withColumn("__p", p).filter(number(F.col("__p")) & number(F.col(cost)))
     per_cost = rows.groupBy(F.col(cost).alias("__cost")).agg(F.max("__p").alias("__best")).withColumn("__b", monotone_bucket(F.col("__cost").cast("double")))
     tops = per_cost.groupBy("__b").agg(F.max("__best").alias("__t"))
     tops = tops.withColumn("__before", F.max("__t").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1))).drop("__t")
     local = per_cost.withColumn("__local", F.max("__best").over(W.partitionBy("__b").orderBy("__cost").rowsBetween(W.unboundedPreceding, -1)))
     low = F.lit(float("-inf"))
-    front = local.join(tops.hint("merge"), "__b").filter(
-        F.col("__best") > F.greatest(F.coalesce("__local", low), F.coalesce("__before", low))
-    ).select("__cost", "__best")
+    beaten = F.greatest(F.coalesce("__local", low), F.coalesce("__before", low))
+    none_cheaper = F.col("__local").isNull() & F.col("__before").isNull()
+    front = local.join(tops.hint("merge"), "__b").filter(none_cheaper | (F.col("__best") > beaten)).select("__cost", "__best")
     return rows.join(front, (rows[cost] == front["__cost"]) & (rows["__p"] == front["__best"])).drop("__p", "__cost", "__best")

@@ -98,7 +98,8 @@ def ratio_split(df: DataFrame, key: str, fractions=(0.7, 0.2, 0.1), seed=42, siz
 
 
 def fold_split(df: DataFrame, col: str, train_max: int = 8, val: int = 9) -> DataFrame:
-    return df.withColumn("split", F.when(F.col(col) <= train_max, "train").when(F.col(col) == val, "val").otherwise("test"))
+    """Split by fold number; a null fold belongs to no split."""
+    return df.withColumn("split", F.when(F.col(col).isNull(), F.lit(None)).when(F.col(col) <= train_max, "train").when(F.col(col) == val, "val").otherwise("test"))
 
 
 def holdout_split(df: DataFrame, key: str = "subject_id", seed=7) -> DataFrame:

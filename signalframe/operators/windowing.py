@@ -109,28 +109,25 @@ def patchify(df: DataFrame, patch: int, levels: int = 0) -> DataFrame:
 def segments(samples: DataFrame, cols, keys=("recording_id",), block: int = 65536) -> DataFrame:
     """Maximal runs over which all of ``cols`` stay constant.
 
-    Returns ``(keys, segment, start, stop, cols)`` with ``stop`` exclusive. Samples
-    are handled in blocks of ``block`` indices that overlap by one sample on each
-    side; blocks are joined up through one row per block, so no task sees a whole
-    recording and the samples are shuffled once.
+    Returns ``(keys, segment, start, stop, cols)`` with ``stop`` exclusive: the next
+    run's start, or one past the last sample. A missing index does not end a run.
+    Samples are shuffled once, into blocks of ``block`` indices; the last state of
+    the block before decides whether a block's first sample goes on with a run, so
+    the result does not depend on ``block`` and no task sees a whole recording.
     """
     keys, cols = list(keys), list(cols)
     t = F.col("t")
-    own = F.floor(t / block).cast("long")
-    place = F.pmod(t, F.lit(block))
-    first, last = place == 0, place == block - 1
-    homes = (
-        F.when(first & last, F.array(own - 1, own, own + 1))
-        .when(first, F.array(own - 1, own))
-        .when(last, F.array(own, own + 1))
-        .otherwise(F.array(own))
-    )
-    spread = samples.select(*keys, "t", F.struct(*cols).alias("__state"), own.alias("__own"), F.explode(homes).alias("__blk"))
+    data = samples.select(*keys, "t", F.struct(*cols).alias("__state"), F.floor(t / block).cast("long").alias("__blk"))
     in_block = W.partitionBy(*keys, "__blk").orderBy("t")
-    seen = spread.withColumn("__prev", F.lag("__state").over(in_block)).withColumn("__next", F.lead("t").over(in_block))
-    seen = seen.filter(F.col("__own") == F.col("__blk"))
-    changes = F.col("__prev").isNull() | ~F.col("__prev").eqNullSafe(F.col("__state"))
-    closes = F.col("__next").isNull()
+    along = W.partitionBy(*keys).orderBy("__blk")
+    edges = data.groupBy(*keys, "__blk").agg(F.max("t").alias("__last_t"), F.max_by("__state", "t").alias("__last"))
+    edges = edges.select(
+        *keys, "__blk", F.lag("__last").over(along).alias("__before"), F.when(F.lead("__blk").over(along).isNull(), F.col("__last_t")).alias("__end")
+    )
+    seen = data.withColumn("__prev", F.lag("__state").over(in_block)).join(edges.hint("merge"), [*keys, "__blk"])
+    prev = F.coalesce("__prev", "__before")
+    changes = prev.isNull() | ~prev.eqNullSafe(F.col("__state"))
+    closes = F.coalesce(t == F.col("__end"), F.lit(False))
     start = F.struct(t.alias("at"), F.lit(True).alias("run"))
     stop = F.struct((t + 1).alias("at"), F.lit(False).alias("run"))
     # Boundaries: the start of every run and the end of the recording.
@@ -141,7 +138,6 @@ def segments(samples: DataFrame, cols, keys=("recording_id",), block: int = 6553
     ordered = W.partitionBy(*keys, "__blk").orderBy("start")
     local = marks.withColumn("__n", F.row_number().over(ordered) - 1).withColumn("__stop", F.lead("start").over(ordered))
     per_block = marks.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__c"), F.min("start").alias("__first"))
-    along = W.partitionBy(*keys).orderBy("__blk")
     joined = per_block.select(
         *keys, "__blk",
         F.coalesce(F.sum("__c").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"),

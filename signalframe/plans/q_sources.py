@@ -25,7 +25,7 @@ def _(T):
 
 @query("source_content_checksum", "select doc_id, sha1(text) as checksum from documents")
 def _(T):
-    return T.documents.select("doc_id", S.checksum(F.encode("text", "utf-8"), 1 << 24).alias("checksum"))
+    return T.documents.select("doc_id", S.checksum(F.encode("text", "utf-8")).alias("checksum"))
 
 
 _SUMS = f"""{FILES_SQL}, sums as (select path, case when n_windows = 2 then upper(checksum) when n_windows = 3 then reverse(checksum) else checksum end as checksum from files where n_windows <> 5)"""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,31 +46,24 @@ def checksum(content: Column, max_bytes: int | None = None) -> Column:
     return F.sha1(F.substring(content, 1, -(-max_bytes // block) * block))
 
 
-def file_checksum(spark: SparkSession, root: str, glob: str = "*", max_bytes: int | None = 1 << 24) -> DataFrame:
-    """``(path, length, checksum)`` with the rule of ``checksum``.
+def file_checksum(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """``(path, length, checksum)``: SHA-1 of each whole file, read by Spark.
 
-    The listing does not read contents; each task streams the leading blocks of
-    its files, so a file's size does not matter and only ``max_bytes`` are read.
+    A file must fit into one row (below 2 GiB; Spark reports longer ones).
     """
-    block = 1 << 20
+    return _contents(spark, root, glob).select("path", "length", checksum(F.col("content")).alias("checksum"))
+
+
+def prefix_checksum(spark: SparkSession, root: str, glob: str = "*", max_bytes: int = 1 << 24) -> DataFrame:
+    """``(path, length, checksum)`` of the leading blocks only, as manifests store it.
+
+    It says nothing about what follows the prefix.
+    """
+    return _contents(spark, root, glob).select("path", "length", checksum(F.col("content"), max_bytes).alias("checksum"))
+
 
-    def digest(uri: str) -> str:
-        source, path = pafs.FileSystem.from_uri(uri)
-        sha, seen = hashlib.sha1(), 0
-        with source.open_input_stream(path, compression=None) as stream:
-            while not max_bytes or seen < max_bytes:
-                part = stream.read(block)
-                if not part:
-                    break
-                sha.update(part)
-                seen += len(part)
-        return sha.hexdigest()
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(checksum=[digest(p) for p in pdf["path"]])
-
-    return recording_catalog(spark, root, glob).select("path", "length").mapInPandas(run, "path string, length bigint, checksum string")
+def _contents(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
 
 
 def verify_checksums(files: DataFrame, expected: DataFrame, key: str = "path") -> DataFrame:
