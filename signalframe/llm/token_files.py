@@ -23,6 +23,8 @@ from .common import text_of
 
 #: Words a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
+#: Letter runs it remembers, which make a forgotten word cheap to learn again.
+REMEMBERED_RUNS = 600_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -46,12 +48,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.runs: dict[str, bytes] = {}
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self):
         self.places: dict[bytes, int] = {}
-        self.runs: dict[str, np.ndarray] = {}
         self.ids = np.zeros(1 << 20, dtype=np.int32)
         self.ends = np.zeros(1 << 16, dtype=np.int64)
 
@@ -68,31 +70,37 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
 
     def learn(self, words: list[bytes]):
-        """Encode new different words."""
-        runs, parts = self.runs, []
+        """Encode new different words. Ids are kept as bytes, which join fast and lie close."""
+        if len(self.runs) > REMEMBERED_RUNS:
+            self.runs = {}
+        runs, heads, tails, other, marks = self.runs, [], [], [], self._MARKS
         for w in words:
-            letters = w.rstrip(self._MARKS)
+            letters = w.rstrip(marks)
             run = letters.lower().decode("utf-8", "replace")  # A-Z only
-            parts.append((run, w[len(letters) :].decode()) if run.isalpha() else None)
-        new = [r for r in dict.fromkeys(p[0] for p in parts if p) if r not in runs]
+            if run.isalpha():
+                heads.append(run)
+                tails.append(w[len(letters) :].decode())
+            else:
+                heads.append(None)
+                tails.append("")
+                other.append(w.decode("utf-8", "replace"))
+        new = [r for r in dict.fromkeys(heads) if r is not None and r not in runs]
         for at in range(0, len(new), 256):
             some = new[at : at + 256]
             ids = self._one(" ".join(some))
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
             if len(ends) == len(some):
-                runs.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends))))
+                raw = ids.tobytes()
+                runs.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
             else:  # letters that normalise to something else
-                runs.update((r, self._one(r)) for r in some)
-        for p in parts:
-            if p and p[1] and p[1] not in runs:
-                runs[p[1]] = self._one(p[1])
-        other = [w.decode("utf-8", "replace") for w, p in zip(words, parts) if p is None]
-        alone = iter([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(other, add_special_tokens=False)])
-        runs[""] = np.zeros(0, np.int32)
-        heads = [next(alone) if p is None else runs[p[0]] for p in parts]
-        tails = [runs["" if p is None else p[1]] for p in parts]
-        sizes = np.array([len(h) + len(t) for h, t in zip(heads, tails)])
-        self._append(np.concatenate([x for pair in zip(heads, tails) for x in pair]), sizes)
+                runs.update((r, self._one(r).tobytes()) for r in some)
+        runs[""] = b""
+        for mark in set(tails) - runs.keys():
+            runs[mark] = self._one(mark).tobytes()
+        alone = iter([np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch(other, add_special_tokens=False)])
+        found = [(next(alone) if h is None else runs[h]) + runs[t] for h, t in zip(heads, tails)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self._append(np.frombuffer(b"".join(found), dtype=np.int32), sizes)
         self.places.update(zip(words, range(len(self.places), len(self.places) + len(words))))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
