@@ -38,7 +38,8 @@ def frames(samples: DataFrame, frame: int, halo: int, keys, channels=None):
     """Samples packed per ``(keys, frame_no)`` as ``samples ARRAY<STRUCT<t, values>>``.
 
     Returns the grouping columns, the value columns and the table, which is hash
-    partitioned on the grouping columns and the frame number.
+    partitioned on the grouping columns and the frame number. An index that is
+    missing or repeated inside a frame is an error: arrays have no place for gaps.
     """
     group = list(keys) + (["channel"] if channels is None else [])
     values = ["v"] if channels is None else list(channels)
@@ -52,6 +53,9 @@ def frames(samples: DataFrame, frame: int, halo: int, keys, channels=None):
     packed = framed.groupBy(*group, "frame_no").agg(
         F.sort_array(F.collect_list(F.struct("t", *values))).alias("samples")
     )
+    low, high = F.get("samples", F.lit(0))["t"], F.get("samples", F.size("samples") - 1)["t"]
+    gap = F.raise_error(F.concat(F.lit("samples missing or repeated between "), low.cast("string"), F.lit(" and "), high.cast("string")))
+    packed = packed.withColumn("samples", F.when(high - low + 1 == F.size("samples"), F.col("samples")).otherwise(gap))
     return group, values, packed
 
 
@@ -74,13 +78,22 @@ def unpivot(samples: DataFrame, channels, keys=("recording_id", "t")) -> DataFra
     return samples.select(*keys, F.explode(rows).alias("__c")).select(*keys, "__c.channel", "__c.v")
 
 
-def pack_channels(windows: DataFrame, keys, value: str = "x") -> DataFrame:
-    """One row per window with its channels side by side, ordered by ``channel``.
+def pack_channels(windows: DataFrame, keys, value: str = "x", order: str | None = None) -> DataFrame:
+    """One row per window with its channels side by side.
 
-    Bounded by the montage (at most a few hundred channels of one window).
+    ``order`` names the column with each channel's montage position; positions
+    must be 0..C-1. Operators address channels by that position, so named channels
+    need it; without it channels are ordered by ``channel`` itself. Bounded by the
+    montage (at most a few hundred channels of one window).
     """
     keys = list(keys)
-    packed = windows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("channel", value))).alias("__p"))
+    place = [] if order is None else [F.col(order).cast("long").alias("__pos")]
+    packed = windows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*place, "channel", value))).alias("__p"))
+    if order is not None:
+        found = F.transform("__p", lambda s: s["__pos"])
+        dense = F.coalesce(found == F.sequence(F.lit(0).cast("long"), F.size("__p").cast("long") - 1), F.lit(False))
+        wrong = F.raise_error(F.concat(F.lit("channel positions are not 0..C-1: "), found.cast("string")))
+        packed = packed.withColumn("__p", F.when(dense, F.col("__p")).otherwise(wrong))
     return packed.select(
         *keys,
         F.transform("__p", lambda s: s["channel"]).alias("channels"),

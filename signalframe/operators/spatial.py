@@ -129,24 +129,36 @@ def pack_operator(operator: DataFrame, key: str = "operator_id") -> DataFrame:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def _multiply(out_ch: pd.Series, in_ch: pd.Series, w: pd.Series, x: pd.Series) -> pd.Series:
-    result = []
-    for o, i, v, rows in zip(out_ch, in_ch, w, x):
-        matrix = np.zeros((int(np.max(o)) + 1, len(rows)))
-        matrix[np.asarray(o), np.asarray(i)] = v
-        result.append(list(matrix @ np.stack([np.asarray(r, dtype=float) for r in rows])))
-    return pd.Series(result)
-
-
-def apply_operator(packed: DataFrame, operator: DataFrame, key: str = "operator_id") -> DataFrame:
-    """``y = W x`` for channel-major windows; one matrix product per window.
-
-    The join is on the operator id; Spark broadcasts the operators when their
-    measured size allows and shuffles otherwise.
+def _multiplier(n_out: int | None):
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def multiply(out_ch: pd.Series, in_ch: pd.Series, w: pd.Series, x: pd.Series) -> pd.Series:
+        # Windows of one operator and shape share a matrix and one product.
+        alike: dict[tuple, list[int]] = {}
+        for n, (o, i, v, rows) in enumerate(zip(out_ch, in_ch, w, x)):
+            key = (np.asarray(o).tobytes(), np.asarray(i).tobytes(), np.asarray(v).tobytes(), len(rows), len(rows[0]) if len(rows) else 0)
+            alike.setdefault(key, []).append(n)
+        result: list = [None] * len(x)
+        for rows in alike.values():
+            o, i, v = (np.asarray(s.iloc[rows[0]]) for s in (out_ch, in_ch, w))
+            block = np.array([[np.asarray(r, dtype=float) for r in x.iloc[n]] for n in rows])
+            matrix = np.zeros((n_out or max(block.shape[1], int(o.max()) + 1), block.shape[1]))
+            matrix[o, i] = v
+            for n, y in zip(rows, matrix @ block):
+                result[n] = list(y)
+        return pd.Series(result)
+
+    return multiply
+
+
+def apply_operator(packed: DataFrame, operator: DataFrame, key: str = "operator_id", n_out: int | None = None) -> DataFrame:
+    """``y = W x`` for channel-major windows, one product per operator and batch.
+
+    The result has ``n_out`` channels, by default as many as the window; an output
+    without any entry is zero. The join is on the operator id; Spark broadcasts
+    the operators when their measured size allows and shuffles otherwise.
     """
     joined = packed.join(pack_operator(operator, key), key)
-    return joined.withColumn("x", _multiply("__out_ch", "__in_ch", "__w", "x")).drop("__out_ch", "__in_ch", "__w")
+    return joined.withColumn("x", _multiplier(n_out)("__out_ch", "__in_ch", "__w", "x")).drop("__out_ch", "__in_ch", "__w")
 
 
 def blend_operator(operators: list[tuple[DataFrame, float]], key: str = "operator_id") -> DataFrame:
@@ -226,8 +238,10 @@ def combine_graphs(a: DataFrame, b: DataFrame, l1: float, l2: float, keys=("mont
 # -- spherical splines ---------------------------------------------------------------
 
 def montage_hash(montage: DataFrame, decimals: int = 4) -> DataFrame:
-    """``(montage_id, montage_hash)`` over names, rounded coordinates and good pattern."""
-    part = F.concat_ws(":", F.lpad(F.col("pos").cast("string"), 6, "0"), "channel", *[F.format_number(F.round(F.col(a), decimals) + 0.0, decimals) for a in "xyz"], F.col("good").cast("string"))
+    """``(montage_id, montage_hash)`` over names, rounded coordinates, good pattern and,
+    where the column is there, the derivation: a bipolar montage has no Laplacian."""
+    own = [F.coalesce("derivation_type", F.lit(""))] if "derivation_type" in montage.columns else []
+    part = F.concat_ws(":", F.lpad(F.col("pos").cast("string"), 6, "0"), "channel", *[F.format_number(F.round(F.col(a), decimals) + 0.0, decimals) for a in "xyz"], F.col("good").cast("string"), *own)
     return montage.groupBy("montage_id").agg(F.substring(F.sha1(F.encode(F.concat_ws("|", F.sort_array(F.collect_list(part))), "utf-8")), 1, 16).alias("montage_hash"))
 
 

@@ -73,3 +73,34 @@ def test_pair_statistics_stay_small(monkeypatch):
         assert np.allclose(a, b)
     cross = np.abs((z[0, 1] * z[0, 4].conj()).mean()) / np.sqrt((np.abs(z[0, 1]) ** 2).mean() * (np.abs(z[0, 4]) ** 2).mean())
     assert whole[2][0, 1, 4] == pytest.approx(cross)
+
+
+def test_packing_follows_the_montage(spark):
+    from signalframe.operators import layout, spatial
+
+    rows = [(1, "Fp1", 0, [1.0, 2.0]), (1, "Cz", 1, [3.0, 4.0]), (1, "Az", 2, [5.0, 6.0])]
+    df = spark.createDataFrame(rows, "window_id int, channel string, pos int, x array<double>")
+    packed = layout.pack_channels(df, ["window_id"], order="pos")
+    assert packed.first().channels == ["Fp1", "Cz", "Az"]
+    # Output 2 has no entry: it is zero, not absent.
+    op = spark.createDataFrame([(7, 0, 0, 1.0), (7, 0, 1, -1.0), (7, 1, 2, 2.0)], "operator_id int, out_ch int, in_ch int, w double")
+    out = spatial.apply_operator(packed.withColumn("operator_id", F.lit(7)), op).first().x
+    assert [list(r) for r in out] == [[-2.0, -2.0], [10.0, 12.0], [0.0, 0.0]]
+    with pytest.raises(Exception, match="0..C-1"):
+        layout.pack_channels(df.filter("pos <> 1"), ["window_id"], order="pos").collect()
+
+
+def test_missing_samples_are_reported(spark):
+    from signalframe.operators import layout
+
+    df = spark.createDataFrame([("r", "c", t, float(t)) for t in (0, 1, 2, 4)], "recording_id string, channel string, t long, v double")
+    with pytest.raises(Exception, match="missing or repeated"):
+        layout.to_signals(df, 8).collect()
+
+
+def test_derivation_is_part_of_the_montage(spark):
+    from signalframe.operators import spatial
+
+    rows = [(m, f"c{i}", i, float(i), 1.0, 0.5, True, d) for m, d in (("a", "monopolar"), ("b", "bipolar_tcp")) for i in range(4)]
+    df = spark.createDataFrame(rows, "montage_id string, channel string, pos int, x double, y double, z double, good boolean, derivation_type string")
+    assert spatial.montage_hash(df).select("montage_hash").distinct().count() == 2
