@@ -59,7 +59,14 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(f"{path}/entries")
+    """Entries of a manifest whose header has this version and their number."""
+    entries = spark.read.schema(SCHEMA).parquet(f"{path}/entries")
+    header = spark.read.schema("version int, count long").json(f"{path}/header").first()
+    if header is None or header["version"] != VERSION:
+        raise ValueError(f"manifest at {path} has header {header}, wanted version {VERSION}")
+    if header["count"] != (found := entries.count()):
+        raise ValueError(f"manifest at {path} has {found} entries, its header says {header['count']}")
+    return entries
 
 
 def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:

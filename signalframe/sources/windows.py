@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,14 +78,22 @@ def write_windows(df: DataFrame, path: str, splits=None, partitions: int | None
 
     Rows are range partitioned on (dataset, split, recording, start): a task writes
     to one or two folders, files are even in size, and a huge recording is spread
-    over as many tasks as its windows fill.
+    over as many tasks as its windows fill. The folders (dataset, split) of the data
+    are replaced, all others stay, so a rerun leaves the same rows. With ``splits``
+    the data goes to a staging folder beside them first and is published only if
+    no split is empty there.
     """
     if splits is not None:
+        staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+        df.write.parquet(staging)
+        df = df.sparkSession.read.schema(df.schema).parquet(staging)
         assert_non_empty_splits(df, splits)
     order = [c for c in ("dataset_id", "split", "recording_id", "start") if c in df.columns]
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     by = [c for c in ("dataset_id", "split") if c in df.columns]
-    ranged.sortWithinPartitions(*order).write.mode("append").partitionBy(*by).option("compression", codec).parquet(path)
+    ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*by).options(
+        compression=codec, partitionOverwriteMode="dynamic"
+    ).parquet(path)
 
 
 def prep_summary(df: DataFrame, params: dict, label: str = "label", label_names: dict | None = None) -> DataFrame:
@@ -138,6 +147,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
     try:
         spark.read.parquet(path).schema
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
     return True

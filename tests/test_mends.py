@@ -10,15 +10,17 @@ INF = float("inf")
 
 
 @pytest.mark.parametrize("block", [1, 2, 4, 5, 100])
-@pytest.mark.parametrize("missing", [(), (4,), (3, 4), (5,), (0, 1), (3, 4, 5, 6, 7, 8)])
-def test_segments_and_previous_do_not_depend_on_blocks(spark, block, missing):
-    rows = [("r", t, "a" if t < 9 else "b") for t in range(12) if t not in missing]
+def test_segments_and_previous_do_not_depend_on_blocks(spark, block):
+    gaps = [(), (4,), (3, 4), (5,), (0, 1), (3, 4, 5, 6, 7, 8)]
+    rows = [(f"r{n}", t, "a" if t < 9 else "b") for n, gap in enumerate(gaps) for t in range(12) if t not in gap]
     df = spark.createDataFrame(rows, "recording_id string, t long, s string")
-    got = sorted((r.segment, r.start, r.stop, r.s) for r in windowing.segments(df, ["s"], block=block).collect())
-    assert got == [(0, rows[0][1], 9, "a"), (1, 9, 12, "b")]
-    before = {r.t: r.p for r in order.previous(df.withColumn("v", F.col("t")), ["recording_id"], "t", {"p": "v"}, block).collect()}
-    ts = [t for _, t, _ in rows]
-    assert before == dict(zip(ts, [None, *ts[:-1]]))
+    got = sorted((r.recording_id, r.segment, r.start, r.stop, r.s) for r in windowing.segments(df, ["s"], block=block).collect())
+    first = {n: min(t for r, t, _ in rows if r == n) for n, _, _ in rows}
+    assert got == [x for n, t in sorted(first.items()) for x in ((n, 0, t, 9, "a"), (n, 1, 9, 12, "b"))]
+    before = {(r.recording_id, r.t): r.p for r in order.previous(df.withColumn("v", F.col("t")), ["recording_id"], "t", {"p": "v"}, block).collect()}
+    for n in first:
+        ts = [t for r, t, _ in rows if r == n]
+        assert [before[n, t] for t in ts] == [None, *ts[:-1]]
 
 
 def test_buckets_follow_the_order_and_spread(spark):
@@ -104,3 +106,23 @@ def test_derivation_is_part_of_the_montage(spark):
     rows = [(m, f"c{i}", i, float(i), 1.0, 0.5, True, d) for m, d in (("a", "monopolar"), ("b", "bipolar_tcp")) for i in range(4)]
     df = spark.createDataFrame(rows, "montage_id string, channel string, pos int, x double, y double, z double, good boolean, derivation_type string")
     assert spatial.montage_hash(df).select("montage_hash").distinct().count() == 2
+
+
+def test_rewriting_windows_leaves_their_number(spark, tmp_path):
+    from signalframe.sources import manifest, windows
+
+    rows = [(d, s, "r", i) for d in ("a", "b") for s in ("train", "val") for i in range(3)]
+    df = spark.createDataFrame(rows, "dataset_id string, split string, recording_id string, start long")
+    path = str(tmp_path / "w")
+    for _ in range(2):
+        windows.write_windows(df, path, splits=("train", "val"))
+    windows.write_windows(df.filter("dataset_id = 'a'"), path)
+    assert spark.read.parquet(path).count() == len(rows)
+    with pytest.raises(ValueError, match="test"):
+        windows.write_windows(df, path, splits=("train", "test"))
+    entries = spark.createDataFrame([], manifest.SCHEMA)
+    manifest.write_manifest(entries, str(tmp_path / "m"))
+    assert manifest.read_manifest(spark, str(tmp_path / "m")).count() == 0
+    spark.createDataFrame([(manifest.VERSION, 5)], "version int, count long").write.mode("overwrite").json(str(tmp_path / "m/header"))
+    with pytest.raises(ValueError, match="5"):
+        manifest.read_manifest(spark, str(tmp_path / "m"))
