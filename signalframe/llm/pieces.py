@@ -31,7 +31,7 @@ from .common import text_of
 
 SPACE = "▁"
 #: Word lattices a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 _WORDS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 _BATCH = 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -68,6 +68,31 @@ class _Grow:
         self.n += len(values)
 
 
+class _Places(dict):
+    """Word -> number; a new word gets the next one and is noted for learning."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = place = len(self)
+        return place
+
+
+def _split(text: str) -> list[str]:
+    """Words with the space in front of them; a line break starts a word.
+
+    Single spaces split fast; runs of spaces stay with the word after them.
+    """
+    if not text:
+        return []
+    if "  " in text or SPACE in text:
+        return _WORDS.findall(SPACE + text.replace(" ", SPACE))
+    return (SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n")).split(" ")
+
+
 class Lattices:
     """Vocabulary, remembered word lattices and the bytes of every piece."""
 
@@ -93,11 +118,11 @@ class Lattices:
         self.forget()
 
     def forget(self):
-        self.places: dict[str, int] = {}
-        self.first_node = _Grow(np.int64)
-        self.node_edge = _Grow(np.int64)  # first edge of a node
-        self.node_edges = _Grow(np.int32)  # number of edges, 0 at a word's end
-        self.to, self.share, self.piece_at, self.piece_n = _Grow(np.int64), _Grow(np.float32), _Grow(np.int64), _Grow(np.int32)
+        self.places = _Places()
+        self.first_node = _Grow(np.int32)
+        self.node_edge = _Grow(np.int32)  # first edge of a node
+        self.node_edges = _Grow(np.int8)  # number of edges, 0 at a word's end
+        self.to, self.share, self.piece_at, self.piece_n = _Grow(np.int32), _Grow(np.float32), _Grow(np.int32), _Grow(np.int8)
         self.piece = _Grow(np.int32)
 
     def _trie(self):
@@ -114,7 +139,7 @@ class Lattices:
         self.piece_of[[state_of[p] for p in self.vocab]] = list(self.vocab.values())
 
     def learn(self, words: list[str]):
-        """Add the lattices of new different words, all at once.
+        """Add the lattices of new different words, all at once, in the order of their numbers.
 
         Every position follows the vocabulary's trie one character at a time, as
         long as some piece goes on; masses run from the words' ends backwards.
@@ -164,8 +189,7 @@ class Lattices:
             seg = np.cumsum(count[here]) - count[here]
             top = np.maximum.reduceat(ways, seg)
             mass[node[here]] = top + np.log(np.add.reduceat(np.exp(ways - np.repeat(top, count[here])), seg))
-        node0, edge0, piece0, base = self.node_edge.n, self.to.n, self.piece.n, len(self.places)
-        self.places.update(zip(words, range(base, base + len(words))))
+        node0, edge0, piece0 = self.node_edge.n, self.to.n, self.piece.n
         self.first_node.add(node0 + np.cumsum(sizes + 1) - sizes - 1)
         edges = np.zeros(len(mass), np.int64)
         edges[node] = count
@@ -191,12 +215,15 @@ class Lattices:
         """Remembered places of each text's words."""
         if len(self.places) > REMEMBERED:
             self.forget()
-        split = [_WORDS.findall((SPACE + t.replace(" ", SPACE)) if t else "") for t in texts]
-        places = self.places
-        new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in places]
-        if new:
-            self.learn(new)
-        return [np.fromiter(map(places.__getitem__, s), np.int64, len(s)) for s in split]
+        get = self.places.__getitem__
+        out = []
+        for text in texts:
+            words = _split(text)
+            out.append(np.fromiter(map(get, words), np.int64, len(words)))
+        if self.places.new:
+            self.learn(self.places.new)
+            self.places.new = []
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the pieces, without the space that encoding puts in front."""
@@ -211,18 +238,19 @@ class Lattices:
         per step the branches not taken: ``(step position, edge, noisy share)``.
         """
         first, edge_at, edge_n, to, share = self.first_node.data, self.node_edge.data, self.node_edges.data, self.to.data, self.share.data
+        node = node.astype(np.int64)
         live = np.flatnonzero(edge_n[node] > 0)
         steps = np.zeros(len(word), np.int64)
         taken, asides = [], []
-        node = node.copy()
         t = 0
         while len(live):
             at = node[live]
             n = edge_n[at].astype(np.int64)
             start = np.cumsum(n) - n
-            edge = _ragged(edge_at[at], n)
+            first_edge = edge_at[at].astype(np.int64)
+            edge = _ragged(first_edge, n)
             seed = _mix(key[row[live]] + (place[live].astype(np.uint64) << np.uint64(24)) + (at - first[word[live]]).astype(np.uint64))
-            noisy = share[edge] + _gumbel(_mix(np.repeat(seed, n) + (edge - np.repeat(edge_at[at], n) + 1).astype(np.uint64) * _GOLD))
+            noisy = share[edge] + _gumbel(_mix(np.repeat(seed, n) + (edge - np.repeat(first_edge, n) + 1).astype(np.uint64) * _GOLD))
             top = np.maximum.reduceat(noisy, start)
             is_top = noisy == np.repeat(top, n)
             pick = edge[is_top]
@@ -375,7 +403,7 @@ def _segment(path: str, power: float, k: int):
                 lists, where = [], []
                 for r, draws in enumerate(done):
                     for d, (edges, log_prob, value) in enumerate(draws):
-                        out = lat.piece.data[_ragged(lat.piece_at.data[edges], lat.piece_n.data[edges].astype(np.int64))]
+                        out = lat.piece.data[_ragged(lat.piece_at.data[edges].astype(np.int64), lat.piece_n.data[edges].astype(np.int64))]
                         lists.append(out)
                         where.append(a + r)
                         for c, x in zip(cols, (d + 1, len(out), log_prob, value, _log_inclusion(log_prob, threshold[r]), lat.decode(out) == raw[a + r])):
