@@ -23,8 +23,10 @@ from .common import text_of
 K = 5
 CONTAINED = 0.8
 #: A pair of windows this similar collides with at least this probability.
-SIMILARITY, COLLISION = 0.5, 0.999
+SIMILARITY, COLLISION = 0.5, 0.99
 ROWS = 2
+#: Shingles of several texts that are searched at a time.
+_TOGETHER = 1 << 17
 
 # Opening sentences and notices of public licenses.
 TEMPLATES = [
@@ -71,60 +73,81 @@ def _mix(h):
     return h ^ (h >> np.uint64(33))
 
 
-def _minima(hashes: np.ndarray, i: int, width: int, step: int) -> np.ndarray:
-    """Least i-th hash of every window of ``width`` at multiples of ``step``; the last may be shorter."""
-    own = _mix(hashes ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-    block = np.minimum.reduceat(own, np.arange(0, len(own), step))
-    out = block
-    for j in range(1, width // step):
-        if j < len(block):
-            out = out.copy()
-            out[:-j] = np.minimum(out[:-j], block[j:])
+_TOP = np.uint64(2**64 - 1)
+
+
+def _ranked(hashes: np.ndarray, i: int) -> np.ndarray:
+    """The i-th order of the shingles: their hashes times an odd number."""
+    return hashes * np.uint64(((2 * i + 1) * 0x9E3779B97F4A7C15 | 1) & (2**64 - 1))
+
+
+def _halved(minima: np.ndarray) -> np.ndarray:
+    if len(minima) % 2:
+        minima = np.append(minima, _TOP)
+    return np.minimum(minima[0::2], minima[1::2])
+
+
+def window_minima(hashes: np.ndarray, i: int, widths) -> dict[int, np.ndarray]:
+    """Per width (a power of two) the least i-th rank of all windows, half a width apart; the last is shorter."""
+    block, size, out = _ranked(hashes, i), 1, {}
+    for w in sorted(widths):
+        while size < w // 2:
+            block, size = _halved(block), size * 2
+        out[w] = block if w == 1 else np.minimum(block, np.append(block[1:], _TOP))
     return out
 
 
-def band_keys(hashes: np.ndarray, width: int, step: int, bands: int, rows: int = ROWS):
-    """Per band the keys of all windows."""
-    for b in range(bands):
-        key = np.full(-(-len(hashes) // step), b * 131 + width, dtype=np.uint64)
-        for r in range(rows):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + _minima(hashes, b * rows + r, width, step))
-        yield key
+def _key(parts, band: int, width: int) -> np.ndarray:
+    key = np.full(len(parts[0]), band * 131 + width, dtype=np.uint64)
+    for minima in parts:
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + minima)
+    return key
 
 
 class Index:
-    """Band keys of all templates' windows by width, and the templates' shingles."""
+    """Band keys of all templates' windows by band and width, and the templates' shingles."""
 
     def __init__(self, templates):
         self.names = [name for name, _ in templates]
         self.sets = [np.unique(shingles(text.encode())) for _, text in templates]
         self.bands = band_count()
-        self.by_width: dict[int, list] = {}
+        parts: dict[tuple[int, int], list] = {}
         for t, (_, text) in enumerate(templates):
             h = shingles(text.encode())
-            if len(h):
-                w = width_for(len(h))
-                bands = 1 if w == 1 else self.bands
-                for b, key in enumerate(band_keys(h, w, 1, bands, 1 if w == 1 else ROWS)):
-                    whole = key[: max(1, len(h) - w + 1)]
-                    self.by_width.setdefault(w, [[] for _ in range(bands)])[b].append((whole, np.full(len(whole), t)))
-        for w, per in self.by_width.items():
-            for b, parts in enumerate(per):
-                keys, ids = (np.concatenate(x) for x in zip(*parts))
-                order = np.argsort(keys, kind="stable")
-                per[b] = keys[order], ids[order]
-
-    def find(self, hashes: np.ndarray) -> set[int]:
-        """Templates with a window that shares a band with a window of the text."""
-        found: set[int] = set()
-        for w, per in self.by_width.items():
-            step = max(1, w // 2)
-            for (keys, ids), key in zip(per, band_keys(hashes, w, step, len(per), 1 if w == 1 else ROWS)):
+            if not len(h):
+                continue
+            w = width_for(len(h))
+            for b in range(self.bands if w > 1 else 1):
+                windows = np.lib.stride_tricks.sliding_window_view
+                minima = [windows(_ranked(h, b * ROWS + r), w).min(axis=1) for r in range(ROWS)]
+                parts.setdefault((b, w), []).append((_key(minima, b, w), np.full(len(h) - w + 1, t)))
+        self.tables = {}
+        for at, found in parts.items():
+            keys, ids = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(keys, kind="stable")
+            self.tables[at] = keys[order], ids[order]
+        self.widths = sorted({w for _, w in self.tables})
+
+    def find(self, hashes: np.ndarray, text: np.ndarray) -> set[tuple[int, int]]:
+        """(text, template) pairs with a window that shares a band.
+
+        ``text`` numbers the texts the shingles come from, in order. A window over
+        two texts stands for both; what it finds by chance is decided later.
+        """
+        found: set[tuple[int, int]] = set()
+        for b in range(self.bands):
+            widths = [w for w in self.widths if (b, w) in self.tables]
+            minima = [window_minima(hashes, b * ROWS + r, widths) for r in range(ROWS)]
+            for w in widths:
+                keys, ids = self.tables[b, w]
+                key = _key([m[w] for m in minima], b, w)
                 lo = np.searchsorted(keys, key)
                 hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == key)
-                for at in np.unique(lo[hit]):
-                    up = np.searchsorted(keys, keys[at], side="right")
-                    found.update(ids[at:up].tolist())
+                for n in hit.tolist():
+                    up = np.searchsorted(keys, key[n], side="right")
+                    start = n * max(1, w // 2)
+                    ends = {int(text[start]), int(text[min(start + w, len(text)) - 1])}
+                    found.update((d, int(t)) for d in ends for t in ids[lo[n] : up])
         return found
 
 
@@ -132,22 +155,30 @@ _SCHEMA = "doc_id long, license string, contained double, first_shingle int, las
 
 
 def _scan(templates, contained):
+    def search(index, held, out):
+        sizes = [len(h) for _, h in held]
+        if not sum(sizes):
+            return
+        pairs = index.find(np.concatenate([h for _, h in held]), np.repeat(np.arange(len(held)), sizes))
+        for d, t in sorted(pairs):
+            (doc_id, hashes), own = held[d], index.sets[t]
+            spots = np.flatnonzero(np.isin(hashes, own))
+            share = len(np.unique(hashes[spots])) / len(own)
+            if share >= contained:
+                for c, v in zip(out, (doc_id, index.names[t], share, int(spots[0]), int(spots[-1]))):
+                    c.append(v)
+
     def run(batches):
         index = Index(templates)
         for batch in batches:
-            out = [[] for _ in range(5)]
-            ids = batch.column(0).to_pylist()
-            for doc_id, text in zip(ids, batch.column(1).cast(pa.binary()).to_pylist()):
-                hashes = shingles(text)
-                if not len(hashes):
-                    continue
-                for t in sorted(index.find(hashes)):
-                    own = index.sets[t]
-                    spots = np.flatnonzero(np.isin(hashes, own))
-                    share = len(np.unique(hashes[spots])) / len(own)
-                    if share >= contained:
-                        for c, v in zip(out, (doc_id, index.names[t], share, int(spots[0]), int(spots[-1]))):
-                            c.append(v)
+            out, held, n = [[] for _ in range(5)], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                held.append((doc_id, shingles(text)))
+                n += len(held[-1][1])
+                if n >= _TOGETHER:
+                    search(index, held, out)
+                    held, n = [], 0
+            search(index, held, out)
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [c.split()[0] for c in _SCHEMA.split(", ")])
 

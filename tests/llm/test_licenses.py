@@ -49,8 +49,10 @@ def test_bands_and_windows():
     b = licenses.band_count()
     assert 1 - (1 - licenses.SIMILARITY**licenses.ROWS) ** b >= licenses.COLLISION > 1 - (1 - licenses.SIMILARITY**licenses.ROWS) ** (b - 1)
     h = np.random.default_rng(0).integers(0, 2**63, 53).astype(np.uint64)
-    own = licenses._mix(h ^ np.uint64(0x9E3779B97F4A7C15))
-    assert licenses._minima(h, 0, 16, 8).tolist() == [min(own[a : a + 16].tolist()) for a in range(0, 53, 8)]
+    got = licenses.window_minima(h, 3, [1, 4, 16])
+    own = licenses._ranked(h, 3).tolist()
+    for w, step in ((1, 1), (4, 2), (16, 8)):
+        assert got[w].tolist() == [min(own[a : a + w]) for a in range(0, 53, step)]
     for n in range(1, 400):
         w = licenses.width_for(n)
         # A window at a multiple of half the width lies inside any run of n shingles.
