@@ -30,6 +30,8 @@ from .components import components
 BLOCK = 512
 #: Distinct fingerprints the plan is estimated on.
 SAMPLE = 2048
+#: Pairs a row up to which a bucket gives all of them at once for exact tests.
+PAIRS = 64
 #: Cost of one emitted row in units of one compared pair.
 ROW_COST = 400.0
 _STEP = 1 << 15
@@ -250,24 +252,8 @@ def _pairs_in(lanes, flips, side, e, distance):
     return out[:, ~same]
 
 
-def _links(pieces, distance):
-    """Sorted bucket rows -> links; a bucket (or pair of blocks) may run over several batches."""
-
-    def of(rows):
-        part, flips, side = rows[0][0], rows[4], rows[5]
-        if len(flips) < 2:
-            return None
-        lanes = np.stack([r.view(np.uint64) for r in rows[6:]], axis=1)
-        a, b, d = _pairs_in(lanes, flips, side, pieces[part][1], distance)
-        if not len(a):
-            return None
-        keep_at = _forest(a, b, d, len(flips)) if len(a) > 1 else np.array([0])
-        text = lambda at: [x.tobytes().hex() for x in lanes[at].astype(">u8")]
-        return text(a[keep_at]), text(b[keep_at]), d[keep_at].tolist()
-
-    def emit(found):
-        cols = [sum((f[c] for f in found), []) for c in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["a", "b", "bits"])
+def _by_bucket(of, emit):
+    """Sorted bucket rows -> what ``of`` finds in each; a bucket (or pair of blocks) may run over several batches."""
 
     def run(batches):
         open_rows, found = None, []
@@ -293,13 +279,81 @@ def _links(pieces, distance):
     return run
 
 
-def links(prints: DataFrame, distance: int = 3, lanes: int = 1, block: int | None = None) -> DataFrame:
-    """``(a, b, bits)``: links between different fingerprints of ``prints(fingerprint)``.
+def _hex(lanes: np.ndarray) -> list[str]:
+    return [x.tobytes().hex() for x in lanes.astype(">u8")]
 
-    The connected parts of the result are those of all pairs within ``distance``
-    bits, and so are those of its links of at most any smaller number of bits.
+
+def _links(pieces, distance):
+    """Bucket rows -> least spanning forests of their pairs."""
+
+    def of(rows):
+        part, flips, side = rows[0][0], rows[4], rows[5]
+        if len(flips) < 2:
+            return None
+        lanes = np.stack([r.view(np.uint64) for r in rows[6:]], axis=1)
+        a, b, d = _pairs_in(lanes, flips, side, pieces[part][1], distance)
+        if not len(a):
+            return None
+        keep_at = _forest(a, b, d, len(flips)) if len(a) > 1 else np.array([0])
+        return _hex(lanes[a[keep_at]]), _hex(lanes[b[keep_at]]), d[keep_at].tolist()
+
+    def emit(found):
+        cols = [sum((f[c] for f in found), []) for c in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["a", "b", "bits"])
+
+    return _by_bucket(of, emit)
+
+
+_CANDIDATES = "a string, b string, part int, key long, i int, j int, slices int"
+
+
+def _candidates(pieces, distance: int, turn: int, most_pairs: int):
+    """Bucket rows with ``slices`` and ``label`` -> pairs of different labels, and a mark for each bucket that has more.
+
+    A bucket with up to ``most_pairs`` pairs a row gives all of them in turn 0. A
+    fuller one gives a least spanning forest then, and in turn *t* the *t*-th of its
+    slices, by hash of the pair. A pair that meets in several parts belongs to the first.
     """
-    block = block or BLOCK
+    masks = [[sum(1 << b % 64 for b in bits if b // 64 == k) for k in range(1 + max(b for g, _ in pieces for b in g) // 64)] for bits, _ in pieces]
+
+    def of(rows):
+        part, slices, flips, side, label = rows[0][0], int(rows[4][0]), rows[5], rows[6], rows[7]
+        if len(flips) < 2:
+            return None
+        lanes = np.stack([r.view(np.uint64) for r in rows[8:]], axis=1)
+        a, b, d = _pairs_in(lanes, flips, side, pieces[part][1], distance)
+        own = label[a] != label[b]
+        for q in range(part):
+            differ = sum(np.bitwise_count((lanes[a, k] ^ lanes[b, k]) & np.uint64(m)).astype(np.int64) for k, m in enumerate(masks[q]))
+            own &= differ > pieces[q][1]
+        a, b, d = a[own], b[own], d[own]
+        if not len(a):
+            return None
+        most, more = most_pairs * len(flips), 0
+        if turn:
+            mixed = _mix64(lanes[:, 0])
+            for k in range(1, lanes.shape[1]):
+                mixed = _mix64(mixed ^ lanes[:, k])
+            spot = (_mix64(mixed[a] + mixed[b]) % np.uint64(slices)).astype(np.int64)
+            more = slices if (spot >= turn).any() else 0
+            at = np.flatnonzero(spot == turn - 1)
+        elif len(a) > most:
+            more, at = -(-len(a) // most), _forest(a, b, d, len(flips))
+        else:
+            at = np.arange(len(a))
+        return _hex(lanes[a[at]]), _hex(lanes[b[at]]), [(*(int(c[0]) for c in rows[:4]), more)] if more else []
+
+    def emit(found):
+        a, b, marks = (sum((f[c] for f in found), []) for c in range(3))
+        cols = [a + [None] * len(marks), b + [None] * len(marks), *[[None] * len(a) + [m[c] for m in marks] for c in range(5)]]
+        types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [c.split()[0] for c in _CANDIDATES.split(", ")])
+
+    return _by_bucket(of, emit)
+
+
+def _buckets(prints: DataFrame, distance: int, lanes: int, block: int):
+    """``(part, key, i, j, flips, side, f0..)`` not yet gathered by bucket, and the plan."""
     total = prints.count()
     share = min(1.0, SAMPLE / max(total, 1))
     picked = (F.pmod(F.xxhash64("fingerprint"), F.lit(1_000_003)) < int(share * 1_000_003) + 1) if share < 1 else F.lit(True)
@@ -319,8 +373,21 @@ def links(prints: DataFrame, distance: int = 3, lanes: int = 1, block: int | Non
         "part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "flips",
         (F.col("own") > F.col("other")).cast("int").alias("side"), *names,
     )
-    rows = rows.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j")
-    return rows.mapInArrow(_links(pieces, distance), "a string, b string, bits int")
+    return rows, pieces
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j")
+
+
+def links(prints: DataFrame, distance: int = 3, lanes: int = 1, block: int | None = None) -> DataFrame:
+    """``(a, b, bits)``: links between different fingerprints of ``prints(fingerprint)``.
+
+    The connected parts of the result are those of all pairs within ``distance``
+    bits, and so are those of its links of at most any smaller number of bits.
+    """
+    rows, pieces = _buckets(prints, distance, lanes, block or BLOCK)
+    return _gathered(rows).mapInArrow(_links(pieces, distance), "a string, b string, bits int")
 
 
 def groups(prints: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -354,22 +421,8 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return words.select("text_key", F.array_distinct(shingle_hashes(F.col("w"), k)).alias("shingles"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, lanes: int = 2, distance: int = 24) -> DataFrame:
-    """``(doc_id, row, text_key, group)`` per row: groups linked by shingle sets at least ``similarity`` alike.
-
-    SimHash over the set of k-word shingles finds the pairs, the closest ones of
-    every group by a least spanning forest; each is then decided on its exact
-    Jaccard similarity. Two texts without words are alike. ``group`` is a text
-    key; see :func:`keep_one` for the choice within a group.
-    """
-    prints = keep(fingerprints(docs, k, lanes, once=True), "set-fingerprints")
-    same = prints.groupBy("fingerprint").agg(F.min("text_key").alias("least"))
-    same = keep(same, "distinct-sets")
-    pairs = keep(links(same.select("fingerprint"), distance, lanes, block=4096).groupBy("a", "b").agg(F.min("bits").alias("bits")), "near-pairs")
-    name = lambda c: same.select(F.col("fingerprint").alias(c), F.col("least").alias(f"{c}_key"))
-    wanted = pairs.join(name("a"), "a").join(name("b"), "b").select("a_key", "b_key")
-    own = prints.select("fingerprint", "text_key").distinct().join(same, "fingerprint").filter("text_key <> least")
-    wanted = keep(wanted.unionByName(own.select(F.col("least").alias("a_key"), F.col("text_key").alias("b_key"))), "pairs-to-verify")
+def _alike(docs: DataFrame, wanted: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``(a, b)``: the pairs of text keys ``wanted(a_key, b_key)`` whose shingle sets are alike."""
     nodes = keep(wanted.select(F.col("a_key").alias("text_key")).union(wanted.select("b_key")).distinct(), "nodes")
     texts = docs.select(F.xxhash64(text_of()).alias("text_key"), "text").join(nodes, "text_key")
     sets = keep(_shingle_sets(texts, k).dropDuplicates(["text_key"]), "shingle-sets")
@@ -377,8 +430,69 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, lanes:
     both = both.join(sets.select(F.col("text_key").alias("b_key"), F.col("shingles").alias("y")), "b_key")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    alike = both.filter((union == 0) | (common >= F.lit(similarity) * union)).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
-    roots = keep(components(keep(alike, "alike")), "roots")
+    return both.filter((union == 0) | (common >= F.lit(similarity) * union)).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+
+
+def _different_sets(docs: DataFrame, prints: DataFrame, k: int) -> DataFrame:
+    """``(fingerprint, text_key, least)``: every text with the least text that has its fingerprint and its shingle set."""
+    texts = keep(prints.select("fingerprint", "text_key").distinct(), "texts")
+    shared = texts.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint")
+    shared = keep(texts.join(shared, "fingerprint").select("text_key").distinct(), "texts-of-one-fingerprint")
+    words = docs.select(F.xxhash64(text_of()).alias("text_key"), "text").join(shared, "text_key")
+    sets = _shingle_sets(words, k).select("text_key", F.xxhash64(F.sort_array("shingles")).alias("set")).distinct()
+    texts = texts.join(keep(sets, "set-keys"), "text_key", "left")
+    least = texts.groupBy("fingerprint", "set").agg(F.min("text_key").alias("least"))
+    least = least.select(F.col("fingerprint").alias("f"), F.col("set").alias("s"), "least")
+    return texts.join(least, (F.col("fingerprint") == F.col("f")) & F.col("set").eqNullSafe(F.col("s"))).select("fingerprint", "text_key", "least")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, lanes: int = 2, distance: int = 24) -> DataFrame:
+    """``(doc_id, row, text_key, group)`` per row: groups linked by shingle sets at least ``similarity`` alike.
+
+    SimHash over the set of k-word shingles finds the pairs within ``distance``
+    bits; each is decided on its exact Jaccard similarity unless verified pairs
+    already join the two. A bucket with many pairs is met again in later turns,
+    with the groups found so far, until it has none left between two groups. Two
+    texts without words are alike. ``group`` is a text key; see :func:`keep_one`
+    for the choice within a group.
+    """
+    prints = keep(fingerprints(docs, k, lanes, once=True), "set-fingerprints")
+    texts = keep(_different_sets(docs, prints, k), "texts-by-set")
+    same = keep(texts.select("fingerprint", "least").distinct(), "distinct-sets")
+    name = lambda c: same.select(F.col("fingerprint").alias(c), F.col("least").alias(f"{c}_key"))
+    names = [f"f{n}" for n in range(lanes)]
+    rows, pieces = _buckets(keep(same.select("fingerprint").distinct(), "distinct"), distance, lanes, 4096)
+    copies = texts.filter("text_key <> least").select(F.col("least").alias("a_key"), F.col("text_key").alias("b_key"))
+    meeting = name("a").join(name("b"), F.col("a") == F.col("b")).filter("a_key < b_key").select("a_key", "b_key")
+    turn, alike, tested = 0, None, None
+    while True:
+        if turn:
+            rows_now = rows.join(marks, ["part", "key", "i", "j"]).join(labels, names)
+        else:
+            rows_now = rows.withColumn("slices", F.lit(0)).withColumn("label", F.xxhash64(*names))
+        rows_now = rows_now.select("part", "key", "i", "j", "slices", "flips", "side", "label", *names)
+        found = keep(_gathered(rows_now).mapInArrow(_candidates(pieces, distance, turn, PAIRS), _CANDIDATES), "near-pairs")
+        pairs = found.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        wanted = pairs.join(name("a"), "a").join(name("b"), "b").select("a_key", "b_key")
+        if turn:
+            wanted = wanted.join(tested, ["a_key", "b_key"], "left_anti")
+        else:
+            wanted = wanted.unionByName(copies).unionByName(meeting)
+        wanted = keep(wanted, "pairs-to-verify")
+        passed = keep(_alike(docs, wanted, k, similarity), "alike")
+        tested = wanted if tested is None else tested.unionByName(wanted)
+        if not turn or not passed.isEmpty():
+            alike = passed if alike is None else alike.unionByName(passed)
+            roots = keep(components(alike), "roots")
+        marks = keep(found.filter("part is not null").select("part", "key", "i", "j", "slices"), "fuller-buckets")
+        if marks.isEmpty():
+            break
+        # A fingerprint whose sets are in several groups is never skipped.
+        root = F.coalesce("root", "least")
+        labels = same.join(roots, same.least == roots.node, "left").groupBy("fingerprint").agg(F.min(root).alias("low"), F.max(root).alias("high"))
+        lane = lambda n: F.conv(F.substring("fingerprint", 16 * n + 1, 16), 16, -10).cast("long").alias(f"f{n}")
+        labels = keep(labels.select(*[lane(n) for n in range(lanes)], F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("fingerprint")).alias("label")), "labels")
+        turn += 1
     found = prints.join(roots, prints.text_key == roots.node, "left")
     return found.select("doc_id", "row", "text_key", F.coalesce("root", "text_key").alias("group"))
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from signalframe.llm import simhash
@@ -106,3 +107,55 @@ def test_plan_always_covers():
             assert sum(e + 1 for _, e in pieces) >= distance + 1
             used = [b for bits, _ in pieces for b in bits]
             assert len(used) == len(set(used))
+
+
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard_groups(texts, similarity=0.8, distance=24):
+    """Groups by all pairs within the distance that are alike."""
+    label = list(range(len(texts)))
+
+    def find(a):
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    sets = [shingle_set(t) for t in texts]
+    prints = [int(simhash.fingerprint(t.encode(), 5, 2, once=True), 16) for t in texts]
+    failed = 0
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            if (prints[i] ^ prints[j]).bit_count() <= distance:
+                if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                    a, b = find(i), find(j)
+                    label[max(a, b)] = min(a, b)
+                else:
+                    failed += 1
+    return [find(i) for i in range(len(texts))], failed
+
+
+@pytest.mark.parametrize("pairs", [30, 64])
+def test_every_candidate_pair_is_decided(spark, monkeypatch, pairs):
+    rng = random.Random(11)
+    texts = []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts.append(" ".join(base))
+    for _ in range(120):
+        words = list(base)
+        for at in rng.sample(range(5, 145), 3):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [texts[0].upper(), texts[0].replace(" ", "  "), "", " ", "\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want, failed = jaccard_groups(texts)
+    assert failed > 100
+    blank = len(texts) - 3
+    want = [blank if i >= blank else g for i, g in enumerate(want)]
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    group = {r.doc_id: r.group for r in simhash.near_duplicates(docs).collect()}
+    first = {}
+    got = [first.setdefault(group[i], i) for i in range(len(texts))]
+    assert got == want
