@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,25 @@ def shingle_hashes(words: Column, k: int) -> Column:
     return F.element_at(F.transform(F.array(words), hashes), 1)
 
 
+def whole_numbers(embedding: Column, scale: int) -> Column:
+    """``floor(scale * c)`` of every entry as long; null for a vector that is null or has a null or non-finite entry."""
+    bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    wide = embedding.cast("array<double>")
+    return F.when(~F.exists(wide, bad), F.transform(wide, lambda c: F.floor(c * scale).cast("long")))
+
+
+def list_matrix(column: pa.ListArray, d: int) -> np.ndarray:
+    """Lists as rows of ``d`` longs; what a shorter list lacks is 0."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes == d).all():
+        return flat.reshape(-1, d)
+    out = np.zeros((len(sizes), d), dtype=np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
 def row_key(docs: DataFrame) -> Column:
     """64-bit key over every column: rows that agree in all columns share it."""
     return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])

@@ -5,17 +5,20 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from .common import documents, shared_path
+from .common import documents, shared_path, text_of, words_of
 from .fingerprints import compare
 from .licenses import TEMPLATES, scan
 from .line_dedup import dedup_lines
 from .lm import score
 from .mixing import mix
+from .periodic import find_runs, planted
 from .pieces import segmentations
 from .quality import cascade
 from .simhash import near_groups
 from .token_counts import attribute
 from .token_files import read_tokens, with_crc, write_tokens
+from .topk import top_k
+from .whitening import whiten
 
 #: Where the public tokenizers' files lie; the same on every worker.
 TOKENIZERS = "/opt/tokenizers"
@@ -127,6 +130,40 @@ def op3_token_counts(spark, sf_dir):
     return attribute(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", public_tokenizers.PATTERN)
 
 
+@_query
+def op11_whitening(spark, sf_dir):
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query
+def op12_top_k(spark, sf_dir):
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+# Every query against every row, as the blocks of one product do.
+ORACLES["op12_top_k"] = """
+with v as (select row_number() over () r, vec_id, list_transform(embedding, lambda c: floor(64 * c::double)::bigint::double) x from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select q.r, q.vec_id query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint score from v q join v c on q.vec_id % 20 = 0 and c.r <> q.r),
+t as (select *, row_number() over (partition by r order by score desc, vec_id nulls last) "rank" from s)
+select query_id, "rank"::int "rank", vec_id, score from t where "rank" <= 20
+"""
+
+
+@_query
+def op13_periodic_runs(spark, sf_dir):
+    df = find_runs(documents(spark, sf_dir), planted(words_of(text_of()), F.col("doc_id")))
+    order = lambda r: F.struct((-r["length"]).alias("a"), r["start"].alias("b"), r["period"].alias("c"))
+    top = F.array_min(F.transform("runs", order))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    return df.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["b"].alias("start"), (-top["a"]).alias("length"), top["c"].alias("period"),
+        F.floor(1000 * -top["a"] / top["c"]).cast("long").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
