@@ -42,6 +42,27 @@ def spread(x: Column, ddof: int = 0) -> Column:
     return F.when(F.size(x) > 0, F.aggregate(x, zero, step, finish))
 
 
+def moments(x: Column) -> Column:
+    """``n, mean, m2, lo, hi`` of the elements that are not null; m2 is the sum of squares about the mean.
+
+    One fold about the first element, so a large offset does not cancel.
+    """
+
+    def step(acc, v):
+        d = v - acc["o"]
+        return F.struct(acc["o"].alias("o"), (acc["s"] + d).alias("s"), (acc["q"] + d * d).alias("q"))
+
+    def finish(known):
+        zero = F.struct(F.get(known, F.lit(0)).alias("o"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+        n = F.size(known).cast("long")
+        fold = lambda a: F.struct(
+            n.alias("n"), (a["o"] + a["s"] / n).alias("mean"), F.greatest(a["q"] - a["s"] * a["s"] / n, F.lit(0.0)).alias("m2"), F.array_min(known).alias("lo"), F.array_max(known).alias("hi")
+        )
+        return F.when(n > 0, let(F.aggregate(known, zero, step), fold))
+
+    return let(F.filter(doubles(x), lambda v: v.isNotNull()), finish)
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda u, v: u * v))
 

@@ -51,14 +51,30 @@ def _sections(zeros, poles, gain):
     return list(zip(nums, dens))
 
 
+def _coupled(a, b, c):
+    """The same second-order section with its complex poles as a scaled rotation.
+
+    Near z = 1 (a low cut at a high rate) direct-form states grow and cancel; in this
+    form rounding does not grow with a filter's memory.
+    """
+    poles, vectors = np.linalg.eig(a)
+    if abs(poles[0].imag) < 1e-14:
+        return a, b, c
+    t = np.stack([vectors[:, 0].real, vectors[:, 0].imag], axis=1)
+    back = np.linalg.inv(t)
+    a, b, c = back @ a @ t, back @ b, c @ t
+    size = math.sqrt(np.linalg.norm(c) / max(np.linalg.norm(b), 1e-300))
+    return a, b * size, c / size
+
+
 def _state_space(sections):
-    """Cascade of biquads as one (A, B, C, D)."""
+    """Cascade of second-order sections as one (A, B, C, D)."""
     a, b, c, d = np.zeros((0, 0)), np.zeros(0), np.zeros(0), 1.0
     for num, den in sections:
         sa = np.array([[-den[1], 1.0], [-den[2], 0.0]])
         sb = np.array([num[1] - den[1] * num[0], num[2] - den[2] * num[0]])
-        sc, sd = np.array([1.0, 0.0]), num[0]
-        n = len(b)
+        sa, sb, sc = _coupled(sa, sb, np.array([1.0, 0.0]))
+        sd, n = num[0], len(b)
         a = np.block([[a, np.zeros((n, 2))], [np.outer(sb, c), sa]])
         b = np.concatenate([b, sb * d])
         c = np.concatenate([sd * c, sc])
@@ -83,29 +99,80 @@ class Iir:
         self._toeplitz = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
         self._observe = np.array([self.c @ p for p in powers[:_BLOCK]])
         self._drive = np.array([p @ self.b for p in powers[:_BLOCK]])
-        radius = float(np.max(np.abs(np.linalg.eigvals(self.a))))
-        # Samples after which an unknown past is below double precision.
-        self.memory = int(math.ceil(math.log(1e-17) / math.log(min(radius, 1 - 1e-9)))) + 64
 
-    def run(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    def run(self, x: np.ndarray, state: np.ndarray):
+        """Output and state after the last sample, for rows that begin in ``state``."""
         out = np.empty_like(x)
         for at in range(0, x.shape[1], _BLOCK):
             part = x[:, at:at + _BLOCK]
             m = part.shape[1]
             out[:, at:at + m] = part @ self._toeplitz[:m, :m].T + state @ self._observe[:m].T
             state = state @ self._powers[m].T + part @ self._drive[:m][::-1]
-        return out
+        return out, state
 
     def zero_phase(self, x: np.ndarray) -> np.ndarray:
-        """Forward and backward pass over odd-extended rows."""
+        """Forward and backward pass over whole rows."""
+        return self.block(x, 0.0, 0.0, True, True)[0]
+
+    def block(self, x: np.ndarray, before, after, first: bool, last: bool):
+        """Forward and backward pass over one block of a recording.
+
+        ``before`` is the forward pass' state at the block's beginning, ``after`` the
+        backward pass' state at its end; at the recording's own ends rows are extended
+        oddly and start from the steady state. Returns the block's output and the
+        states that its neighbours need: after it and before it.
+        """
         pad = min(self.pad, x.shape[1] - 1)
-        left = 2 * x[:, :1] - x[:, pad:0:-1]
-        right = 2 * x[:, -1:] - x[:, -2:-pad - 2:-1] if pad else x[:, :0]
+        left = 2 * x[:, :1] - x[:, pad:0:-1] if first else x[:, :0]
+        right = 2 * x[:, -1:] - x[:, -2:-pad - 2:-1] if last and pad else x[:, :0]
         ext = np.concatenate([left, x, right], axis=1)
-        fwd = self.run(ext, ext[:, :1] * self.steady)
-        back = fwd[:, ::-1]
-        both = self.run(np.ascontiguousarray(back), back[:, :1] * self.steady)[:, ::-1]
-        return both[:, pad:pad + x.shape[1]]
+        fwd, after_it = self.run(ext, ext[:, :1] * self.steady if first else np.broadcast_to(before, (len(x), len(self.b))))
+        back = np.ascontiguousarray(fwd[:, ::-1])
+        both, before_it = self.run(back, back[:, :1] * self.steady if last else np.broadcast_to(after, (len(x), len(self.b))))
+        at = left.shape[1]
+        return both[:, ::-1][:, at:at + x.shape[1]], after_it, before_it
+
+
+def cascade(steps, x: np.ndarray, states: np.ndarray, first: bool, last: bool):
+    """One block through all filters. ``states`` holds, for each filter, the forward
+    state at its beginning and the backward state at its end, side by side; the
+    states for the neighbours come back in the same places.
+    """
+    out, at = np.zeros((len(x), states.shape[1])), 0
+    for f in steps:
+        n = len(f.b)
+        x, out[:, at:at + n], out[:, at + n:at + 2 * n] = f.block(x, states[:, at:at + n], states[:, at + n:at + 2 * n], first, last)
+        at += 2 * n
+    return x, out
+
+
+def width(steps) -> int:
+    return sum(2 * len(f.b) for f in steps)
+
+
+def response(steps, length: int, first: bool, last: bool) -> np.ndarray:
+    """What each incoming state of a silent block adds to the outgoing ones: a block is linear in both."""
+    n = width(steps)
+    return cascade(steps, np.zeros((n, length)), np.eye(n), first, last)[1]
+
+
+def incoming(steps, inside: np.ndarray, outgoing: np.ndarray, ends: dict[int, np.ndarray]) -> np.ndarray:
+    """True incoming states ``[block, row, state]`` of all blocks in order.
+
+    ``outgoing`` are the states each block sends out when it gets zeros; ``inside`` is
+    the response of every block but those in ``ends``. A state depends on earlier
+    filters and on the same pass only, so each pass is one running product along
+    the blocks, forward and then backward.
+    """
+    got, at = np.zeros_like(outgoing), 0
+    for f in steps:
+        n = len(f.b)
+        for lo, order, ahead in ((at, range(len(got) - 1), 1), (at + n, range(len(got) - 1, 0, -1), -1)):
+            part = slice(lo, lo + n)
+            for k in order:
+                got[k + ahead][:, part] = outgoing[k][:, part] + got[k] @ ends.get(k, inside)[:, part]
+        at += 2 * n
+    return got
 
 
 @lru_cache(maxsize=32)

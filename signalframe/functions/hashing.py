@@ -32,11 +32,26 @@ def choice(u: Column, n) -> Column:
     return F.least(F.floor(u * size).cast("int"), (size - 1).cast("int"))
 
 
-def normal(seed, *cols) -> Column:
-    """Standard normal by Box-Muller from two independent uniforms."""
-    u1 = F.greatest(uniform(f"{seed}:r", *cols), F.lit(1e-12))
-    u2 = uniform(f"{seed}:a", *cols)
-    return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * F.pi() * u2)
+def normals(seed, *cols, count) -> Column:
+    """Array of ``count`` standard normal draws.
+
+    One digest of (seed, key, block number) gives four 64-bit draws, and Box-Muller
+    makes four normals of them: sample i is number ``i % 4`` of block ``i // 4``, so any
+    sample can be drawn alone.
+    """
+    size = count if isinstance(count, Column) else F.lit(count)
+    part = lambda d, k: F.conv(F.substring(d, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(float(2**64))
+
+    def pair(d, k):
+        radius = F.sqrt(-2.0 * F.log(F.greatest(part(d, k), F.lit(1e-12))))
+        angle = 2.0 * F.pi() * part(d, k + 1)
+        return radius * F.cos(angle), radius * F.sin(angle)
+
+    def four(b):
+        return F.get(F.transform(F.array(digest(seed, *cols, b)), lambda d: F.array(*pair(d, 0), *pair(d, 2))), F.lit(0))
+
+    blocks = F.sequence(F.lit(0), F.ceil(F.greatest(size, F.lit(1)) / 4).cast("int") - 1)
+    return F.slice(F.flatten(F.transform(blocks, four)), 1, size)
 
 
 def _col(c) -> Column:

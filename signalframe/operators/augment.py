@@ -22,7 +22,8 @@ def augment(df: DataFrame, seed=0, keys=("window_id",), prob: float = 0.5, noise
     on = H.uniform(f"{seed}:on", *keys) <= prob
     lo, hi = scale_range
     gain = lo + (hi - lo) * H.uniform(f"{seed}:scale", *keys)
-    noisy = F.transform("x", lambda v, i: v + noise_std * H.normal(f"{seed}:noise", *per_row, i)) if noise_std > 0 else F.col("x")
+    draws = H.normals(f"{seed}:noise", *per_row, count=F.size("x"))
+    noisy = F.zip_with("x", draws, lambda v, z: v + noise_std * z) if noise_std > 0 else F.col("x")
     changed = A.let(gain, lambda g: F.transform(noisy, lambda v: v * g))
     return df.withColumn("x", F.when(on, changed).otherwise(F.col("x")))
 
@@ -69,7 +70,7 @@ def corrupt(packed: DataFrame, seed=0, keys=("window_id",), prob: float = 0.5, k
     mix = lambda r: r[0] + (r[1] - r[0]) * level
     flat = F.flatten("x")
     n_t, n_c = F.size(F.get("x", F.lit(0))), F.size("x")
-    noise = lambda tag, c, t: H.normal(f"{seed}:{tag}", *keys, c, t)
+    noise = lambda tag, c: H.normals(f"{seed}:{tag}", *keys, c, count=n_t)
 
     power = F.greatest(A.mean(F.transform(flat, lambda v: v * v)), F.lit(1e-12))
     drop_n = F.greatest(F.lit(1), F.bround(n_t * mix(drop_fraction))).cast("int")
@@ -99,10 +100,10 @@ def corrupt(packed: DataFrame, seed=0, keys=("window_id",), prob: float = 0.5, k
     def changed(p):
         inside = lambda t: (t >= p["start"]) & (t < p["start"] + p["n"])
         return (
-            F.when(kind == "noise", rows(lambda v, t, c: v + noise("noise", c, t) * p["sigma"]))
+            F.when(kind == "noise", F.transform("x", lambda row, c: F.zip_with(row, noise("noise", c), lambda v, z: v + z * p["sigma"])))
             .when(kind == "drift", drifted(p))
             .when(kind == "saturation", rows(lambda v, t, c: F.greatest(F.least(v, p["thr"]), -p["thr"])))
-            .when(kind == "bad_channel", rows(lambda v, t, c: F.when(F.array_contains(p["bad"], c), noise("bad", c, t) * 1e-3).otherwise(v)))
+            .when(kind == "bad_channel", F.transform("x", lambda row, c: F.when(F.array_contains(p["bad"], c), F.transform(noise("bad", c), lambda z: z * 1e-3)).otherwise(row)))
             .when(kind == "dropout", rows(lambda v, t, c: F.when(inside(t), 0.0).otherwise(v)))
             .otherwise(F.col("x"))
         )

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import ordinal, spread
+
 
 def literal_map(mapping: dict) -> Column:
     """A small constant dictionary as an expression; no join, no broadcast."""
@@ -118,6 +119,7 @@ def target_label(events: DataFrame, keys=("run_id",)) -> DataFrame:
 
 
 def contiguous_labels(df: DataFrame, label: str = "label", out: str = "class_id") -> DataFrame:
-    """Sorted labels present anywhere become 0..K-1 (one row per distinct label is ranked)."""
-    ranks = df.select(label).distinct().withColumn(out, (F.row_number().over(W.orderBy(label)) - 1).cast("int"))
-    return df.join(ranks, label)
+    """Sorted labels present anywhere become 0..K-1; distinct labels are ranked in even buckets, however many."""
+    present = spread(df.select(label).distinct(), label)
+    ranks = ordinal(present, [], [label], F.col("__spread"), out).drop("__spread")
+    return df.join(ranks.withColumn(out, F.col(out).cast("int")), label)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from .order import monotone_bucket, prefix_sum
+from .order import prefix_sum, spread
 
 
 def confusion_matrix(df: DataFrame, k: int, keys=()) -> DataFrame:
@@ -72,7 +72,8 @@ def ranking_metrics(df: DataFrame, keys=(), y: str = "y", score: str = "score")
     """``(keys, auroc, ap)``: binary AUROC with ties counted half and average precision.
 
     Rows collapse to distinct scores first; running totals over scores are
-    two-level, so neither a popular score nor a big key makes a hot task. Values
+    two-level in buckets of about equally many distinct scores, so neither a popular
+    score nor a big key nor a narrow range of scores makes a hot task. Values
     that need a class that does not occur are null.
     """
     keys = list(keys)
@@ -83,8 +84,8 @@ def ranking_metrics(df: DataFrame, keys=(), y: str = "y", score: str = "score")
 
 
 def _ranked(counts: DataFrame, keys) -> DataFrame:
-    down = counts.withColumn("__o", -F.col("__s"))
-    c = prefix_sum(down, keys, ["__o"], monotone_bucket(F.col("__o")), {"__cp": F.col("__p"), "__cn": F.col("__n")})
+    down = spread(counts.withColumn("__o", -F.col("__s")), "__o")
+    c = prefix_sum(down, keys, ["__o"], F.col("__spread"), {"__cp": F.col("__p"), "__cn": F.col("__n")})
     above = F.col("__cp") - F.col("__p")
     positives, negatives = F.sum("__p").cast("double"), F.sum("__n").cast("double")
     wins = F.sum(F.col("__n") * (above + 0.5 * F.col("__p")))
@@ -120,17 +121,21 @@ def auroc_ovr(df: DataFrame, k: int, probs: str = "probs", renormalise: bool = T
 def auroc_ovo(df: DataFrame, probs: str = "probs") -> DataFrame:
     """Macro one-vs-one: mean over class pairs of both directions' AUROC.
 
-    A row of class c takes part in the pairs (c, d) only, so the blow-up is the
-    number of classes.
+    Items collapse to counts per (class, target, score) before pairs are formed: an
+    item of another class than the target stands against the target in one pair,
+    and only counts of the target's own items are repeated, once per other class.
     """
     present = df.agg(F.sort_array(F.collect_set("y_true")).alias("c")).scalar()
-    long = df.withColumn("__o", F.explode(present)).filter(F.col("__o") != F.col("y_true"))
-    a, b = F.least("y_true", "__o"), F.greatest("y_true", "__o")
-    sides = long.select(
-        a.alias("a"), b.alias("b"), "y_true",
-        F.explode(F.array(F.struct(a.alias("target"), F.get(probs, a).alias("score")), F.struct(b.alias("target"), F.get(probs, b).alias("score")))).alias("__t"),
-    ).select("a", "b", F.col("__t.target").alias("target"), (F.col("y_true") == F.col("__t.target")).cast("int").alias("y"), F.col("__t.score").alias("score"))
-    pairs = auroc(sides, ["a", "b", "target"])
+    scores = df.select("y_true", F.col(probs).alias("__x"), F.explode(present).alias("target"))
+    counts = scores.groupBy("y_true", "target", F.get("__x", F.col("target")).alias("__s")).agg(F.count(F.lit(1)).alias("__c"))
+    own = F.col("y_true") == F.col("target")
+    zero = F.lit(0).cast("long")
+    others = counts.filter(~own).select(F.col("y_true").alias("__o"), "target", "__s", zero.alias("__p"), F.col("__c").alias("__n"))
+    mine = counts.filter(own).select(F.explode(present).alias("__o"), "target", "__s", F.col("__c").alias("__p"), zero.alias("__n"))
+    sides = others.unionByName(mine.filter(F.col("__o") != F.col("target")))
+    keys = [F.least("target", "__o").alias("a"), F.greatest("target", "__o").alias("b"), "target"]
+    sides = sides.groupBy(*keys, "__s").agg(F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
+    pairs = _ranked(sides, ["a", "b", "target"])
     return pairs.groupBy("a", "b").agg(F.avg("auroc").alias("v")).agg(F.avg("v").alias("auroc"), F.count(F.lit(1)).alias("n_pairs"))
 
 
@@ -311,7 +316,7 @@ def perturb(windows: DataFrame, seed=0, key: str = "window_id", fractions=(0.1,
     bad = F.greatest(F.lit(1), F.floor(n / 10).cast("int"))
     conditions.append(A.let(F.slice(order("bad"), 1, bad), lambda hit: plain(
         "bad_channel",
-        F.transform(x, lambda r, c: F.when(F.array_contains(hit, c), F.transform(r, lambda v, t: noise_scale * H.normal(f"{seed}:noise", c, t))).otherwise(r)),
+        F.transform(x, lambda r, c: F.when(F.array_contains(hit, c), F.transform(H.normals(f"{seed}:noise", c, count=F.size(r)), lambda z: noise_scale * z)).otherwise(r)),
         all_good,
     )))
     conditions.append(plain("unknown_montage", x, all_good, False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -55,17 +56,58 @@ def clip(df: DataFrame, s: float) -> DataFrame:
     return df.withColumn("x", F.transform("x", lambda v: F.greatest(F.least(v, F.lit(float(s))), F.lit(-float(s)))))
 
 
-def scoped_zscore(samples: DataFrame, keys, value: str = "v", eps_mode: str = "floor") -> DataFrame:
-    """Z-score of long samples at any scope (recording, run, session, ...).
+def with_scope(signals: DataFrame, keys, by_channel: bool = False) -> DataFrame:
+    """Framed arrays with ``scope: struct<n, mean, m2, lo, hi>`` over all frames of (keys, channel).
 
-    One partial aggregation per key and a join of the small result; a key that
-    holds most of the rows is split by adaptive execution, not copied to one task.
+    Count, mean, squares about the mean, least and greatest value of every frame are
+    merged per key; only these numbers are shuffled. They come back to their frames
+    by (keys, t0), on which framed arrays are partitioned already
+    (``by_channel`` for arrays from long samples, which have the channel there too),
+    so the arrays stay where they are. Halo samples do not count.
     """
-    keys = list(keys)
-    sd = F.stddev_samp(value) if eps_mode == "sample" else F.stddev_pop(value)
-    stats = samples.groupBy(*keys).agg(F.avg(value).alias("__m"), sd.alias("__s"))
-    stats = stats.withColumn("__s", _guard(F.col("__s"), eps_mode))
-    return samples.join(stats, keys).withColumn(value, (F.col(value) - F.col("__m")) / F.col("__s")).drop("__m", "__s")
+    keys, row = list(keys), [*keys, "t0"]
+    own = F.slice("x", 1, F.col("frame")) if "frame" in signals.columns else F.col("x")
+    narrow = signals.select(*row, "channel", A.moments(own).alias("__f"))
+    every = W.partitionBy(*keys, "channel")
+    n = F.sum("__f.n").over(every)
+    mean = F.sum(F.col("__f.n") * F.col("__f.mean")).over(every) / n
+    narrow = narrow.select("*", n.alias("n"), mean.alias("mean"), F.min("__f.lo").over(every).alias("lo"), F.max("__f.hi").over(every).alias("hi"))
+    apart = F.col("__f.mean") - F.col("mean")
+    narrow = narrow.withColumn("m2", F.sum(F.col("__f.m2") + F.col("__f.n") * apart * apart).over(every))
+    scope = F.struct("n", "mean", "m2", "lo", "hi")
+    if by_channel:
+        return signals.join(narrow.select(*row, "channel", scope.alias("scope")), [*row, "channel"])
+    each = narrow.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("channel", scope.alias("scope")))).alias("__s"))
+    return signals.join(each, row).withColumn("scope", F.col("__s")[F.col("channel")]).drop("__s")
+
+
+def scoped_zscore(signals: DataFrame, keys=("recording_id",), eps_mode: str = "floor", by_channel: bool = False) -> DataFrame:
+    """Z-score of framed arrays at any scope (recording, run, session, ...) and per channel."""
+    out = with_scope(signals, keys, by_channel)
+    n = F.col("scope.n") - (1.0 if eps_mode == "sample" else 0.0)
+    sd = _guard(F.sqrt(F.col("scope.m2") / F.nullif(n, F.lit(0.0))), eps_mode)
+    stats = F.struct(F.col("scope.mean").alias("m"), sd.alias("s"))
+    return out.withColumn("x", A.let(stats, lambda p: F.transform("x", lambda v: (v - p["m"]) / p["s"]))).drop("scope")
+
+
+def scoped_normalise(signals: DataFrame, keys, mode: str, clip_sigma: float | None = None, by_channel: bool = False) -> DataFrame:
+    """The normalise step of the preprocessing chain over whole recordings (floored denominators)."""
+    if mode == "none":
+        return signals
+    if mode == "zscore":
+        out = scoped_zscore(signals, keys, "floor", by_channel)
+    elif mode in ("minmax", "maxabs"):
+        lo, hi = F.col("scope.lo"), F.col("scope.hi")
+        if mode == "minmax":
+            p = F.struct(lo.alias("m"), F.greatest(hi - lo, F.lit(EPS)).alias("s"))
+            change = lambda p: F.transform("x", lambda v: 2.0 * (v - p["m"]) / p["s"] - 1.0)
+        else:
+            p = F.greatest(F.abs(lo), F.abs(hi), F.lit(EPS))
+            change = lambda p: F.transform("x", lambda v: v / p)
+        out = with_scope(signals, keys, by_channel).withColumn("x", A.let(p, change)).drop("scope")
+    else:
+        raise ValueError(f"unknown normalisation {mode!r}")
+    return clip(out, clip_sigma) if clip_sigma else out
 
 
 def normalise(df: DataFrame, mode: str, clip_sigma: float | None = None) -> DataFrame:

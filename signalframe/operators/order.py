@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 _B = "__bucket"
 
 
@@ -97,6 +99,26 @@ def hash_head(df: DataFrame, keys, digest: Column, tie: str, quota: Column) -> D
     return kept.drop("__all", "limit")
 
 
+def spread(df: DataFrame, key: str, name: str = "__spread", sample: int = 4096) -> DataFrame:
+    """``df`` with a bucket 0..255 that never decreases along ``key``, each of about equally many rows.
+
+    Bounds are taken from the ``sample`` rows with the least hashes: a bounded random
+    sample that no task, retry or run draws differently, whatever the key's type and
+    wherever its values crowd. Any bounds give right results with ``ordinal`` and
+    ``prefix_sum``; these keep buckets even. Rows should be distinct; a null goes into
+    bucket 0 and sorts first.
+    """
+    picked = df.select(F.col(key).alias("k"), F.xxhash64(*df.columns).alias("h")).orderBy("h", "k").limit(sample)
+    every = picked.agg(F.sort_array(F.collect_list("k")).alias("b"))
+    bound = lambda i: F.get("b", F.floor(i * F.size("b") / 256).cast("int"))
+    fine = F.transform(F.sequence(F.lit(1), F.lit(255)), bound)
+    coarse = F.transform(F.sequence(F.lit(16), F.lit(240), F.lit(16)), bound)
+    bounds = every.select(F.struct(coarse.alias("coarse"), fine.alias("fine")).alias("b")).scalar()
+    upto = lambda a: F.size(F.filter(a, lambda b: b <= F.col(key)))
+    place = let(upto(F.col("__bounds.coarse")), lambda c: c * 16 + upto(F.slice("__bounds.fine", c * 16 + 1, 15)))
+    return df.withColumn("__bounds", bounds).withColumn(name, F.coalesce(place, F.lit(0))).drop("__bounds")
+
+
 def monotone_bucket(value: Column, steps: int = 64) -> Column:
     """Non-decreasing integer bucket of any double, about ``steps`` per factor e.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -160,9 +162,8 @@ def best_epoch(history: DataFrame, metric: str, min_delta: float = 0.0, negate:
 
     With no margin that is the first epoch of the highest value, a plain
     aggregate. Otherwise an improving epoch still exceeds every earlier one, so
-    only a run's running-maximum records are folded; they are found with a
-    two-level running maximum and are few (a strictly rising series of a bounded
-    metric).
+    only a run's running-maximum records are folded; a two-level running maximum
+    finds them, and they stream through the fold in order, never as one list.
     """
     keys = list(keys)
     value = -F.col(metric) if negate else F.col(metric)
@@ -179,10 +180,41 @@ def best_epoch(history: DataFrame, metric: str, min_delta: float = 0.0, negate:
     records = local.join(tops.hint("merge"), [*keys, "__b"]).filter(
         F.col("__v") > F.greatest(F.coalesce("__local", F.lit(float("-inf"))), F.coalesce("__before", F.lit(float("-inf"))))
     )
-    folded = records.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(epoch).cast("long").alias("e"), F.col("__v").alias("v")))).alias("__s"))
-    start = F.struct(F.lit(-1).cast("long").alias("e"), F.lit(float("-inf")).alias("v"))
-    best = F.aggregate("__s", start, lambda b, s: F.when(s["v"] > b["v"] + min_delta, s).otherwise(b))
-    return folded.select(*keys, best.alias("__best")).select(*keys, F.col("__best.e").alias("best_epoch"), F.col("__best.v").alias("best_value"))
+    # A run's records in order through one task, a batch at a time: what is carried on
+    # is the best so far, so a run may have any number of records.
+    narrow = records.select(*keys, F.col(epoch).cast("long").alias("best_epoch"), F.col("__v").alias("best_value"))
+    placed = narrow.repartition(*keys).sortWithinPartitions(*keys, "best_epoch")
+    return placed.mapInPandas(_fold_records(keys, float(min_delta)), placed.schema)
+
+
+def _fold_records(keys, min_delta):
+    def run(batches):
+        open_, best = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            same = [(pdf[k] == pdf[k].shift()) | (pdf[k].isna() & pdf[k].shift().isna()) for k in keys]
+            new = ~pd.concat(same, axis=1).all(axis=1).to_numpy()
+            row = pdf[keys].iloc[0]
+            new[0] = open_ is None or not ((row == open_) | (row.isna() & open_.isna())).all()
+            edges = np.r_[np.flatnonzero(new), len(pdf)] if new[0] else np.r_[0, np.flatnonzero(new), len(pdf)]
+            values, done = pdf["best_value"].to_numpy(), []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if new[a] and best is not None:
+                    done.append(best)
+                    best = None
+                # Records rise, so the next improvement is found by bisection.
+                at = a if best is None else a + int(np.searchsorted(values[a:b], best["best_value"].iloc[0] + min_delta, side="right"))
+                while at < b:
+                    best = pdf.iloc[at:at + 1]
+                    at = a + int(np.searchsorted(values[a:b], values[at] + min_delta, side="right"))
+            open_ = pdf[keys].iloc[-1]
+            if done:
+                yield pd.concat(done)
+        if best is not None:
+            yield best
+
+    return run
 
 
 def pareto_front(df: DataFrame, perf: str, cost: str, maximize: bool = True) -> DataFrame:

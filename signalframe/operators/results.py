@@ -78,13 +78,14 @@ def fold_summary(folds: DataFrame, metrics, expected: int, published: dict[str,
 def missing_cells(runs: DataFrame, axes=("fold", "variant", "seed")) -> DataFrame:
     """Cells of the full experiment matrix without a run.
 
-    The axes are short value lists; their product is generated by exploding, and
-    the anti join runs on all axes.
+    The matrix is the product of each axis' distinct values, which is about what
+    comes out; it is made row by row from distributed tables, never in one row,
+    and the anti join runs on all axes.
     """
     axes = list(axes)
-    grid = runs.agg(*[F.collect_set(a).alias(a) for a in axes])
-    for a in axes:
-        grid = grid.withColumn(a, F.explode(a))
+    grid = runs.select(axes[0]).distinct()
+    for a in axes[1:]:
+        grid = grid.crossJoin(runs.select(a).distinct())
     return grid.join(runs.select(*axes).distinct(), axes, "left_anti")
 
 
@@ -96,6 +97,102 @@ def same_setting(want: Column, got: Column) -> Column:
     return F.when(got.isNull(), False).otherwise(F.coalesce(flags | F.coalesce(close, F.lit(False)) | (got == want), F.lit(False)))
 
 
+# Where a sweep's variable is recorded in a result's provenance, in the
+# resolved model configuration ("cfg") or in the provenance itself ("top").
+RECORDED = {
+    "EPOCHS": ("cfg", "epochs"),
+    "WARMUP_EPOCHS": ("cfg", "warmup_epochs"),
+    "BATCH_SIZE": ("cfg", "batch_size"),
+    "LR": ("cfg", "lr"),
+    "WEIGHT_DECAY": ("cfg", "weight_decay"),
+    "DROPOUT": ("cfg", "dropout"),
+    "HEAD_DROPOUT": ("cfg", "head_dropout"),
+    "LABEL_SMOOTHING": ("cfg", "label_smoothing"),
+    "FOLD_KL": ("cfg", "fold_kl"),
+    "SELECT_BY": ("cfg", "select_by"),
+    "IN_CHANNELS": ("cfg", "in_channels"),
+    "CHANNEL_ENCODING": ("top", "channel_encoding"),
+    "CHANNEL_INJECTION": ("top", "channel_injection"),
+    "SEED": ("top", "seed"),
+    "GIT_COMMIT": ("top", "git_commit"),
+    "METADATA_HASH": ("top", "metadata_hash"),
+}
+
+_PLACES = {"cfg": "$[0].provenance.resolved_model_config", "top": "$[0].provenance"}
+
+
+def read_results(documents: DataFrame, run: str = "run_id", text: str = "text", recorded: dict = RECORDED) -> DataFrame:
+    """Result files of unknown shape as ``(run, state, schema_version, scored_rows, settings)``.
+
+    ``state`` is ``missing`` (null or empty text), ``unreadable`` (no JSON object),
+    ``no provenance`` or ``ok``. ``scored_rows`` is the recorded number of test samples
+    or, without it, the sum of the per-class support. ``settings`` maps each name of
+    ``recorded`` to ``(kind, value)``: the JSON kind tells a number from its text.
+    """
+    v = F.col("__v")
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    root = get("$[0]", "variant")
+    one_object = F.coalesce(F.schema_of_variant(root), F.lit("")).startswith("OBJECT") & get("$[1]", "variant").isNull()
+    support = F.aggregate(get("$[0].per_class_support", "array<bigint>"), F.lit(0).cast("long"), lambda a, n: a + F.coalesce(n, F.lit(0)))
+    provenance = get("$[0].provenance", "variant")
+    # An empty object counts as none, as a missing or null one does.
+    bare = provenance.isNull() | F.coalesce(F.schema_of_variant(provenance), F.lit("VOID")).isin("VOID", "OBJECT<>")
+    state = (
+        F.when(F.coalesce(F.trim(text), F.lit("")) == "", "missing").when(~one_object, "unreadable").when(bare, "no provenance").otherwise("ok")
+    )
+
+    def entry(place, key):
+        path = f"{_PLACES[place]}.{key}"
+        return F.struct(F.schema_of_variant(get(path, "variant")).alias("kind"), get(path, "string").alias("value"))
+
+    settings = F.map_from_arrays(F.array(*[F.lit(n) for n in recorded]), F.array(*[entry(*at) for at in recorded.values()]))
+    # As the only element of a list, a document with anything behind it does not parse.
+    parsed = documents.withColumn("__v", F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]"))))
+    return parsed.select(
+        run, state.alias("state"), get("$[0].result_schema_version", "bigint").alias("schema_version"),
+        F.coalesce(get("$[0].test_samples", "bigint"), F.when(F.size(get("$[0].per_class_support", "array<bigint>")) > 0, support)).alias("scored_rows"),
+        settings.alias("settings"),
+    )
+
+
+def same_recorded(want: Column, kind: Column, value: Column) -> Column:
+    """A recorded value equals the wanted text: numbers within 1e-9, flags whatever their case, text exactly."""
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    a, b = want.try_cast("double"), value.try_cast("double")
+    close = F.abs(a - b) <= F.greatest(1e-9 * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-12))
+    equal = F.when(kind == "BOOLEAN", F.lower(value) == F.lower(F.trim(want))).when(number, close).otherwise(value == want)
+    return F.coalesce(equal, F.lit(False))
+
+
+def stale_results(documents: DataFrame, wanted: DataFrame, test_sizes: DataFrame | None = None, run: str = "run_id", text: str = "text", recorded: dict = RECORDED) -> DataFrame:
+    """``(run, reason, stale)`` from result JSON, one row per reason; a current run yields none.
+
+    ``wanted(name, want)`` are the sweep's settings, ``test_sizes(run, test_rows)`` the
+    lengths of the test sets. A result without a schema version is kept only if it
+    was scored on its whole test set. A wanted name that no result records cannot
+    be compared: it gives a row with ``stale`` false, so it does not pass as checked.
+    """
+    read = read_results(documents, run, text, recorded)
+    read = read.join(test_sizes.select(run, "test_rows"), run, "left") if test_sizes is not None else read.withColumn("test_rows", F.lit(None).cast("long"))
+    number = lambda c: F.col(c).cast("string")
+    version = (
+        F.when(F.col("schema_version") < MIN_SCHEMA, F.concat(F.lit("result_schema_version "), number("schema_version")))
+        .when(F.col("schema_version").isNotNull(), None)
+        .when(F.col("scored_rows").isNull() | F.col("test_rows").isNull(), "no result_schema_version, test set not available")
+        .when(F.col("scored_rows") != F.col("test_rows"), F.concat(F.lit("scored on "), number("scored_rows"), F.lit(" of "), number("test_rows")))
+    )
+    first = F.when(F.col("state").isin("missing", "unreadable"), F.col("state")).otherwise(F.coalesce(version, F.when(F.col("state") != "ok", F.col("state"))))
+    judged = read.withColumn("reason", first)
+    blocked = judged.filter(F.col("reason").isNotNull()).select(run, "reason", F.lit(True).alias("stale"))
+    names = wanted.agg(F.collect_list(F.struct("name", "want")).alias("w")).scalar()
+    pairs = judged.filter(F.col("reason").isNull()).select(run, "settings", F.explode(names).alias("__w"))
+    known = F.col("__w.name").isin(*recorded)
+    got = F.try_element_at("settings", F.col("__w.name"))
+    differs = ~same_recorded(F.col("__w.want"), got["kind"], got["value"])
+    reason = F.when(~known, F.concat(F.lit("uncheckable: "), F.col("__w.name"))).when(differs, F.concat(F.lit("differs: "), F.col("__w.name")))
+    return blocked.unionByName(pairs.select(run, reason.alias("reason"), known.alias("stale")).filter(F.col("reason").isNotNull()))
+
+
 def stale_runs(results: DataFrame, wanted: DataFrame, run: str = "run_id") -> DataFrame:
     """``(run, reason)``, one row per reason; a current run yields none.
 

@@ -235,6 +235,37 @@ def combine_graphs(a: DataFrame, b: DataFrame, l1: float, l2: float, keys=("mont
     return j.select(*on, (l1 * F.coalesce("__a", F.lit(0.0)) + l2 * F.coalesce("__b", F.lit(0.0))).alias("value"))
 
 
+def total_affinity(geo: DataFrame, dyn: DataFrame, montage: DataFrame, windows: DataFrame, l_geo: float = 1.0, l_dyn: float = 1.0, keys=("recording_id", "start")) -> DataFrame:
+    """``l_geo * A_geo + l_dyn * A_dyn`` of every window as ``(keys, ch_i, ch_j, value)``, both directions, channels by position.
+
+    ``geo(montage_id, ch_i, ch_j, value)`` lists both directions by montage position,
+    ``dyn(keys, ch_i, ch_j, value)`` the upper triangle by channel name, ``windows(keys,
+    montage_id)`` says which montage a window was recorded with and
+    ``montage(montage_id, pos, channel)`` where a name stands in it; the same name may
+    stand elsewhere in another montage. An edge that one side lacks counts zero there.
+    A channel that its window's montage does not have is an error.
+
+    The names of a statistic are few next to its windows, so the montage meets the
+    edges by (montage, name); both graphs then add up in one aggregation.
+    """
+    keys = list(keys)
+    wide = windows.select(*keys, "montage_id").join(geo.select("montage_id", "ch_i", "ch_j", "value"), "montage_id")
+    wide = wide.select(*keys, "ch_i", "ch_j", (l_geo * F.col("value")).alias("value"))
+    named = dyn.join(windows.select(*keys, "montage_id"), keys)
+    place = lambda side: montage.select("montage_id", F.col("channel").alias(side), F.col("pos").alias(f"__{side}"))
+    named = named.join(place("ch_i"), ["montage_id", "ch_i"], "left").join(place("ch_j"), ["montage_id", "ch_j"], "left")
+
+    def known(side):
+        gone = F.raise_error(F.concat(F.lit("not in its window's montage: "), F.col(side).cast("string")))
+        return F.coalesce(F.col(f"__{side}"), gone.cast("int"))
+
+    i, j = known("ch_i"), known("ch_j")
+    there = F.struct(i.alias("ch_i"), j.alias("ch_j"))
+    both = F.when(i == j, F.array(there)).otherwise(F.array(there, F.struct(j.alias("ch_i"), i.alias("ch_j"))))
+    near = named.select(*keys, F.explode(both).alias("e"), (l_dyn * F.col("value")).alias("value")).select(*keys, "e.ch_i", "e.ch_j", "value")
+    return wide.unionByName(near).groupBy(*keys, "ch_i", "ch_j").agg(F.sum("value").alias("value"))
+
+
 # -- spherical splines ---------------------------------------------------------------
 
 def montage_hash(montage: DataFrame, decimals: int = 4) -> DataFrame:

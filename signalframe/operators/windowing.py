@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import hashing as H
-from .layout import channel_rows, frames, to_signals
+from .layout import channel_rows, fill_gaps, frames, origins, rebase, to_signals
 
 TAILS = ("drop", "floor", "all", "keep", "next")
 
@@ -67,12 +67,27 @@ def windows(signals: DataFrame, window: int, step: int, tail: str = "drop") -> D
 
 
 def cut(samples: DataFrame, window: int, step: int, tail: str = "drop", keys=("recording_id",),
-        channels=None, frame: int | None = None) -> DataFrame:
-    """Samples straight to windows: one shuffle on (recording, frame)."""
+        channels=None, frame: int | None = None, start: str = "zero", fill: float | None = None) -> DataFrame:
+    """Samples straight to windows: one shuffle on (recording, frame).
+
+    A missing, repeated or negative index is an error, and so is a recording that
+    does not begin at index 0. ``start="first"`` counts windows from each recording's
+    first sample instead; ``start`` of a window stays on the recording's own clock.
+    ``fill`` puts that value wherever an index is missing.
+    """
+    if start not in ("zero", "first"):
+        raise ValueError(f"unknown start {start!r}")
     halo = max(window - step, 0)
     if frame is None:
         frame = step * max(1, -(-4 * window // step))
-    return windows(to_signals(samples, frame, halo, keys, channels), window, step, tail)
+    keys = list(keys)
+    if fill is not None:
+        own = keys if channels else [*keys, "channel"]
+        samples = fill_gaps(samples, own, channels or ("v",), fill, 0 if start == "zero" else None)
+    if start == "zero":
+        return windows(to_signals(samples, frame, halo, keys, channels), window, step, tail)
+    out = windows(to_signals(rebase(samples, keys), frame, halo, keys, channels), window, step, tail)
+    return out.join(origins(samples, keys), keys).withColumn("start", F.col("start") + F.col("first")).select(*out.columns)
 
 
 def adjust_length(df: DataFrame, n: int) -> DataFrame:
@@ -162,24 +177,25 @@ def segment_windows(samples: DataFrame, segs: DataFrame, window: int, step: int,
         *keys, *carried,
         F.explode(F.sequence(F.col("start"), F.col("stop") - window, F.lit(step).cast("long"))).alias("start"),
     )
-    return _gather(samples, starts, window, keys, carried, channels)
+    got = _gather(samples, starts, window, keys, carried, channels)
+    short = F.raise_error(F.concat(F.lit("a segment goes beyond its recording at "), F.col("start").cast("string")))
+    return got.withColumn("x", F.when(F.size("x") == window, F.col("x")).otherwise(short.cast("array<double>")))
 
 
 def _gather(samples, starts, window, keys, carried, channels):
-    """Cut ``window`` samples at each start.
+    """Cut ``window`` samples at each start, wherever the recording begins.
 
-    Samples are packed into frames that overlap by ``window - 1`` and the starts of
-    a frame into one array, so samples are shuffled once and meet their starts in
-    a join of frames, not of samples. A window over the recording's end is short.
+    Samples are packed into frames that overlap by ``window - 1``, so they are
+    shuffled once and each start meets one frame; positions count from the frame's
+    first sample. A window over the recording's end is short, one that begins
+    before its first sample is left out.
     """
     frame = max(1024, 4 * window)
-    group, values, packed = frames(samples, frame, window - 1, keys, channels)
-    wanted = starts.groupBy(*keys, F.floor(F.col("start") / frame).cast("long").alias("frame_no")).agg(
-        F.collect_list(F.struct("start", *[c for c in carried])).alias("__w")
-    )
-    cut = packed.join(wanted, [*keys, "frame_no"]).select(*group, "frame_no", "samples", F.explode("__w").alias("__w"))
-    at = (F.col("__w.start") - F.col("frame_no") * frame + 1).cast("int")
-    cut = cut.select(*group, *[F.col(f"__w.{c}").alias(c) for c in carried], F.col("__w.start").alias("start"), F.slice("samples", at, window).alias("samples"))
+    group, values, packed = frames(samples, frame, window - 1, keys, channels, start="first")
+    wanted = starts.withColumn("t0", F.floor(F.col("start") / frame).cast("long") * frame)
+    at = (F.col("start") - F.get("samples", F.lit(0))["t"] + 1).cast("int")
+    cut = packed.join(wanted, [*keys, "t0"]).filter(at >= 1)
+    cut = cut.select(*group, *carried, "start", F.slice("samples", at, window).alias("samples"))
     if channels is None:
         return cut.select(*group, *carried, "start", F.transform("samples", lambda s: s["v"]).alias("x"))
     return cut.select(*group, *carried, "start", F.explode(channel_rows("samples", values)).alias("__c")).select(

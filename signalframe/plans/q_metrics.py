@@ -9,7 +9,7 @@ from ..functions import hashing as H
 from ..operators import layout, metrics, results, wavelet
 from . import fixtures as X
 from .q_wavelet import HAAR2
-from .registry import query, rnd, sql_digest, sql_rnd, sql_uniform, sql_values
+from .registry import query, rnd, sql_digest, sql_normal, sql_rnd, sql_uniform, sql_values
 
 P = X.F_
 
@@ -87,11 +87,11 @@ def _(T):
     return metrics.auroc(long, ["k"]).select("k", rnd("auroc").alias("auroc"))
 
 
-@query("metrics_auroc_ovr", f"""with {_SM}, pr as (select * from sm where y_true <> 4), rn as (select item_id, y_true, k, p / greatest(sum(case when k <> 4 then p end) over (partition by item_id), 1e-12::double) as p from pr),
-b as (select k, case when y_true = k then 1 else 0 end as y, p as score from rn where k <> 4), a as ({_auc_sql('b', 'k')})
+@query("metrics_auroc_ovr", f"""with {_SM}, rn as (select item_id, y_true, k, p / greatest(sum(p) over (partition by item_id), 1e-12::double) as p from sm where k in (select y_true from predictions)),
+b as (select k, case when y_true = k then 1 else 0 end as y, p as score from rn), a as ({_auc_sql('b', 'k')})
 select {sql_rnd('avg(auroc)')} as auroc, count(auroc) as n_classes from a""")
 def _(T):
-    got = metrics.auroc_ovr(metrics.softmax(T.predictions).filter("y_true <> 4"), 10)
+    got = metrics.auroc_ovr(metrics.softmax(T.predictions), 10)
     return got.select(rnd("auroc").alias("auroc"), "n_classes")
 
 
@@ -188,12 +188,11 @@ def _(T):
     return metrics.view_consistency(views).select(rnd("consistency").alias("consistency"))
 
 
-_SHIFT = f"""{X.C}, ab as (select vec_id, list_transform(x[1:10], lambda v: v * 3) as a, list_transform(x[1:10], lambda v, i: v * 3 + 0.1::double * ((i - 1 + vec_id) % 3 - 1)) as b from embedded)"""
+_SHIFT = f"""{X.C}, ab as (select vec_id, list_transform(x, lambda v: v * 3) as a, list_transform(x, lambda v, i: v * 3 + 0.1::double * ((i - 1 + vec_id) % 3 - 1)) as b from embedded)"""
 
 
 def _ab(T):
-    ten = F.slice("x", 1, 10)
-    return T.embedded.select(F.transform(ten, lambda v: v * 3.0).alias("a"), F.transform(ten, lambda v, i: v * 3.0 + 0.1 * (F.pmod(i + F.col("vec_id"), F.lit(3)) - 1)).alias("b"))
+    return T.embedded.select(F.transform("x", lambda v: v * 3.0).alias("a"), F.transform("x", lambda v, i: v * 3.0 + 0.1 * (F.pmod(i + F.col("vec_id"), F.lit(3)) - 1)).alias("b"))
 
 
 @query("metrics_embedding_shift", f"""with {_SHIFT}, m as (select list_sum(list_transform(list_zip(a, b), lambda q: q[1]*q[2])) as ab, sqrt(list_sum(list_transform(a, lambda v: v*v))) as na, sqrt(list_sum(list_transform(b, lambda v: v*v))) as nb, sqrt(list_sum(list_transform(list_zip(a, b), lambda q: (q[1]-q[2])**2))) as d from ab)
@@ -259,14 +258,11 @@ def _order_sql(tag):
     return f"(select list(c order by {sql_digest('6:' + tag, 'c')}) from unnest(range(0, 4)) as r(c))"
 
 
-_NORMAL = lambda seed, *k: f"(sqrt(-2.0::double * ln(greatest({sql_uniform(str(seed) + ':r', *k)}, 1e-12::double))) * cos(2.0::double * pi() * {sql_uniform(str(seed) + ':a', *k)}))"
-
-
 @query("perturb_channels", f"""with {X.C}, cond as (select {_order_sql('perm')} as perm, {_order_sql('missing_10pct')} as m10, {_order_sql('missing_25pct')} as m25, {_order_sql('bad')} as bad),
 r as (select 'permutation' as condition, s.vec_id, p.pos - 1 as pos, s.t, s.v, true as good from samples4 s, cond, unnest(range(1, 5)) as p(pos) where cond.perm[p.pos] = s.channel
  union all select 'missing_10pct', vec_id, channel, t, case when channel = m10[1] then 0 else v end, channel <> m10[1] from samples4, cond
  union all select 'missing_25pct', vec_id, channel, t, case when channel = m25[1] then 0 else v end, channel <> m25[1] from samples4, cond
- union all select 'bad_channel', vec_id, channel, t, case when channel = bad[1] then 10.0::double * {_NORMAL('6:noise', 'channel', 't')} else v end, true from samples4, cond
+ union all select 'bad_channel', vec_id, channel, t, case when channel = bad[1] then 10.0::double * {sql_normal('6:noise', 'channel', 't')} else v end, true from samples4, cond
  union all select 'unknown_montage', vec_id, channel, t, v, true from samples4)
 select condition, vec_id, pos::int as pos, bool_and(good) as good, {sql_rnd('sum(v * (t + 1))')} as s from r group by 1, 2, 3""")
 def _(T):
@@ -388,3 +384,34 @@ def _(T):
         F.when(k % 11 != 0, settings).alias("settings"))
     wanted = T.spark.createDataFrame([("LR", "0.0003"), ("SEED", "7"), ("CHANNEL_ENCODING", "true")], "name string, want string")
     return results.stale_runs(rs, wanted)
+
+
+_RESULT_FILES = """rf as (select o_orderkey as run_id, o_custkey, o_orderkey % 13 = 0 as broken, o_orderkey % 17 = 0 as nothing, o_orderkey % 11 = 0 as bare, o_orderkey % 10 = 0 as unversioned, o_orderkey % 7 = 0 as old,
+  o_orderkey % 3 as lr, o_orderkey % 4 = 0 as other_seed, o_custkey % 2 = 0 as flag, o_orderkey % 19 <> 0 as sized from orders),
+rj as (select *, case when nothing then 'missing' when broken then 'unreadable' when unversioned then case when not sized then 'no result_schema_version, test set not available' when lr = 0 then 'scored on ' || (o_custkey + 2) || ' of ' || (o_custkey + 3) when bare then 'no provenance' end
+  when old then 'result_schema_version 1' when bare then 'no provenance' end as reason from rf)"""
+
+
+@query("results_stale_from_json", f"""with {_RESULT_FILES}
+select run_id, reason, true as stale from rj where reason is not null
+union all select run_id, 'differs: LR', true from rj where reason is null and lr = 2
+union all select run_id, 'differs: SEED', true from rj where reason is null and other_seed
+union all select run_id, 'differs: CHANNEL_ENCODING', true from rj where reason is null and flag
+union all select run_id, 'uncheckable: MIN_LR', false from rj where reason is null""")
+def _(T):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    when = lambda n: k % n == 0
+    # Numbers, text and flags as experiment runners write them; an order is one result file.
+    lr = F.when(k % 3 == 0, "3e-4").when(k % 3 == 1, "0.0003").otherwise("0.001")
+    config = F.concat(F.lit('{"lr": '), lr, F.lit(', "epochs": 20}'))
+    seed = F.when(when(4), '"none"').otherwise("42")
+    encoding = F.when(c % 2 == 0, "true").otherwise('"signed"')
+    provenance = F.when(when(11), "{}").otherwise(F.concat(F.lit('{"seed": '), seed, F.lit(', "channel_encoding": '), encoding, F.lit(', "resolved_model_config": '), config, F.lit("}")))
+    version = F.when(when(10), "").when(when(7), '"result_schema_version": 1, ').otherwise('"result_schema_version": 2, ')
+    last = F.when(k % 3 == 0, 1).otherwise(2)
+    text = F.concat(F.lit("{"), version, F.lit('"per_class_support": ['), c.cast("string"), F.lit(", 1, "), last.cast("string"), F.lit('], "provenance": '), provenance, F.lit("}"))
+    text = F.when(when(17), F.lit(None)).when(when(13), F.concat(text, F.lit(","))).otherwise(text)
+    documents = T.orders.select(k.alias("run_id"), text.alias("text"))
+    sizes = T.orders.filter(~when(19)).select(k.alias("run_id"), (c + 3).alias("test_rows"))
+    wanted = T.spark.createDataFrame([("LR", "0.00030"), ("SEED", "42"), ("CHANNEL_ENCODING", "signed"), ("EPOCHS", "20"), ("MIN_LR", "0")], "name string, want string")
+    return results.stale_results(documents, wanted, sizes)

@@ -12,7 +12,7 @@ from ..sources import windows as SW
 from . import fixtures as X
 from .q_splits import FILES_SQL
 from .q_splits import files as corpus_files
-from .registry import query, rnd, sql_rnd, sql_values
+from .registry import query, rnd, scratch, sql_rnd, sql_values
 
 
 @query("source_catalog_path_fields", f"""with {FILES_SQL} select path, regexp_extract(path, '/S(\\d+)/', 1) as subject, regexp_extract(path, '([^/]+)/[^/]*$', 1) as folder,
@@ -134,6 +134,54 @@ def _(T):
     return R.union_rows([a, b])
 
 
+@query("source_cache_counts", "select count(*) filter (where o_orderkey % 3 = 0)::bigint as hits, count(*) filter (where o_orderkey % 3 <> 0)::bigint as misses from orders")
+def _(T):
+    items = T.orders.select(F.concat(F.lit("rec"), "o_orderkey").alias("item_key"))
+    cached = T.orders.filter("o_orderkey % 3 = 0").select(SW.cache_key(F.concat(F.lit("rec"), "o_orderkey"), _CFG).alias("cache_key"))
+    return SW.cache_counts(SW.cache_status(items, cached, _CFG))
+
+
+@query("source_cache_fills_misses", "select 'rec' || o_orderkey as item_key, length('rec' || o_orderkey)::int as y from orders")
+def _(T):
+    path = scratch(T.spark, "cache")
+    compute = lambda df: df.select("item_key", "cache_key", F.length("item_key").alias("y"))
+    items = lambda df: df.select(F.concat(F.lit("rec"), "o_orderkey").alias("item_key"))
+    SW.with_cache(items(T.orders.filter("o_orderkey % 3 = 0")), _CFG, path, compute)
+    return SW.with_cache(items(T.orders), _CFG, path, compute).rows.select("item_key", "y")
+
+
+@query("source_publish_windows", "select case when l_linenumber < 4 then 'train' when l_linenumber < 6 then 'val' else 'test' end as split, l_returnflag as dataset_id, count(*) as n, sum(l_orderkey)::bigint as keys from lineitem group by 1, 2")
+def _(T):
+    path = scratch(T.spark, "windows")
+    split = F.when(F.col("l_linenumber") < 4, "train").when(F.col("l_linenumber") < 6, "val").otherwise("test")
+    rows = T.lineitem.select(F.col("l_returnflag").alias("dataset_id"), split.alias("split"), F.col("l_orderkey").alias("recording_id"), F.col("l_linenumber").alias("start"), "l_quantity")
+    # A second write replaces the folders it has and leaves the others.
+    SW.write_windows(rows.filter("split <> 'test' or dataset_id = 'A'"), path, splits=("train", "val"))
+    SW.write_windows(rows, path, splits=("train", "val", "test"))
+    return SW.read_published(T.spark, path).groupBy("split", "dataset_id").agg(F.count(F.lit(1)).alias("n"), F.sum("recording_id").alias("keys"))
+
+
+@query("source_record_list", "select 'files/p' || o_custkey || '/s' || o_orderkey as path from orders union all select 'plain/' || c_custkey from customer")
+def _(T):
+    lists = []
+    named = T.orders.select("o_orderstatus", F.concat(F.lit("files/p"), "o_custkey", F.lit("/s"), "o_orderkey").alias("path"))
+    bare = T.customer.select(F.concat(F.lit("plain/"), "c_custkey").alias("file"), "c_nationkey")
+    for what, table in (("named", named), ("bare", bare)):
+        lists.append(scratch(T.spark, f"records-{what}"))
+        table.write.option("header", "true").csv(lists[-1])
+    return S.read_record_list(T.spark, lists[0]).unionByName(S.read_record_list(T.spark, lists[1]))
+
+
+@query("source_run_folders", f"""with {X.H_} select 'fold' || fold as fold, 'v' || variant as variant, 's' || seed as seed, test_acc from runs""")
+def _(T):
+    root = scratch(T.spark, "runs")
+    rows = T.runs.select(F.concat(F.lit("fold"), "fold").alias("fold"), F.concat(F.lit("v"), "variant").alias("variant"), F.concat(F.lit("s"), "seed").alias("seed"), "test_acc")
+    # One folder per run, as experiment runners leave them; the writer puts "name=" before each key.
+    rows.repartition("fold", "variant", "seed").write.partitionBy("fold", "variant", "seed").json(root)
+    got = R.read_runs(T.spark, root, "test_acc double", "*.json")
+    return got.select(*[F.substring_index(c, "=", -1).alias(c) for c in ("fold", "variant", "seed")], "test_acc")
+
+
 # -- preprocessing chain ------------------------------------------------------------
 
 _TAPS = dsp.resample_taps(3, 4)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import electrodes
 from ..operators import layout, metrics, normalize, pairs, spatial
-from ..session import cut_lineage
 from . import fixtures as X
 from .q_wavelet import _BANDS_SQL, FS
 from .registry import query, rnd, sql_digest, sql_rnd, sql_uniform, sql_values
@@ -21,8 +20,7 @@ mxyz as (select m.*, t.x, t.y, t.z from montage m join tpos t on t.name = m.chan
 
 
 def montage(T):
-    # A montage table is small and read many times: write it once.
-    ids = cut_lineage(T.embeddings.select(F.col("label").alias("montage_id")).distinct())
+    ids = T.embeddings.select(F.col("label").alias("montage_id")).distinct()
     m = ids.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(3))))
     name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), F.pmod(F.col("montage_id") + F.col("pos") * 2, F.lit(7)) + 1)
     return m.select("montage_id", "pos", name.alias("channel"), (F.pmod(F.col("montage_id") * 3 + F.col("pos"), F.lit(5)) != 0).alias("good"),
@@ -334,3 +332,36 @@ def _(T):
     keys = ["vec_id"]
     got = metrics.covariance_error(pairs.raw_band_covariance(recon, keys, 64.0), pairs.raw_band_covariance(packed, keys, 64.0), ("vec_id", "band", "ch_i", "ch_j"))
     return got.select(rnd("error", 8).alias("error"))
+
+
+# The channels of a window take the names of its montage, whose positions do not follow the alphabet.
+_NAMED = f"""{MONTAGE}, {X.windows_sql()},
+zn as (select w.recording_id, w.start, m.channel, list_transform(x, lambda v: (v - list_avg(x)) / (list_stddev_pop(x) + 1e-8::double)) as x
+  from windows w join montage m on m.montage_id = w.recording_id % 10 and m.pos = list_position(['qty','price','disc','tax'], w.channel) - 1)"""
+
+
+def _named_windows(T):
+    place = F.array_position(F.array(*[F.lit(c) for c in X.CHANNELS]), F.col("channel")) - 1
+    w = T.windows().select("recording_id", "start", (F.col("recording_id") % 10).alias("montage_id"), place.cast("int").alias("pos"), "x")
+    return normalize.zscore(w.join(montage(T).select("montage_id", "pos", "channel"), ["montage_id", "pos"]), "add")
+
+
+@query("pairs_total_affinity", f"""with {_NAMED}, {_cov_sql('zn', 'recording_id, start', '0.1::double', '0.0')},
+ge as (select a.montage_id, a.pos as i, b.pos as j, case when a.good and b.good then exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) / (0.9::double * 0.9::double)) else 0 end as value from mxyz a join mxyz b using (montage_id)),
+dy as (select f.recording_id, f.start, p.pos as i, q.pos as j, f.s as value from fin f join montage p on p.montage_id = f.recording_id % 10 and p.channel = f.ch_i join montage q on q.montage_id = f.recording_id % 10 and q.channel = f.ch_j)
+select d.recording_id, d.start, d.i as ch_i, d.j as ch_j, {sql_rnd('0.7::double * ge.value + 0.3::double * d.value')} as value from dy d join ge on ge.montage_id = d.recording_id % 10 and ge.i = d.i and ge.j = d.j""")
+def _(T):
+    w = _named_windows(T)
+    dyn = pairs.channel_covariance(layout.pack_channels(w, ["recording_id", "start"]), ["recording_id", "start"], shrinkage="fixed", coef=0.1, load=0.0, correlation=False).drop("band")
+    geo = spatial.geometric_graph(montage_xyz(T), 0.9)
+    got = spatial.total_affinity(geo, dyn, montage(T), w.select("recording_id", "start", "montage_id").distinct(), 0.7, 0.3)
+    return got.select("recording_id", "start", "ch_i", "ch_j", rnd("value").alias("value"))
+
+
+@query("windows_packed_by_montage", f"""with {_NAMED}
+select recording_id, start, pos::int as pos, channel, {sql_rnd('list_sum(list_transform(x, lambda v, i: v * i))', 4)} as weighted from zn join montage m using (channel) where m.montage_id = recording_id % 10""")
+def _(T):
+    packed = layout.pack_channels(_named_windows(T), ["recording_id", "start"], order="pos")
+    each = F.posexplode(F.arrays_zip("channels", "x")).alias("pos", "c")
+    weighted = A.total(F.transform("c.x", lambda v, i: v * (i + 1)))
+    return packed.select("recording_id", "start", each).select("recording_id", "start", "pos", F.col("c.channels").alias("channel"), rnd(weighted, 4).alias("weighted"))

@@ -9,7 +9,7 @@ from ..functions import tables
 from ..operators import rank, splits, stats, windowing
 from . import fixtures as X
 from .q_labels import DATASETS_SQL, dataset_of, dataset_of_sql
-from .registry import query, rnd, sql_digest, sql_rnd, sql_uniform
+from .registry import query, rnd, scratch, sql_digest, sql_rnd, sql_uniform
 
 # -- splits: a supplier's line item is a window of recording l_orderkey ----------
 
@@ -204,12 +204,12 @@ def _(T):
     return hash_ordinal(shuffled, [], H.digest(42, "window_id"), ["window_id"], "position")
 
 
-_MIX = {"click": 0.5, "view": 0.3, "purchase": 0.2}
+_MIX = {"click": 0.4, "view": 0.25, "purchase": 0.2, "signup": 0.1, "error": 0.05}
 
 
 @query("rank_weighted_sample", f"""with types as (select event_type, count(*) as n from events group by 1),
 d as (select event_id as draw_id, {sql_uniform('3:corpus', 'event_id')} as u from events),
-c as (select draw_id, case when u < 0.5::double then 'click' when u < (0.5::double + 0.3::double) then 'view' else 'purchase' end as dataset_id from d),
+c as (select draw_id, case when u < 0.4::double then 'click' when u < 0.65::double then 'view' when u < 0.85::double then 'purchase' when u < 0.95::double then 'signup' else 'error' end as dataset_id from d),
 pos as (select c.*, least(floor({sql_uniform('3:item', 'draw_id')} * n), n - 1)::bigint as pos from c join types on event_type = dataset_id),
 it as (select event_type as dataset_id, event_id as item_id, row_number() over (partition by event_type order by {sql_digest('3:order', 'event_id')}, event_id) - 1 as pos from events)
 select draw_id, dataset_id, item_id from pos join it using (dataset_id, pos)""")
@@ -299,6 +299,15 @@ def _(T):
     return manifest(T).select("dataset_id", "path", "subject_id", "recording_id", "num_channels", "num_samples", "index", rnd("window_start").alias("window_start"), rnd("window_end").alias("window_end"))
 
 
+@query("manifest_round_trip", f"""with {MANIFEST_SQL} select dataset_id, path, recording_id, num_samples, index, {sql_rnd('window_end')} as window_end from manifest""")
+def _(T):
+    from ..sources.manifest import read_manifest, write_manifest
+
+    path = scratch(T.spark, "manifest")
+    write_manifest(manifest(T), path)
+    return read_manifest(T.spark, path).select("dataset_id", "path", "recording_id", "num_samples", "index", rnd("window_end").alias("window_end"))
+
+
 @query("manifest_statistics", f"""with {MANIFEST_SQL} select count(*) as "count", array_to_string(list_sort(list(distinct dataset_id)), ',') as datasets, array_to_string(list_sort(list(distinct modality)), ',') as modalities, count(distinct subject_id) as num_subjects, count(distinct recording_id) as num_recordings,
   array_to_string(list_sort(list(distinct num_channels)), ',') as channels, array_to_string(list_sort(list(distinct sampling_rate::int)), ',') as sampling_rates, round(sum(window_end - window_start) / 3600.0, 3) as total_hours,
   array_to_string(list_sort(list(distinct dataset_id) filter (not has_coordinates)), ',') as without_coordinates from manifest""")
@@ -357,19 +366,18 @@ def _(T):
     return stats.skip_report(o, reasons)
 
 
-@query("stats_class_weights", f"""with c as (select k, (select count(*) from embeddings where label = k and label <> 3) as n from unnest(range(0, 12)) as r(k)),
+@query("stats_class_weights", f"""with c as (select k, (select count(*) from embeddings where label = k) as n from unnest(range(0, 12)) as r(k)),
 w as (select k, n, case when n > 0 then (select sum(n) from c) / (12.0::double * n) else 0 end as w from c)
 select k::int as label, {sql_rnd('w / (select avg(w) from w where n > 0)')} as weight from w""")
 def _(T):
-    return stats.class_weights(T.embedded.filter("label <> 3"), 12).select("label", rnd("weight").alias("weight"))
+    return stats.class_weights(T.embedded, 12).select("label", rnd("weight").alias("weight"))
 
 
 @query("stats_item_weights", f"""with s as (select event_type, count(*) as n from events group by 1)
-select event_id, {sql_rnd("case event_type when 'click' then 0.5::double when 'view' then 0.3::double when 'purchase' then 0.2::double end / n", 9)} as weight from events join s using (event_type) where event_type in ('click', 'view', 'purchase')""")
+select event_id, {sql_rnd("case event_type when 'click' then 0.4::double when 'view' then 0.25::double when 'purchase' then 0.2::double when 'signup' then 0.1::double when 'error' then 0.05::double end / n", 9)} as weight from events join s using (event_type)""")
 def _(T):
-    mix = stats.mixture_weights({"click": 5.0, "view": 3.0, "purchase": 2.0}, ["click", "view", "purchase"])
-    items = T.events.filter(F.col("event_type").isin(*mix))
-    return stats.item_weights(items, mix, "event_type").select("event_id", rnd("weight", 9).alias("weight"))
+    mix = stats.mixture_weights({"click": 8.0, "view": 5.0, "purchase": 4.0, "signup": 2.0, "error": 1.0}, list(_MIX))
+    return stats.item_weights(T.events, mix, "event_type").select("event_id", rnd("weight", 9).alias("weight"))
 
 
 _POOL = {

@@ -12,7 +12,7 @@ from ..functions import wavelets as V
 from ..operators import augment, layout, normalize, rank, spectral, splits, wavelet, windowing
 from . import fixtures as X
 from .q_splits import _SPLIT
-from .registry import query, rnd, sql_digest, sql_rnd, sql_uniform, sql_values
+from .registry import query, rnd, sql_digest, sql_normal, sql_rnd, sql_uniform, sql_values
 
 _R2 = repr(math.sqrt(0.5)) + "::double"
 # Haar, two levels, periodised: the direct formula.
@@ -221,11 +221,9 @@ def _(T):
 
 # -- augmentation and corruption -----------------------------------------------------
 
-_NORMAL = lambda seed, *k: f"(sqrt(-2.0::double * ln(greatest({sql_uniform(str(seed) + ':r', *k)}, 1e-12::double))) * cos(2.0::double * pi() * {sql_uniform(str(seed) + ':a', *k)}))"
-
 
 @query("augment_noise_and_scale", f"""with {X.C}
-select vec_id, i::int as i, {sql_rnd(f"case when {sql_uniform('4:on', 'vec_id')} > 0.5::double then v else (v + 0.01::double * {_NORMAL('4:noise', 'vec_id', 'i')}) * (0.8::double + (1.2::double - 0.8::double) * {sql_uniform('4:scale', 'vec_id')}) end")} as v from emb""")
+select vec_id, i::int as i, {sql_rnd(f"case when {sql_uniform('4:on', 'vec_id')} > 0.5::double then v else (v + 0.01::double * {sql_normal('4:noise', 'vec_id', 'i')}) * (0.8::double + (1.2::double - 0.8::double) * {sql_uniform('4:scale', 'vec_id')}) end")} as v from emb""")
 def _(T):
     got = augment.augment(T.embedded, 4, keys=("vec_id",), prob=0.5, noise_std=0.01, scale_range=(0.8, 1.2))
     return got.select("vec_id", F.posexplode("x").alias("i", "v")).select("vec_id", "i", rnd("v").alias("v"))
@@ -275,9 +273,9 @@ _BAD_RANK = f"row_number() over (partition by vec_id, t order by {sql_digest('9:
 st as (select vec_id, greatest(avg(v * v), 1e-12::double) as power, greatest(stddev_samp(v), 1e-6::double) as sd from samples4 group by 1),
 j as (select s.*, lv.kind, lv.level, st.power, st.sd, {_BAD_RANK.replace('vec_id', 's.vec_id').replace('channel', 's.channel').replace('by s.vec_id, t', 'by s.vec_id, s.t')} as rk from samples4 s join lv on lv.vec_id = s.vec_id join st on st.vec_id = s.vec_id where lv.kind in ('noise', 'drift', 'bad_channel')),
 y as (select vec_id, kind, channel, t, case kind
-  when 'noise' then v + {_NORMAL('9:noise', 'vec_id', 'channel', 't')} * sqrt(power / pow(10.0::double, (20 + (-5 - 20) * level) / 10.0))
+  when 'noise' then v + {sql_normal('9:noise', 'vec_id', 'channel', 't')} * sqrt(power / pow(10.0::double, (20 + (-5 - 20) * level) / 10.0))
   when 'drift' then v + (0.1::double + (3.0::double - 0.1::double) * level) * sd * sin(6.283::double * (0.5::double + 2.0::double * {sql_uniform('9:freq', 'vec_id', 'channel')}) * t / 15.0 + {sql_uniform('9:phase', 'vec_id', 'channel')} * 6.283::double)
-  else case when rk <= round_even(4 * 0.5::double * level, 0) then {_NORMAL('9:bad', 'vec_id', 'channel', 't')} * 1e-3::double else v end end as v from j)
+  else case when rk <= round_even(4 * 0.5::double * level, 0) then {sql_normal('9:bad', 'vec_id', 'channel', 't')} * 1e-3::double else v end end as v from j)
 select vec_id, kind, channel::int as channel, {sql_rnd('sum(v)')} as s from y group by 1, 2, 3""")
 def _(T):
     got = _corrupted(T).filter(F.col("kind").isin("noise", "drift", "bad_channel"))

@@ -290,7 +290,7 @@ def _(T):
 st as (select recording_id, channel, avg(v) as m, greatest(stddev_pop(v), 1e-8::double) as s from samples group by 1, 2)
 select recording_id, channel, t, {sql_rnd('(v - m) / s', 5)} as z from samples join st using (recording_id, channel)""")
 def _(T):
-    got = normalize.scoped_zscore(T.samples, ["recording_id", "channel"])
+    got = layout.to_samples(normalize.scoped_zscore(T.signals(256, 0)))
     return got.select("recording_id", "channel", "t", rnd("v", 5).alias("z"))
 
 
@@ -299,17 +299,19 @@ runs as (select *, t // 100 as run from samples),
 st as (select recording_id, run, channel, avg(v) as m, stddev_pop(v) as sd from runs group by 1, 2, 3)
 select recording_id, channel, run, t, {sql_rnd('(v - m) / case when sd = 0 then 1.0::double else sd end', 5)} as z from runs join st using (recording_id, run, channel)""")
 def _(T):
-    runs = T.samples.withColumn("run", F.floor(F.col("t") / 100))
-    got = normalize.scoped_zscore(runs, ["recording_id", "run", "channel"], eps_mode="one")
-    return got.select("recording_id", "channel", "run", "t", rnd("v", 5).alias("z"))
+    runs = T.samples_wide.withColumn("run", F.floor(F.col("t") / 100)).withColumn("t", F.col("t") - F.col("run") * 100)
+    keys = ["recording_id", "run"]
+    z = normalize.scoped_zscore(layout.to_signals(runs, 64, 0, keys, X.CHANNELS), keys, "one")
+    got = layout.to_samples(z, [*keys, "channel"])
+    return got.select("recording_id", "channel", "run", (F.col("t") + F.col("run") * 100).alias("t"), rnd("v", 5).alias("z"))
 
 
 @query("normalize_pad_then_stats", f"""with {X.windows_sql(starts=STARTS['floor'])},
 st as (select recording_id, channel, start, n_pad, x, list_avg(x) as m, list_stddev_pop(x) + 1e-8::double as s from windows),
-before as (select recording_id, channel, start, n_pad::bigint as n_pad, list_transform(x, lambda v: (v - m) / s) as x from st where n_pad > 0)
+before as (select recording_id, channel, start, n_pad::bigint as n_pad, list_transform(x, lambda v: (v - m) / s) as x from st)
 {digest_sql('before', 'recording_id, channel, start, n_pad')}""")
 def _(T):
-    padded = T.windows(tail="floor").filter(F.col("n_pad") > 0).withColumn("n_pad", F.col("n_pad").cast("bigint"))
+    padded = T.windows(tail="floor").withColumn("n_pad", F.col("n_pad").cast("bigint"))
     return digest_rows(normalize.zscore(padded, "add"), ["recording_id", "channel", "start", "n_pad"])
 
 
@@ -320,6 +322,6 @@ cuts as (select *, unnest({STARTS['next']}) as start from z),
 padded as (select recording_id, channel, start, list_concat(x[start+1:start+{W}], list_transform(range(0, greatest(start+{W}-n, 0)), lambda i: 0.0::double)) as x from cuts)
 {digest_sql('padded', 'recording_id, channel, start')}""")
 def _(T):
-    z = normalize.scoped_zscore(T.samples, ["recording_id", "channel"], eps_mode="add")
-    cut = windowing.cut(z, W, S, "next", frame=256)
+    z = normalize.scoped_zscore(T.signals(256, W - S), eps_mode="add")
+    cut = windowing.windows(z, W, S, "next")
     return digest_rows(cut, ["recording_id", "channel", "start"])

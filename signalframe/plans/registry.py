@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 @dataclass(frozen=True)
 class Query:
@@ -37,6 +40,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def scratch(spark, what: str) -> str:
+    """A new path in the shared folder, for what a query writes before it reads it back."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 # Results are rounded in both engines because summation order differs. The
 # offset moves exact decimal ties off the rounding boundary, the final +0.0
 # turns a negative zero into zero.
@@ -57,6 +65,16 @@ def sql_uniform(seed, *exprs: str) -> str:
     return f"(('0x' || substr({sql_digest(seed, *exprs)}, 1, 16))::ubigint::double / pow(2::double, 64))"
 
 
+def sql_normal(seed, *exprs: str) -> str:
+    """DuckDB form of element i of functions.hashing.normals; the last expression is i."""
+    *keys, i = exprs
+    text = sql_digest(seed, *keys, f"({i}) // 4")
+    part = lambda k: f"(('0x' || substr({text}, ({k}) * 16 + 1, 16))::ubigint::double / pow(2::double, 64))"
+    pair = f"(({i}) % 4 // 2 * 2)"
+    angle = f"2.0::double * pi() * {part(pair + ' + 1')}"
+    return f"(sqrt(-2.0::double * ln(greatest({part(pair)}, 1e-12::double))) * case when ({i}) % 2 = 0 then cos({angle}) else sin({angle}) end)"
+
+
 def sql_digest(seed, *exprs: str) -> str:
     key = " || '::' || ".join([f"'{seed}'"] + [f"({e})::varchar" for e in exprs])
     return f"sha256({key})"

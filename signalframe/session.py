@@ -1,10 +1,10 @@
-"""Session defaults and the one place that decides where checkpoints go."""
+"""Session defaults, the shared folder and file operations on it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "signalframe", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -23,19 +23,44 @@ def build_session(app: str = "signalframe", master: str | None = None, partition
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    A machine-local folder is only ever chosen when nothing is configured and
-    the session runs in local mode.
+    Only a session in local mode without the setting, as in tests, gets a folder of
+    its own; on a cluster that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return folder.rstrip("/")
+
+
+class Files:
+    """Rename, remove and list on whatever store a path names, as Spark itself reaches it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def remove(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def folders(self, path: str) -> list[str]:
+        return [f.getPath().getName() for f in self._fs.listStatus(self._path(path)) if f.isDirectory()]
+
+    def names(self, path: str) -> list[str]:
+        return [f.getPath().getName() for f in self._fs.listStatus(self._path(path))]
+
+    def move(self, source: str, target: str) -> None:
+        """``source`` takes the place of ``target``."""
+        self.remove(target)
+        self._fs.mkdirs(self._path(target).getParent())
+        if not self._fs.rename(self._path(source), self._path(target)):
+            raise OSError(f"cannot move {source} to {target}")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Files
+
 # Accepted column names, first match wins.
 SIGNAL_ALIASES = ("data", "input", "X")
 LABEL_ALIASES = ("label", "labels", "y", "Y")
@@ -73,27 +75,69 @@ def assert_non_empty_splits(df: DataFrame, splits=("train", "val", "test")) -> N
         raise ValueError(f"refusing to publish: empty splits {gone}")
 
 
+STAGE, COMMIT = "_staging", "_commit"
+
+
 def write_windows(df: DataFrame, path: str, splits=None, partitions: int | None = None, codec: str = "zstd") -> None:
     """Partitioned Parquet by dataset and split, clustered by recording.
 
     Rows are range partitioned on (dataset, split, recording, start): a task writes
     to one or two folders, files are even in size, and a huge recording is spread
-    over as many tasks as its windows fill. The folders (dataset, split) of the data
-    are replaced, all others stay, so a rerun leaves the same rows. With ``splits``
-    the data goes to a staging folder beside them first and is published only if
-    no split is empty there.
+    over as many tasks as its windows fill.
+
+    Data are written once, in their final layout, to a stage inside ``path``. With
+    ``splits`` an empty split is refused there. Then each (dataset, split) folder of
+    the stage takes the place of the published one, all others stay, and a commit
+    marker with the rows of every folder is written. The marker goes before the
+    first folder moves, so data without one are not complete; the stage goes in
+    any case, also one that a killed run has left. A rerun leaves the same rows.
     """
-    if splits is not None:
-        staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
-        df.write.parquet(staging)
-        df = df.sparkSession.read.schema(df.schema).parquet(staging)
-        assert_non_empty_splits(df, splits)
+    spark, path = df.sparkSession, path.rstrip("/")
+    files, stage = Files(spark, path), f"{path}/{STAGE}"
     order = [c for c in ("dataset_id", "split", "recording_id", "start") if c in df.columns]
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     by = [c for c in ("dataset_id", "split") if c in df.columns]
-    ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*by).options(
-        compression=codec, partitionOverwriteMode="dynamic"
-    ).parquet(path)
+    try:
+        ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*by).options(compression=codec).parquet(stage)
+        if splits is not None:
+            assert_non_empty_splits(spark.read.schema(df.schema).parquet(stage), splits)
+        # A folder of the layout, or a file where nothing is partitioned.
+        found = _leaves(files, stage, len(by))
+        rows = {name: spark.read.parquet(f"{stage}/{name}").count() for name in found}
+        before = {r.folder: r.n for r in _marker(spark, path).collect()} if by and files.exists(f"{path}/{COMMIT}") else {}
+        files.remove(f"{path}/{COMMIT}")
+        for old in [] if by else _leaves(files, path, 0):
+            files.remove(f"{path}/{old}")
+        for name in found:
+            files.move(f"{stage}/{name}", f"{path}/{name}")
+        marker = spark.createDataFrame(sorted({**before, **rows}.items()), "folder string, n long")
+        marker.coalesce(1).write.mode("overwrite").json(f"{path}/{COMMIT}")
+    finally:
+        files.remove(stage)
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """Windows whose commit marker is there and tells their number; anything else is an error."""
+    path = path.rstrip("/")
+    if not Files(spark, path).exists(f"{path}/{COMMIT}"):
+        raise ValueError(f"{path} has no commit marker: a write was not finished")
+    want = _marker(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = spark.read.parquet(path)
+    if (n := rows.count()) != want:
+        raise ValueError(f"{path} has {n} rows, its commit marker says {want}")
+    return rows
+
+
+def _marker(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("folder string, n long").json(f"{path}/{COMMIT}")
+
+
+def _leaves(files: Files, path: str, depth: int) -> list[str]:
+    """Partition folders ``depth`` levels down, or data files, relative to ``path``."""
+    if depth == 0:
+        return [n for n in files.names(path) if n.endswith(".parquet")]
+    here = [n for n in files.folders(path) if "=" in n]
+    return here if depth == 1 else [f"{n}/{m}" for n in here for m in _leaves(files, f"{path}/{n}", depth - 1)]
 
 
 def prep_summary(df: DataFrame, params: dict, label: str = "label", label_names: dict | None = None) -> DataFrame:
@@ -125,21 +169,39 @@ def cache_status(items: DataFrame, cached: DataFrame, cfg: dict, item: str = "it
     ).drop("__hit")
 
 
-def with_cache(items: DataFrame, cfg: dict, path: str, compute, item: str = "item_key") -> DataFrame:
+def cache_counts(status: DataFrame) -> DataFrame:
+    """``hits, misses`` of items with their cache status."""
+    return status.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+class Cached(NamedTuple):
+    rows: DataFrame
+    hits: int
+    misses: int
+
+
+def with_cache(items: DataFrame, cfg: dict, path: str, compute, item: str = "item_key") -> Cached:
     """Compute only the items missing from the table at ``path`` and append them.
 
-    ``compute(DataFrame) -> DataFrame`` keeps the ``cache_key`` column. The appended
-    job commits as a whole, and a rerun after a failure starts from what is there.
+    ``compute(DataFrame) -> DataFrame`` keeps the ``cache_key`` column. What is missing is
+    staged first and then moved in as one folder of the table, so a reader never
+    sees half of it; a rerun after a failure starts from what was published. Keys
+    that another run published meanwhile are not added again.
     """
-    spark = items.sparkSession
-    keyed = items.withColumn("cache_key", cache_key(F.col(item), cfg))
-    if _exists(spark, path):
-        have = spark.read.parquet(path).select("cache_key").distinct()
-        missing = keyed.join(have, "cache_key", "left_anti")
-    else:
-        missing = keyed
-    compute(missing).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(keyed.select("cache_key").distinct(), "cache_key", "left_semi")
+    spark, path = items.sparkSession, path.rstrip("/")
+    files, stage = Files(spark, path), f"{path}/{STAGE}"
+    have = spark.read.parquet(path).select("cache_key") if _exists(spark, path) else spark.createDataFrame([], "cache_key string")
+    status = cache_status(items, have, cfg, item)
+    hits, misses = cache_counts(status).first()
+    keyed = status.select("cache_key").distinct()
+    try:
+        if misses:
+            compute(status.filter(~F.col("hit")).drop("hit")).write.mode("overwrite").parquet(stage)
+            for name in [n for n in files.names(stage) if n.endswith(".parquet")]:
+                files.move(f"{stage}/{name}", f"{path}/{name}")
+    finally:
+        files.remove(stage)
+    return Cached(spark.read.parquet(path).join(keyed, "cache_key", "left_semi"), hits, misses)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -148,7 +210,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return False
     return True

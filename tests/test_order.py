@@ -106,3 +106,31 @@ def test_pareto_front_brute_force(spark):
         sign = 1 if maximize else -1
         want = {i for i, p, c in pts if not any(sign * q >= sign * p and d <= c and (sign * q > sign * p or d < c) for _, q, d in pts)}
         assert {r.id for r in rank.pareto_front(df, "p", "c", maximize).collect()} == want
+
+
+def test_buckets_are_even_wherever_values_crowd(spark):
+    ids = spark.range(50000).select(F.format_string("sub-%06d", "id").alias("k"))
+    scores = spark.range(1000).select((0.99 + F.col("id") / 1e5).alias("k"))
+    tiny = spark.range(1000).select((F.col("id") * 1e-12).alias("k"))
+    for df, n in ((ids, 50000), (scores, 1000), (tiny, 1000)):
+        placed = order.spread(df, "k")
+        assert placed.groupBy("__spread").count().agg(F.max("count")).first()[0] < max(0.03 * n, 20)
+        rows = [r["__spread"] for r in placed.orderBy("k").collect()]
+        assert rows == sorted(rows) and 0 <= rows[0] and rows[-1] <= 255
+    got = order.ordinal(order.spread(ids, "k"), [], ["k"], F.col("__spread"), "n")
+    assert got.filter(F.format_string("sub-%06d", F.col("n")) != F.col("k")).count() == 0
+
+
+def test_buckets_of_few_and_odd_values(spark):
+    odd = spark.createDataFrame([(float("nan"),), (None,), (0.0,), (float("-inf"),), (float("inf"),)], "k double")
+    rows = [r["__spread"] for r in order.spread(odd, "k").orderBy("k").collect()]
+    assert rows == sorted(rows)
+    assert order.spread(odd.limit(0), "k").count() == 0
+
+
+def test_labels_of_any_number_are_ranked_in_buckets(spark):
+    from signalframe.operators import labels
+
+    df = spark.range(3000).select(F.format_string("c%05d", F.col("id") * 7 % 3000).alias("label"))
+    out = labels.contiguous_labels(df)
+    assert out.filter(F.format_string("c%05d", "class_id") != F.col("label")).count() == 0 and out.count() == 3000

@@ -318,3 +318,80 @@ def test_butterworth_edges_are_half_power():
     z, p, g = dsp.butter_zpk(4, 0.1, 0.4)
     at = lambda w: abs(g * np.prod(np.exp(1j * np.pi * w) - z) / np.prod(np.exp(1j * np.pi * w) - p))
     assert np.allclose([at(0.1), at(0.4)], 0.5**0.5) and at(0.2) > 0.99 and at(0.01) < 1e-3
+
+
+def _whole(x, fs, cfg):
+    """The chain over one array: what block-wise filtering must give."""
+    for f in cfg.filters(fs):
+        x = f.zero_phase(x)
+    up, down = cfg.ratio(fs)
+    return x if (up, down) == (1, 1) else dsp.resample_rows(x, up, down, 0, 0, -(-x.shape[1] * up // down))
+
+
+def test_blocks_keep_a_memory_longer_than_themselves():
+    """0.1 Hz at 2048 Hz in blocks of 16 384: states carry what no halo could."""
+    cfg = filters.Preprocess(notch=50.0, bandpass=(0.1, 40.0), normalise="none")
+    steps, frame = cfg.filters(2048.0), 16384
+    x = np.cumsum(np.random.default_rng(2).normal(size=(2, 5 * frame + 777)), axis=1) + 300
+    cuts = [x[:, a:a + frame] for a in range(0, x.shape[1], frame)]
+    n = dsp.width(steps)
+    ends = lambda k: (k == 0, k == len(cuts) - 1)
+    sent = np.stack([dsp.cascade(steps, b, np.zeros((2, n)), *ends(k))[1] for k, b in enumerate(cuts)])
+    own = {k: dsp.response(steps, cuts[k].shape[1], *ends(k)) for k in (0, len(cuts) - 1)}
+    states = dsp.incoming(steps, dsp.response(steps, frame, False, False), sent, own)
+    got = np.concatenate([dsp.cascade(steps, b, states[k], *ends(k))[0] for k, b in enumerate(cuts)], axis=1)
+    want = _whole(x, 2048.0, cfg)
+    assert np.abs(got - want).max() < 1e-9 * np.abs(x).max()
+
+
+def test_filtered_blocks_of_many_recordings(spark):
+    """Recordings of one block, a short rest that joins the block before, and exact multiples."""
+    rng = np.random.default_rng(3)
+    lengths = {f"r{n}": n for n in (1, 2, 40, 127, 128, 129, 155, 156, 157, 300, 512, 1000)}
+    x = {r: np.cumsum(rng.normal(size=(2, n)), axis=1) for r, n in lengths.items()}
+    rows = [(r, t, float(v[0, t]), float(v[1, t])) for r, v in x.items() for t in range(v.shape[1])]
+    df = spark.createDataFrame(rows, "recording_id string, t long, a double, b double")
+    cfg = filters.Preprocess(notch=20.0, bandpass=(1.0, 30.0), target_rate=96.0, normalise="none")
+    got = filters.preprocess(df, 128.0, cfg, frame=128, channels=["a", "b"]).toPandas()
+    for r, v in x.items():
+        want = _whole(v, 128.0, cfg)
+        for k, c in enumerate("ab"):
+            mine = got[(got.recording_id == r) & (got.channel == c)].sort_values("t")
+            assert list(mine["t"]) == list(range(want.shape[1]))
+            assert np.abs(mine["v"].to_numpy() - want[k]).max() < 1e-8
+
+
+def test_samples_are_shuffled_once(spark):
+    """Only states, edges and moments meet the blocks: the arrays themselves do not move again."""
+    import re
+
+    df = spark.createDataFrame([("r", t, 1.0 * t, 2.0) for t in range(50)], "recording_id string, t long, a double, b double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cfg = filters.Preprocess(notch=20.0, bandpass=(1.0, 30.0), target_rate=96.0, normalise="zscore")
+        done = filters.preprocess(df, 128.0, cfg, channels=["a", "b"])
+        plan = spark._jvm.PythonSQLUtils.explainString(done._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
+    names = [{re.sub(r"#\d+L?", "", c) for c in line.split(", ")} for line in moved]
+    assert any({"sent", "response"} <= n for n in names) and any("states" in n for n in names)
+    assert not any(n & {"x", "samples", "own"} for n in names)
+
+
+@pytest.mark.parametrize("limit", [0, 64])
+def test_one_null_rule_for_linear_maps(spark, monkeypatch, limit):
+    from signalframe.functions import linear
+
+    monkeypatch.setattr(linear, "UNROLL_LIMIT", limit)
+    inf, nan = float("inf"), float("nan")
+    rows = [[1.0, None, 3.0], [1.0, 2.0, 3.0], [None, nan, 0.0], [inf, 1.0, 1.0]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x array<double>")
+    m = np.array([[1.0, 0, 0], [0, 1, 0], [0, 0, 1], [1, 0, 2], [0, 0, 0]])
+    got = [list(r.y) for r in df.select("i", linear.apply_matrix(F.col("x"), m).alias("y")).orderBy("i").collect()]
+    same = lambda a, b: a == b or (a is not None and b is not None and np.isnan(a) and np.isnan(b))
+    want = [[1.0, None, 3.0, 7.0, 0.0], [1.0, 2.0, 3.0, 7.0, 0.0], [None, nan, 0.0, None, 0.0], [inf, 1.0, 1.0, inf, 0.0]]
+    assert all(same(a, b) for g, w in zip(got, want) for a, b in zip(g, w))
+    with pytest.raises(Exception, match="array length"):
+        spark.createDataFrame([([1.0],)], "x array<double>").select(linear.apply_matrix(F.col("x"), m)).collect()

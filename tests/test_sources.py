@@ -99,6 +99,44 @@ def test_window_sink_partitions_and_refuses_empty_splits(spark, root):
     assert os.path.isdir(f"{root}/w/dataset_id=d/split=val")
     with pytest.raises(ValueError, match="test"):
         windows.write_windows(df, f"{root}/w2", splits=("train", "val", "test"))
+    assert windows.read_published(spark, f"{root}/w").count() == 80
+    assert not any(os.path.exists(f"{root}/{w}/_staging") for w in ("w", "w2"))
+    with pytest.raises(ValueError, match="no commit marker"):
+        windows.read_published(spark, f"{root}/w2")
+
+
+@pytest.mark.parametrize("partitioned", [True, False])
+def test_a_killed_write_is_finished_by_a_rerun(spark, root, partitioned, monkeypatch):
+    keys = ("dataset_id", "split") if partitioned else ("a", "b")
+    make = lambda n, names=("d", "e f"): spark.createDataFrame([(d, s, f"r{i}", i) for i in range(n) for s in ("train", "val") for d in names], f"{keys[0]} string, {keys[1]} string, recording_id string, start long")
+    path = f"{root}/w"
+    windows.write_windows(make(5), path)
+    assert windows.read_published(spark, path).count() == 20
+    moves, real = [], windows.Files.move
+
+    def dies(self, source, target):
+        moves.append(target)
+        if len(moves) == 2:
+            raise OSError("killed")
+        real(self, source, target)
+
+    monkeypatch.setattr(windows.Files, "move", dies)
+    with pytest.raises(OSError, match="killed"):
+        windows.write_windows(make(7).repartition(3), path, partitions=3)
+    assert not os.path.exists(f"{path}/_staging")
+    with pytest.raises(ValueError, match="no commit marker"):
+        windows.read_published(spark, path)
+    monkeypatch.undo()
+    # What a run killed outright would leave behind.
+    make(3).write.parquet(f"{path}/_staging/x")
+    for _ in range(2):
+        windows.write_windows(make(7).repartition(3), path, partitions=3)
+        got = windows.read_published(spark, path)
+        assert sorted(map(tuple, got.select(*keys, "recording_id", "start").collect())) == sorted(map(tuple, make(7).collect()))
+        assert not os.path.exists(f"{path}/_staging")
+    if partitioned:
+        windows.write_windows(make(2, ("d",)), path)
+        assert windows.read_published(spark, path).groupBy("dataset_id").count().orderBy("dataset_id").collect() == [("d", 4), ("e f", 14)]
 
 
 def test_metadata_gate(spark):
@@ -121,10 +159,20 @@ def test_cache_computes_only_misses(spark, root):
 
     items = lambda n: spark.createDataFrame([(f"r{i}",) for i in range(n)], "item_key string")
     cfg = {"notch": 50, "normalise": "zscore"}
-    assert windows.with_cache(items(5), cfg, f"{root}/cache", compute).count() == 5
-    assert windows.with_cache(items(8), dict(reversed(cfg.items())), f"{root}/cache", compute).count() == 8
-    assert windows.with_cache(items(2), {"notch": 60}, f"{root}/cache", compute).count() == 2
-    assert calls == [5, 3, 2]
+    for n, config, hits, misses in ((5, cfg, 0, 5), (8, dict(reversed(cfg.items())), 5, 3), (2, {"notch": 60}, 0, 2), (8, cfg, 8, 0)):
+        got = windows.with_cache(items(n), config, f"{root}/cache", compute)
+        assert (got.rows.count(), got.hits, got.misses) == (n, hits, misses)
+    assert calls == [5, 3, 2] and not os.path.exists(f"{root}/cache/_staging")
+
+
+def test_a_failed_computation_leaves_no_stage(spark, root):
+    items = spark.createDataFrame([("a",), ("b",)], "item_key string")
+    broken = lambda df: df.withColumn("y", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        windows.with_cache(items, {}, f"{root}/cache", broken)
+    assert not os.path.exists(f"{root}/cache/_staging")
+    got = windows.with_cache(items, {}, f"{root}/cache", lambda df: df.withColumn("y", F.lit(1)))
+    assert (got.rows.count(), got.hits, got.misses) == (2, 0, 2)
 
 
 def test_manifest_round_trip(spark, root):
