@@ -37,21 +37,23 @@ DATASETS = [
     ("synthetic_semg", "semg", "pretrain", 1000.0, 8, None, False, "unknown", "monopolar", "limb", None, False),
 ]
 
+# Modalities and body regions.
 MODALITIES = ("eeg", "ecg", "semg")
 EMG_REGIONS = ("limb", "facial", "trunk", "unknown")
 
 # Channel ids are positions in this list and are append-only.
 PAD_ID, UNK_ID = 0, 1
-CHANNEL_VOCABULARY = (
-    "<pad> <unk> "
-    "Fpz-Cz Pz-Oz "
-    "Fp1-F7 F7-T3 T3-T5 T5-O1 Fp2-F8 F8-T4 T4-T6 T6-O2 "
-    "Fp1-F3 F3-C3 C3-P3 P3-O1 Fp2-F4 F4-C4 C4-P4 P4-O2 Fz-Cz Cz-Pz "
-    "Fp1 Fpz Fp2 AF7 AF3 AFz AF4 AF8 F7 F5 F3 F1 Fz F2 F4 F6 F8 "
-    "FT7 FC5 FC3 FC1 FCz FC2 FC4 FC6 FT8 T7 C5 C3 C1 Cz C2 C4 C6 T8 "
-    "TP7 CP5 CP3 CP1 CPz CP2 CP4 CP6 TP8 P9 P7 P5 P3 P1 Pz P2 P4 P6 P8 P10 "
-    "PO7 PO3 POz PO4 PO8 O1 Oz O2 Iz"
-).split()
+CHANNEL_VOCABULARY = [
+    "<pad>", "<unk>", "Fpz-Cz", "Pz-Oz", "Fp1-F7", "F7-T3", "T3-T5", "T5-O1", "Fp2-F8", "F8-T4",
+    "T4-T6", "T6-O2", "Fp1-F3", "F3-C3", "C3-P3", "P3-O1", "Fp2-F4", "F4-C4", "C4-P4", "P4-O2",
+    "Fz-Cz", "Cz-Pz", "Fp1", "Fpz", "Fp2", "AF7", "AF3", "AFz", "AF4", "AF8",
+    "F7", "F5", "F3", "F1", "Fz", "F2", "F4", "F6", "F8", "FT7",
+    "FC5", "FC3", "FC1", "FCz", "FC2", "FC4", "FC6", "FT8", "T7", "C5",
+    "C3", "C1", "Cz", "C2", "C4", "C6", "T8", "TP7", "CP5", "CP3",
+    "CP1", "CPz", "CP2", "CP4", "CP6", "TP8", "P9", "P7", "P5", "P3",
+    "P1", "Pz", "P2", "P4", "P6", "P8", "P10", "PO7", "PO3", "POz",
+    "PO4", "PO8", "O1", "Oz", "O2", "Iz",
+]
 
 # Diagnosis superclasses in rising priority.
 SUPERCLASS_PRIORITY = {"NORM": 0, "MI": 1, "STTC": 2, "CD": 3, "HYP": 4}
