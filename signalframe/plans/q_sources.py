@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dsp
 from ..operators import filters, joins
 from ..sources import files as S
 from ..sources import results as R
@@ -12,7 +11,7 @@ from ..sources import windows as SW
 from . import fixtures as X
 from .q_splits import FILES_SQL
 from .q_splits import files as corpus_files
-from .registry import query, rnd, scratch, sql_rnd, sql_values
+from .registry import query, rnd, scratch, sql_rnd
 
 
 @query("source_catalog_path_fields", f"""with {FILES_SQL} select path, regexp_extract(path, '/S(\\d+)/', 1) as subject, regexp_extract(path, '([^/]+)/[^/]*$', 1) as folder,
@@ -183,15 +182,99 @@ def _(T):
 
 
 # -- preprocessing chain ------------------------------------------------------------
-
-_TAPS = dsp.resample_taps(3, 4)
-_TAPS_SQL = sql_values("taps", ["j", "h"], [(i, float(v)) for i, v in enumerate(_TAPS)])
-
-
-@query("filters_polyphase_resample", f"""with {X.A}, {_TAPS_SQL}, len as (select recording_id, max(t) + 1 as n from samples_wide group by 1),
-outs as (select recording_id, unnest(range(0, (n * 3 + 3) // 4)) as m from len),
-nb as (select recording_id, m, unnest(range((m * 4 - 40) // 3 - 1, (m * 4 + 40) // 3 + 2)) as t from outs)
-select o.recording_id, s.channel, o.m as t, {sql_rnd('sum(s.v * h)', 5)} as v from nb o join samples s on s.recording_id = o.recording_id and s.t = o.t join taps on j = o.m * 4 - o.t * 3 + 40 group by 1, 2, 3""")
+#
+# The oracles compute everything from the filters' definitions: sections from their
+# poles, samples one after another by a recursive table, taps from the Kaiser window.
+
+_SIGNALS = "sig as (select recording_id, channel, list(v order by t) as x from samples group by 1, 2)"
+
+
+def _sections_sql(rows: list[dict[str, str]]) -> str:
+    """One row of section coefficients ``b0_1, b1_1, ..`` from expressions per section."""
+    return ", ".join(f"({e})::double as {n}_{k}" for k, row in enumerate(rows, 1) for n, e in row.items())
+
+
+def _lowpass_sql(fs: float, cut: float) -> str:
+    """Order 4: two sections with damping 2 cos(pi/8), 2 cos(3 pi/8) on the warped frequency."""
+    k = f"tan(pi() * {cut} / {fs})"
+    rows = []
+    for part in ("pi() / 8", "3 * pi() / 8"):
+        a0, d = f"(1 + 2 * cos({part}) * {k} + {k} * {k})", f"2 * cos({part}) * {k}"
+        rows.append({"b0": f"{k} * {k} / {a0}", "b1": f"2 * {k} * {k} / {a0}", "b2": f"{k} * {k} / {a0}", "a1": f"2 * ({k} * {k} - 1) / {a0}", "a2": f"(1 - {d} + {k} * {k}) / {a0}"})
+    return f"select {_sections_sql(rows)}"
+
+
+def _notch_sql(fs: float, freq: float, q: float) -> str:
+    w = f"(2 * pi() * {freq} / {fs})"
+    g = f"(1 / (1 + tan({w} / {q} / 2)))"
+    return f"select {_sections_sql([{'b0': g, 'b1': f'-2 * {g} * cos({w})', 'b2': g, 'a1': f'-2 * {g} * cos({w})', 'a2': f'2 * {g} - 1'}])}"
+
+
+def _bandpass_sql(fs: float, lo: float, hi: float) -> str:
+    """Order 4: each upper pole of the low-pass gives two poles of the band; a section is one with its conjugate."""
+    first = f"select tan(pi() * {hi} / {fs}) - tan(pi() * {lo} / {fs}) as bw, tan(pi() * {lo} / {fs}) * tan(pi() * {hi} / {fs}) as w2"
+    half = "select *, " + ", ".join(f"cos({k} * pi() / 8) * bw / 2 as h{k}, sin({k} * pi() / 8) * bw / 2 as g{k}" for k in (5, 7)) + f" from ({first})"
+    root = "select *, " + ", ".join(f"h{k} * h{k} - g{k} * g{k} - w2 as u{k}, 2 * h{k} * g{k} as v{k}" for k in (5, 7)) + f" from ({half})"
+    poles, at = [], []
+    for k in (5, 7):
+        size = f"sqrt(u{k} * u{k} + v{k} * v{k})"
+        re, im = f"sqrt(({size} + u{k}) / 2)", f"sign(v{k}) * sqrt(({size} - u{k}) / 2)"
+        for sign, n in (("+", len(at) + 1), ("-", len(at) + 2)):
+            poles.append(f"h{k} {sign} {re} as x{n}, g{k} {sign} {im} as y{n}")
+            at.append(n)
+    placed = f"select *, {', '.join(poles)} from ({root})"
+    sized = "select *, " + ", ".join(f"pow(1 - x{n}, 2) + y{n} * y{n} as d{n}" for n in at) + f" from ({placed})"
+    gain = "bw / pow(d1 * d2 * d3 * d4, 0.25)"
+    rows = [{"b0": gain, "b1": "0", "b2": f"-{gain}", "a1": f"-2 * (1 - x{n} * x{n} - y{n} * y{n}) / d{n}", "a2": f"(pow(1 + x{n}, 2) + y{n} * y{n}) / d{n}"} for n in at]
+    return f"select {_sections_sql(rows)} from ({sized})"
+
+
+def _zero_phase_sql(name: str, src: str, coefficients: str, sections: int) -> str:
+    """CTEs up to ``name(recording_id, channel, x)``: forward and backward over the oddly extended signal."""
+    pad, ks = 9 if sections == 1 else 3 * (2 * sections + 1), range(1, sections + 1)
+    states = ", ".join(f"z1_{k}, z2_{k}" for k in ks)
+    steady, u = [], "e[1]"
+    for k in ks:
+        steady.append(f"{u} * (b0_{k} + b1_{k} + b2_{k}) / (1 + a1_{k} + a2_{k}) as y{k}, y{k} - b0_{k} * {u} as z1_{k}, b2_{k} * {u} - a2_{k} * y{k} as z2_{k}")
+        u = f"y{k}"
+    step, u = [], "e[i + 2]"
+    for k in ks:
+        step.append(f"b0_{k} * {u} + z1_{k} as y{k}, b1_{k} * {u} - a1_{k} * y{k} + z2_{k} as n1_{k}, b2_{k} * {u} - a2_{k} * y{k} as n2_{k}")
+        u = f"y{k}"
+    last = f"y{sections}"
+
+    def run(out, source):
+        return f"""{out}(recording_id, channel, i, y, {states}) as (
+  select recording_id, channel, 0::bigint, {last}, {states} from (select recording_id, channel, {', '.join(steady)} from {source}, {name}_c)
+  union all select recording_id, channel, i + 1, {last}, {', '.join(f'n1_{k}, n2_{k}' for k in ks)} from (select f.recording_id, f.channel, i, {', '.join(step)} from {out} f join {source} s on s.recording_id = f.recording_id and s.channel = f.channel and f.i + 1 < len(s.e), {name}_c))"""
+
+    return f"""{name}_c as materialized ({coefficients}),
+{name}_p as (select *, least({pad}, len(x) - 1) as p from {src}),
+{name}_e as materialized (select recording_id, channel, p, len(x) as n, list_concat(list_transform(range(1, p + 1), lambda k: 2 * x[1] - x[p + 2 - k]), list_concat(x, list_transform(range(1, p + 1), lambda k: 2 * x[len(x)] - x[len(x) - k]))) as e from {name}_p),
+{run(f'{name}_f', f'{name}_e')},
+{name}_g as materialized (select recording_id, channel, list(y order by i desc) as e from {name}_f group by 1, 2),
+{run(f'{name}_b', f'{name}_g')},
+{name}_h as (select recording_id, channel, list(y order by i desc) as y from {name}_b group by 1, 2),
+{name} as materialized (select recording_id, channel, y[p + 1:p + n] as x from {name}_h join {name}_e using (recording_id, channel))"""
+
+
+def _taps_sql(up: int, down: int) -> str:
+    top = max(up, down)
+    i0 = lambda x: f"list_sum(list_transform(range(0, 40), lambda k: pow({x} / 4, k) / pow(gamma(k + 1), 2)))"
+    return f"""raw as (select n + {10 * top} as j, case when n = 0 then 1 else sin(pi() * n / {top}) / (pi() * n / {top}) end * {i0(f'(25.0::double * (1 - pow(n / {10 * top}.0::double, 2)))')} as h from unnest(range({-10 * top}, {10 * top + 1})) as r(n)),
+taps as materialized (select j, {up} * h / sum(h) over () as h from raw)"""
+
+
+def _resample_sql(src: str, up: int, down: int) -> str:
+    """CTEs up to ``resampled(recording_id, channel, t, v)`` from ``src(recording_id, channel, x)``."""
+    half, reach = 10 * max(up, down), 10 * max(up, down) // up + 2
+    return f"""{_taps_sql(up, down)},
+outs as (select recording_id, channel, x, unnest(range(0, (len(x) * {up} + {down - 1}) // {down})) as m from {src}),
+resampled as (select recording_id, channel, m as t, sum(x[q + 1] * h) as v from (select recording_id, channel, x, m, unnest(range(greatest(m * {down} // {up} - {reach}, 0), least(m * {down} // {up} + {reach + 1}, len(x)))) as q from outs) join taps on j = m * {down} - q * {up} + {half} group by 1, 2, 3)"""
+
+
+@query("filters_polyphase_resample", f"""with {X.A}, {_SIGNALS}, {_resample_sql('sig', 3, 4)}
+select recording_id, channel, t, {sql_rnd('v', 5)} as v from resampled""")
 def _(T):
     cfg = filters.Preprocess(target_rate=3.0, normalise="none")
     got = filters.preprocess(T.samples_wide, 4.0, cfg, frame=256, channels=X.CHANNELS)
@@ -201,13 +284,21 @@ def _(T):
 _CHAIN = filters.Preprocess(notch=50.0, bandpass=(1.0, 40.0), target_rate=64.0, normalise="zscore", clip_sigma=5.0)
 
 
-@query("filters_preprocess_chain")
+@query("filters_preprocess_chain", f"""with recursive {X.A}, {_SIGNALS},
+{_zero_phase_sql('no', 'sig', _notch_sql(128.0, 50.0, 30.0), 1)},
+{_zero_phase_sql('bp', 'no', _bandpass_sql(128.0, 1.0, 40.0), 4)},
+{_resample_sql('bp', 1, 2)},
+st as (select *, greatest(least((v - avg(v) over w) / greatest(stddev_pop(v) over w, 1e-8), 5), -5) as z from resampled window w as (partition by recording_id, channel))
+select recording_id, channel, count(*) as n, {sql_rnd('avg(z)', 4)} as mean, {sql_rnd('max(z)', 4)} as top, {sql_rnd('avg(z * (t % 7))', 4)} as ordered from st group by 1, 2""")
 def _(T):
     got = filters.preprocess(T.samples_wide, 128.0, _CHAIN, channels=X.CHANNELS)
-    return got.groupBy("recording_id", "channel").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("v"), 4).alias("mean"), rnd(F.max("v"), 4).alias("top"))
+    ordered = F.avg(F.col("v") * (F.col("t") % 7))
+    return got.groupBy("recording_id", "channel").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("v"), 4).alias("mean"), rnd(F.max("v"), 4).alias("top"), rnd(ordered, 4).alias("ordered"))
 
 
-@query("filters_lowpass_only")
+@query("filters_lowpass_only", f"""with recursive {X.A}, {_SIGNALS}, {_zero_phase_sql('lp', 'sig', _lowpass_sql(100.0, 30.0), 2)},
+long as (select recording_id, channel, unnest(x) as v, unnest(range(0, len(x))) as t from lp)
+select recording_id, channel, count(*) as n, {sql_rnd('avg(v)', 4)} as mean, {sql_rnd('avg(v * (t % 7))', 3)} as ordered from long group by 1, 2""")
 def _(T):
     got = filters.preprocess(T.samples_wide, 100.0, filters.Preprocess(lowpass=30.0, normalise="none"), channels=X.CHANNELS)
-    return got.groupBy("recording_id", "channel").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("v"), 4).alias("mean"))
+    return got.groupBy("recording_id", "channel").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("v"), 4).alias("mean"), rnd(F.avg(F.col("v") * (F.col("t") % 7)), 3).alias("ordered"))
