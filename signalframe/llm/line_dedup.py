@@ -6,15 +6,23 @@ on three or four lines only: lines put in ahead of a passage do not move the
 chunks inside it, and two ends are never adjacent. A line of ``LONG`` words or
 more is a passage by itself and forms a chunk of its own.
 
-Chunks met in more than one place by hash are candidates. They are compared by
-their bytes with the first place that has the same bytes, which keeps its lines;
-from all other places the chunk goes, together with the lines before and after it
+A passage of few lines may hold no whole chunk. So every line also begins, and every
+line ends, the shortest run of lines with ``LONG`` words: a repeated passage of as
+many words is covered by such runs inside it, whatever surrounds it. Runs that
+repeated chunks cover in all their places add nothing and are left out.
+
+Chunks and runs met in more than one place by hash are candidates. They are compared
+by their bytes with the first place that has the same bytes, which keeps its lines;
+from all other places they go, a chunk together with the lines before and after it
 as far as they too equal the first place's neighbours (by 64-bit hash: a chunk's
 ends depend on what surrounds a passage, so its first and last lines fall outside).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +31,8 @@ from .common import GAP, keep, row_key, text_of
 LONG = 50
 LEAST_LINES = 2
 EDGE = 2
+#: Odd, so it has an inverse modulo 2^64: run hashes are differences of running sums.
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _let(value: Column, fn) -> Column:
@@ -62,10 +72,62 @@ def _alike(a: Column, b: Column) -> Column:
     return F.array_min(differ)
 
 
+def _runs(long: int):
+    """``row, at, end, hash`` of the shortest runs of ``long`` words from and up to every line."""
+
+    def run(batches):
+        for batch in batches:
+            row = batch.column(0).to_numpy()
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            split = [t.split(b"\n") for t in texts]
+            sizes = np.array([len(x) for x in split], dtype=np.int64)
+            lines = [x for one in split for x in one]
+            n = len(lines)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            begin, stop = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.cumsum(sizes), sizes)
+            upto = np.cumsum(np.fromiter((len(x.split()) for x in lines), np.int64, n))
+            before = np.r_[0, upto[:-1]] if n else upto
+            index = np.arange(n)
+            # The first line by whose end, and the last line by whose start, there are enough words.
+            down, up = np.searchsorted(upto, before + long), np.searchsorted(before, upto - long, side="right") - 1
+            from_here, to_here = down < stop, (up >= begin) & (upto - long >= 0)
+            at = np.concatenate([index[from_here], up[to_here]])
+            end = np.concatenate([down[from_here], index[to_here]])
+            pairs = np.unique(at * np.int64(n + 1) + end)
+            at, end = pairs // (n + 1), pairs % (n + 1)
+            power = np.cumprod(np.full(n + 1, _BASE, dtype=np.uint64))
+            inverse = np.cumprod(np.full(n + 1, pow(_BASE, -1, 2**64), dtype=np.uint64))
+            hashed = np.fromiter((xxhash.xxh64_intdigest(x) for x in lines), np.uint64, n) * power[:n]
+            total = np.r_[np.zeros(1, np.uint64), np.cumsum(hashed, dtype=np.uint64)]
+            value = (total[end + 1] - total[at]) * inverse[at] + (end - at).astype(np.uint64)
+            first = begin[at] - 1
+            columns = [row[doc[at]], (at - first).astype(np.int32), (end - first).astype(np.int32), value.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "at", "end", "hash"])
+
+    return run
+
+
+def _needed_runs(spots: DataFrame) -> DataFrame:
+    """Repeated runs that repeated chunks do not cover in at least one place, in all their places."""
+    spans = F.collect_list(F.when(~F.col("run"), F.struct("at", "end")))
+    runs = F.collect_list(F.when(F.col("run"), F.struct("at", "end", "hash")))
+    each = spots.groupBy("row").agg(F.sort_array(spans).alias("chunks"), runs.alias("runs")).filter(F.size("runs") > 0)
+    # Neighbouring chunks join up; a run is covered if one joined span holds it.
+    zero = F.struct(F.array().cast("array<struct<at:int,end:int>>").alias("done"), F.lit(-1).alias("at"), F.lit(-1).alias("end"))
+    flush = lambda a: F.concat(a["done"], F.array(F.struct(a["at"].alias("at"), a["end"].alias("end"))))
+    grow = lambda a, c: F.when(c["at"] <= a["end"] + 1, F.struct(a["done"].alias("done"), a["at"].alias("at"), F.greatest(a["end"], c["end"]).alias("end"))).otherwise(
+        F.struct(flush(a).alias("done"), c["at"].alias("at"), c["end"].alias("end"))
+    )
+    joined = each.select(F.aggregate("chunks", zero, grow, flush).alias("spans"), "runs")
+    open_ = F.filter("runs", lambda r: ~F.exists("spans", lambda c: (c["at"] <= r["at"]) & (c["end"] >= r["end"])))
+    needed = joined.select(F.explode(F.array_distinct(F.transform(open_, lambda r: r["hash"]))).alias("hash")).distinct()
+    return spots.filter("run").join(needed.hint("merge"), "hash")
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """``(row, first, last)``: line ranges to remove."""
     cut = _cut(docs)
-    spans = F.transform(F.sequence(F.lit(1), F.size("ends")), lambda k: F.struct(k.alias("k"), _start(F.col("ends"), k).alias("at"), F.get("ends", k - 1).alias("end")))
+    spans = F.transform(F.sequence(F.lit(1), F.size("ends")), lambda k: F.struct(_start(F.col("ends"), k).alias("at"), F.get("ends", k - 1).alias("end")))
     one = cut.select("row", "lines", F.explode(spans).alias("s"))
     own = F.slice("lines", F.col("s.at"), F.col("s.end") - F.col("s.at") + 1)
     wide = F.size(F.split(F.trim(F.get(own, F.lit(0))), GAP)) >= LONG
@@ -73,31 +135,40 @@ def repeated(docs: DataFrame) -> DataFrame:
     text = F.array_join(own, "\n")
     # Blank chunks hold nothing to repeat.
     one = one.filter(F.length(F.regexp_replace(text, GAP, "")) > 0)
-    spots = keep(one.select("row", F.col("s.k").alias("k"), F.xxhash64(text).alias("hash")).distinct(), "chunks")
-    often = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    often = keep(often, "repeated-hashes")
-    marked = spots.join(often, "hash").groupBy("row").agg(F.collect_list("k").alias("ks"))
-    # Only documents with a candidate give chunks; each brings its neighbours' lines.
+    chunks = one.select("row", "s.at", "s.end", F.xxhash64(text).alias("hash"), F.lit(False).alias("run"))
+    runs = docs.select(row_key(docs).alias("row"), text_of().alias("text")).mapInArrow(_runs(LONG), "row long, at int, end int, hash long")
+    spots = keep(chunks.unionByName(runs.withColumn("run", F.lit(True))), "spots")
+    places = spots.select("hash", "run", F.xxhash64("row", "at").alias("place"))
+    # Rows that agree in all columns are one document, so two different places make a repeat.
+    often = places.groupBy("hash", "run").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("hash", "run")
+    spots = keep(spots.join(often.hint("merge"), ["hash", "run"]).distinct(), "repeated-spots")
+    taken = spots.filter("not run").select("row", "at", "end", "run").unionByName(_needed_runs(spots).select("row", "at", "end", "run"))
+    marked = taken.groupBy("row").agg(F.collect_list(F.struct("at", "end", "run")).alias("spans"))
+    # Only documents with a candidate give their bytes; each chunk brings its neighbours' lines.
     # Lists that grow with the corpus are merged, not broadcast, at any size.
-    found = cut.join(marked.hint("merge"), "row").withColumn("k", F.explode("ks"))
-    at, end = _start(F.col("ends"), F.col("k")), F.get("ends", F.col("k") - 1)
+    found = cut.join(marked.hint("merge"), "row").withColumn("s", F.explode("spans"))
+    at, end, is_run = F.col("s.at"), F.col("s.end"), F.col("s.run")
     # The neighbouring chunk and EDGE lines beyond: as far as foreign lines can move an end.
-    above = _start(F.col("ends"), F.col("k") - 1) - EDGE
-    below = F.coalesce(F.get("ends", F.col("k")), F.size("lines")) + EDGE
-    above = F.greatest(above, F.lit(1))
-    hashes = lambda lines: F.transform(lines, lambda s: F.xxhash64(s))
+    k = F.array_position("ends", end)
+    above = F.greatest(_start(F.col("ends"), k - 1) - EDGE, F.lit(1)).cast("int")
+    below = (F.coalesce(F.get("ends", k.cast("int")), F.size("lines")) + EDGE).cast("int")
+    none = F.array().cast("array<bigint>")
+    hashes = lambda lines: F.when(is_run, none).otherwise(F.transform(lines, lambda s: F.xxhash64(s)))
     found = found.select(
-        "doc_id", "row", at.alias("at"), end.alias("end"), F.array_join(F.slice("lines", at, end - at + 1), "\n").alias("chunk"),
-        hashes(F.reverse(F.slice("lines", above, at - above))).alias("above"), hashes(F.slice("lines", end + 1, below - end)).alias("below"),
+        "doc_id", "row", at.alias("at"), end.alias("end"), is_run.alias("run"), F.array_join(F.slice("lines", at, end - at + 1), "\n").alias("chunk"),
+        hashes(F.reverse(F.slice("lines", above, at - above))).alias("above"), hashes(F.slice("lines", end + 1, F.greatest(below - end, F.lit(0)))).alias("below"),
     ).withColumn("hash", F.xxhash64("chunk"))
     found = keep(found, "candidates")
     # The bytes are part of the grouping key; equal chunks of a task become one row before the shuffle.
     place = F.struct("doc_id", "row", "at")
-    first = found.groupBy("hash", "chunk").agg(F.min(F.struct(place.alias("place"), "above", "below")).alias("f"))
-    first = keep(first.select("hash", F.col("chunk").alias("bytes"), F.col("f.place").alias("place"), F.col("f.above").alias("f_above"), F.col("f.below").alias("f_below")), "first-places")
-    later = found.join(first, "hash").filter((F.col("chunk") == F.col("bytes")) & (place != F.col("place")))
+    first = found.groupBy("hash", "run", "chunk").agg(F.min(F.struct(place.alias("place"), "above", "below")).alias("f"))
+    first = keep(first.select("hash", "run", F.col("chunk").alias("bytes"), F.col("f.place").alias("place"), F.col("f.above").alias("f_above"), F.col("f.below").alias("f_below")), "first-places")
+    later = found.join(first, ["hash", "run"]).filter((F.col("chunk") == F.col("bytes")) & (place != F.col("place")))
     up, down = _alike(F.col("above"), F.col("f_above")), _alike(F.col("below"), F.col("f_below"))
-    return later.select("row", (F.col("at") - up).alias("first"), (F.col("end") + down).alias("last"))
+    # A run that overlaps its own first place leaves that one's lines.
+    shift = F.when(F.col("run") & (F.col("row") == F.col("place.row")), F.greatest(F.lit(0), F.col("place.at") + (F.col("end") - F.col("at")) + 1 - F.col("at"))).otherwise(0)
+    ranges = later.select("row", (F.col("at") - up + shift).alias("first"), (F.col("end") + down).alias("last"))
+    return ranges.filter(F.col("first") <= F.col("last"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

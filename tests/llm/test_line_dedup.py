@@ -38,6 +38,22 @@ def chunk_spans(lines):
     return spans, wide
 
 
+def run_spans(lines, long=line_dedup.LONG):
+    """The shortest runs of enough words from and up to every line."""
+    n = [len(line.encode().split()) for line in lines]
+    out = set()
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            if sum(n[i : j + 1]) >= long:
+                out.add((i, j + 1))
+                break
+        for j in range(i, -1, -1):
+            if sum(n[j : i + 1]) >= long:
+                out.add((j, i + 1))
+                break
+    return sorted(out)
+
+
 def brute(docs):
     """docs: different rows in order of (doc_id, row hash); only the order of equal ids is left open."""
     places, cut = defaultdict(list), []
@@ -71,6 +87,19 @@ def brute(docs):
                         break
                     a, b = (a, b + 1) if step == 1 else (a - 1, b)
             gone[d].update(range(a, b))
+    runs, covered = defaultdict(list), {}
+    for d, (doc_id, text) in enumerate(docs):
+        lines, spans = cut[d]
+        for a, b in run_spans(lines) if len(lines) < 3000 else []:
+            runs["\n".join(lines[a:b])].append((doc_id if doc_id is not None else -1, d, a, b))
+        repeated = {i for k, (a, b) in enumerate(spans) for i in range(a, b) if len(places.get("\n".join(lines[a:b]), [])) > 1}
+        covered[d] = repeated
+    for spots in runs.values():
+        if len(spots) > 1 and any(not set(range(a, b)) <= covered[d] for _, d, a, b in spots):
+            spots.sort()
+            _, fd, fa, fb = spots[0]
+            for _, d, a, b in spots[1:]:
+                gone[d].update(i for i in range(a, b) if d != fd or i >= fb)
     out = []
     for d, (doc_id, text) in enumerate(docs):
         lines = (text or "").split("\n")
@@ -108,6 +137,36 @@ def test_passages_in_other_surroundings(spark):
     assert passage in got[1].text and long in got[0].text
 
 
+def test_short_passages(spark):
+    """Passages of over 50 words in 1 to 9 lines between foreign lines, three places each: nothing of
+    them is left but the first place, and nothing else goes."""
+    rng = random.Random(7)
+    foreign = lambda: [prose(rng, rng.randint(3, 9)) for _ in range(rng.randint(1, 6))]
+    texts, passages = [], []
+    for n in range(1, 10):
+        for _ in range(25):
+            cuts = sorted(rng.sample(range(1, 56), n - 1))
+            words = prose(rng, 56).split()
+            passages.append((n, [" ".join(words[a:b]) for a, b in zip([0, *cuts], [*cuts, 56])]))
+    for place in range(3):
+        for n, lines in passages:
+            texts.append("\n".join([*foreign(), *lines, *foreign()]))
+    docs = spark.createDataFrame(as_rows(texts), SCHEMA).repartition(4)
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(docs).collect()}
+    for i, text in enumerate(texts):
+        n, lines = passages[i % len(passages)]
+        want = text.split("\n") if i < len(passages) else [x for x in text.split("\n") if x not in lines]
+        assert got[i] == want, (i, n)
+
+
+def test_runs_that_overlap_themselves(spark):
+    line = "a b c d e f g h i j"
+    texts = ["x\n" + "\n".join([line] * 12), "\n".join([line] * 5) + "\ny"]
+    docs = spark.createDataFrame(as_rows(texts), SCHEMA)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {i: r[1] for i, r in enumerate(brute(list(enumerate(texts))))}
+
+
 def test_odd_rows(spark, odd, empty):
     out = line_dedup.dedup_lines(odd).collect()
     assert len(out) == odd.count()
