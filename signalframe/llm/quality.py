@@ -141,20 +141,20 @@ def rule_order(sample: DataFrame, rules: list[Rule]) -> list[dict]:
     return sorted(found, key=lambda r: (-r["rejected"] / r["cost"], r["place"]))
 
 
-def cascade(docs: DataFrame, rules: list[Rule] | None = None, order: list[dict] | None = None, features: bool = False) -> DataFrame:
+def cascade(docs: DataFrame, rules: list[Rule] | None = None, order: list[dict] | None = None, features: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` plus ``kept`` and ``rejected_by`` (the first rule of the order that rejects).
 
     A null text is an empty one. Columns of the same names are replaced, all
     others stay; rows that repeat get equal verdicts; an empty table stays empty.
-    With ``features`` every feature of every row is also returned as a
-    ``__``-column, so nothing is hidden from later rules.
+    Each of ``features`` is measured for every row and returned as a ``__``-column;
+    all others are measured only for rows that no earlier rule has rejected.
     """
     rules = default_rules() if rules is None else rules
     order = rule_order(sample_of(docs), rules) if order is None else order
     own = [c for c in docs.columns if c not in ("kept", "rejected_by")]
-    df = measure(docs.select(*own)) if features else _prepared(docs.select(*own))
+    df = measure(docs.select(*own), features)
     df = df.withColumn("__by", F.lit(None).cast("string"))
-    done = set(FEATURES) if features else set()
+    done = set(features)
     for entry in order:
         rule = entry["rule"]
         for f in rule.needs:
@@ -163,10 +163,9 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, order: list[dict]
                 done.add(f)
         hit = F.when(F.col("__by").isNull() & F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name))
         df = df.withColumn("__by", F.coalesce("__by", hit))
-        if not features:
-            live = F.col("__by").isNull()
-            df = df.withColumns({"__text": F.when(live, F.col("__text")), "__words": F.when(live, F.col("__words"))})
-    more = [f"__{f}" for f in FEATURES] if features else []
+        live = F.col("__by").isNull()
+        df = df.withColumns({"__text": F.when(live, F.col("__text")), "__words": F.when(live, F.col("__words"))})
+    more = [f"__{f}" for f in features]
     # A filter on the verdict would be pushed down through every step, each copying
     # the ones before it; it stops at a generator, which makes one row of each row here.
     verdict = F.explode(F.array(F.struct(F.col("__by").isNull().alias("kept"), F.col("__by").alias("by"))))

@@ -34,9 +34,10 @@ def _query(fn):
 
 @_query
 def op8_quality_rules(spark, sf_dir):
-    df = cascade(documents(spark, sf_dir), features=True)
-    base_failed = (F.col("__n_words") < 50) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
+    # The result's own features are measured everywhere, all others behind earlier rules.
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    df = cascade(documents(spark, sf_dir), features=names)
+    base_failed = (F.col("__n_words") < 50) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
     return df.select(
         "doc_id", *[F.col(f"__{n}").alias(n) for n in names], base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept")
     )

@@ -27,7 +27,7 @@ def test_features_and_verdicts(odd):
     texts = {}
     for r in odd.collect():
         texts.setdefault(r.doc_id, []).append(r.text)
-    full = quality.cascade(odd, features=True).collect()
+    full = quality.cascade(odd, features=tuple(quality.FEATURES)).collect()
     assert len(full) == odd.count()
     for r in full:
         want = [(*brute(t), not brute_rejects(t)) for t in texts[r.doc_id]]
@@ -44,6 +44,24 @@ def test_order_does_not_change_the_verdict(odd, empty, turn):
     assert quality.cascade(empty).collect() == []
 
 
+def test_rejected_rows_are_hidden_from_later_rules(spark, odd, monkeypatch):
+    """A feature that fails on every text an earlier rule rejects is never evaluated there."""
+    from pyspark.sql import functions as F
+
+    def fails(df):
+        few = F.size(F.filter(F.split("__text", quality.GAP), lambda w: w != "")) < 50
+        return df.withColumn("__n_upper", F.when(few, F.raise_error(F.lit("evaluated"))).otherwise(F.regexp_count("__text", F.lit(r"\p{Lu}"))).cast("long"))
+
+    monkeypatch.setitem(quality.FEATURES, "n_upper", fails)
+    rules = {r.name: r for r in quality.default_rules()}
+    first = [{"rule": rules[n]} for n in ("few_words", "capitals", "word_length", "symbols", "repeated_lines", "repeated_words")]
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for r in quality.cascade(odd, order=first, features=base).collect():
+        assert r.kept == (not brute_rejects(r.text)) and r["__n_words"] == brute(r.text)[0]
+    with pytest.raises(Exception, match="evaluated"):
+        quality.cascade(odd, order=[first[1], first[0], *first[2:]], features=base).collect()
+
+
 def test_order_by_rejections_per_cost(odd):
     rules = quality.default_rules()
     found = quality.rule_order(quality.sample_of(odd), rules)
