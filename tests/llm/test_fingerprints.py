@@ -12,21 +12,29 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text)
 
 
-def plain_sketch(text, k=fp.K, scale=fp.SCALE):
+END = -(2**63) + 2**64 // fp.SCALE
+
+
+def all_hashes(text, k=fp.K):
     w = words(text)
     shingles = {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
     hashes = {xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles}
-    hashes = sorted(h - 2**64 if h >= 2**63 else h for h in hashes)
-    low = [h for h in hashes if h < -(2**63) + 2**64 // scale]
-    return low or hashes[:1]
+    return sorted(h - 2**64 if h >= 2**63 else h for h in hashes)
+
+
+def plain_sketch(text):
+    hashes = all_hashes(text)
+    return [h for h in hashes if h < END] or hashes
 
 
 def text_form(s):
     return "".join(f"{h & (2**64 - 1):016x}" for h in s)
 
 
-def alike(a, b):
-    a, b = set(a), set(b)
+def alike(s, t):
+    """By sketches; by all hashes if one of the texts has no hash below the threshold."""
+    whole = any(all_hashes(x) and all_hashes(x)[0] >= END for x in (s, t))
+    a, b = (set(all_hashes(x) if whole else plain_sketch(x)) for x in (s, t))
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
@@ -38,8 +46,8 @@ def check(docs):
         following = order[(i + 1) % len(order)][4]
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        a, b, c = plain_sketch(text), plain_sketch(edited), plain_sketch(following)
-        want[row] = (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), text_form(a), text_form(b), round(alike(a, b), 9), round(alike(a, c), 9))
+        a, b = plain_sketch(text), plain_sketch(edited)
+        want[row] = (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), text_form(a), text_form(b), round(alike(text, edited), 9), round(alike(text, following), 9))
     got = sorted(
         str((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9))) for r in fp.compare(docs).collect()
     )
@@ -73,6 +81,19 @@ def test_merge_and_containment(spark):
     assert row.m == sorted({*plain_sketch(long), *plain_sketch(other)})
 
 
+def test_short_texts_inside_long_ones(spark):
+    """A short text whose hashes all miss the threshold is found in the long one that holds it."""
+    short = next(t for i in range(1000) if (h := all_hashes(t := " ".join(f"s{i}x{j}" for j in range(9)))) and h[0] >= END)
+    long = " ".join(f"w{i}" for i in range(300)) + " " + short + " " + " ".join(f"v{i}" for i in range(300))
+    docs = spark.createDataFrame([(3, short), (2, long), (1, short)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in fp.compare(docs).collect()}
+    share = len(set(all_hashes(short))) / len(set(all_hashes(long)))
+    assert rows[3].kept_in_next == 1.0 and rows[3].near_next == pytest.approx(share)
+    assert rows[2].kept_in_next == pytest.approx(share) and rows[2].near_next == pytest.approx(share)
+    assert rows[1].near_next == 1.0 and rows[1].fingerprint == rows[3].fingerprint
+    check(docs)
+
+
 def test_no_python_in_the_plan(odd):
     plan = fp.compare(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
