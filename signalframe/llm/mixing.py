@@ -110,6 +110,17 @@ def _fly(seed: int, level: int, landing: bool):
     return run
 
 
+def _dealt(units: DataFrame, known: DataFrame, seed: int) -> DataFrame:
+    """One row per document with its source's rate and a chunk of about ``CHUNK`` rows, equal rows apart from each other."""
+    # Narrow rows meet one row per source; Spark picks the join and splits a hot source.
+    flown = units.join(known, F.col("source").eqNullSafe(F.col("s"))).withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("same"))))
+    return flown.select(
+        "doc_id", "row", "source", "size", "rate",
+        (F.col("rate") - F.floor("rate")).alias("p"),
+        F.pmod(F.xxhash64(F.lit(seed), "row", "number"), F.col("chunks")).alias("chunk"),
+    )
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 11) -> DataFrame:
     """One row per document: ``doc_id, row, source, size, source_size, target, copies, taken``.
 
@@ -119,19 +130,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     documents; an empty table gives an empty one. Reruns draw the same documents.
     """
     size = F.size(words_of(text_of())).cast("long")
-    units = keep(docs.select("doc_id", row_key(docs).alias("row"), "source", size.alias("size")), "mix-sizes")
-    sums = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    # Equal rows are counted first and numbered after, so each finds a chunk by itself.
+    units = docs.select("doc_id", row_key(docs).alias("row"), "source", size.alias("size")).groupBy("doc_id", "row", "source", "size")
+    units = keep(units.agg(F.count(F.lit(1)).alias("same")), "mix-sizes")
+    sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("same")).alias("source_size"), F.sum("same").alias("n_docs"))
     plan = targets(sums.select("source", "source_size"), weights, share, most)
     plan = keep(plan.join(sums.select(F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-plan")
     chunks = (F.floor((F.col("n_docs") - 1) / CHUNK) + 1).cast("long")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     known = plan.select(F.col("source").alias("s"), rate.alias("rate"), chunks.alias("chunks"))
-    # Narrow rows meet one row per source; Spark picks the join and splits a hot source.
-    flown = units.join(known, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "row", "source", "size", "rate",
-        (F.col("rate") - F.floor("rate")).alias("p"),
-        F.pmod(F.xxhash64(F.lit(seed), "row"), F.col("chunks")).alias("chunk"),
-    )
+    flown = _dealt(units, known, seed)
     most_chunks = plan.agg(F.max(chunks)).collect()[0][0] or 1
     level, decided = 0, []
     while True:

@@ -72,6 +72,15 @@ def test_odd_rows_and_levels(spark, odd, empty, monkeypatch):
     assert mixing.mix(empty).collect() == []
 
 
+def test_equal_rows_are_dealt_to_many_chunks(spark):
+    from pyspark.sql import functions as F
+
+    units = spark.createDataFrame([(1, 77, "s", 10, 20000), (2, 78, "s", 5, 1)], "doc_id long, row long, source string, size long, same long")
+    known = spark.createDataFrame([("s", 1.5, 40)], "s string, rate double, chunks long")
+    counts = [r["count"] for r in mixing._dealt(units, known, 11).groupBy("chunk").count().collect()]
+    assert sum(counts) == 20001 and len(counts) == 40 and max(counts) < 650
+
+
 def test_flight_keeps_both_totals_in_expectation():
     size = np.array([5, 9, 1, 7, 3, 8, 2, 6, 4, 10, 11, 12], float)
     p = np.full(12, 0.3)
