@@ -33,6 +33,9 @@ SPACE = "▁"
 #: Word lattices a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 350_000
 _WORDS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+#: Words with more characters than this are walked each by itself: a step of such a
+#: word would else be a round of array work for one node.
+LONG_WORD = 512
 _BATCH = 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LATTICES: dict[tuple[str, float], "Lattices"] = {}
@@ -180,8 +183,9 @@ class Lattices:
         source, target = node[at], node[at] + length
         weight = np.where(piece >= 0, self.weight[piece], -16.0)
         mass = np.zeros(len(chars) + len(words))
-        by_left = np.argsort(left, kind="stable")
-        cuts = np.r_[0, np.cumsum(np.bincount(left)[1:])] if len(left) else np.zeros(1, int)
+        near = np.flatnonzero(left <= LONG_WORD)
+        by_left = near[np.argsort(left[near], kind="stable")]
+        cuts = np.r_[0, np.cumsum(np.bincount(left[near])[1:])] if len(near) else np.zeros(1, int)
         for a, b in zip(cuts[:-1], cuts[1:]):
             here = by_left[a:b]
             edge = _ragged(start[here], count[here])
@@ -189,6 +193,8 @@ class Lattices:
             seg = np.cumsum(count[here]) - count[here]
             top = np.maximum.reduceat(ways, seg)
             mass[node[here]] = top + np.log(np.add.reduceat(np.exp(ways - np.repeat(top, count[here])), seg))
+        for w in np.flatnonzero(sizes > LONG_WORD):
+            self._far_masses(mass, node, count, start, weight, target, int(sizes[:w].sum()), int(sizes[w]))
         node0, edge0, piece0 = self.node_edge.n, self.to.n, self.piece.n
         self.first_node.add(node0 + np.cumsum(sizes + 1) - sizes - 1)
         edges = np.zeros(len(mass), np.int64)
@@ -211,6 +217,18 @@ class Lattices:
         self.piece_n.add(n_ids)
         self.piece.add(flat)
 
+    @staticmethod
+    def _far_masses(mass, node, count, start, weight, target, at, size):
+        """Masses of a long word's positions beyond the last ``LONG_WORD``, one after another."""
+        first, edge0, edge1 = int(node[at]), int(start[at]), int(start[at + size - 1] + count[at + size - 1])
+        own, w, to = mass[first : first + size + 1].tolist(), weight[edge0:edge1].tolist(), (target[edge0:edge1] - first).tolist()
+        n, s = count[at : at + size].tolist(), (start[at : at + size] - edge0).tolist()
+        for i in range(size - LONG_WORD - 1, -1, -1):
+            ways = [w[e] + own[to[e]] for e in range(s[i], s[i] + n[i])]
+            top = max(ways)
+            own[i] = top + math.log(sum(math.exp(x - top) for x in ways))
+        mass[first : first + size + 1] = own
+
     def words(self, texts: list[str]) -> list[np.ndarray]:
         """Remembered places of each text's words."""
         if len(self.places) > REMEMBERED:
@@ -239,9 +257,14 @@ class Lattices:
         """
         first, edge_at, edge_n, to, share = self.first_node.data, self.node_edge.data, self.node_edges.data, self.to.data, self.share.data
         node = node.astype(np.int64)
-        live = np.flatnonzero(edge_n[node] > 0)
+        ends = np.r_[first[1 : self.first_node.n], self.node_edge.n][word] - 1
+        alone = ends - node > LONG_WORD
+        live = np.flatnonzero((edge_n[node] > 0) & ~alone)
         steps = np.zeros(len(word), np.int64)
         taken, asides = [], []
+        for i in np.flatnonzero(alone):
+            seed = key[row[i]] + (place[i : i + 1].astype(np.uint64) << np.uint64(24))
+            steps[i] = self._walk_alone(i, int(node[i]), int(ends[i]), int(first[word[i]]), seed, best, taken, asides)
         t = 0
         while len(live):
             at = node[live]
@@ -274,6 +297,32 @@ class Lattices:
             tops[offset[who] + t] = top
         return path, tops, steps, offset, [(who, offset[who] + t, edge, noisy) for who, t, edge, noisy in asides]
 
+    def _walk_alone(self, i, begin, end, first, seed, best, taken, asides) -> int:
+        """The same for one long word: the noise of all its nodes at once, then the best edges one after another."""
+        at = np.arange(begin, end)
+        n = self.node_edges.data[at].astype(np.int64)
+        start = np.cumsum(n) - n
+        edge = int(self.node_edge.data[begin]) + np.arange(int(n.sum()))
+        owner = np.repeat(np.arange(len(at)), n)
+        noise = np.repeat(_mix(seed + (at - first).astype(np.uint64)), n) + (np.arange(len(edge)) - start[owner] + 1).astype(np.uint64) * _GOLD
+        noisy = self.share.data[edge] + _gumbel(_mix(noise))
+        top = np.maximum.reduceat(noisy, start)
+        hits = np.flatnonzero(noisy == top[owner])
+        hits = hits[np.r_[True, owner[hits][1:] != owner[hits][:-1]]]  # equal noise: the first edge
+        follow, path, now = (self.to.data[edge[hits]] - begin).tolist(), [], 0
+        while now < len(at):
+            path.append(now)
+            now = follow[now]
+        path = np.array(path)
+        taken.append((np.full(len(path), i), np.arange(len(path)), edge[hits[path]], top[path]))
+        if best:
+            step = np.full(len(at), -1)
+            step[path] = np.arange(len(path))
+            aside = step[owner] >= 0
+            aside[hits] = False
+            asides.append((np.full(np.count_nonzero(aside), i), step[owner[aside]], edge[aside], noisy[aside]))
+        return len(path)
+
     def sample(self, texts: list[str], keys: np.ndarray, k: int):
         """Per text the list of ``(edges, log_prob, value)`` of up to ``k`` draws, and the threshold."""
         words = self.words(texts)

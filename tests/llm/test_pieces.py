@@ -112,3 +112,33 @@ def test_odd_rows(odd, empty):
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check(docs, pieces.segmentations(docs, MODEL).collect(), 2)
+
+
+def test_long_words_draw_the_same(monkeypatch):
+    """Words walked alone draw what they draw among others."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("etaoinshrdluabcé日"))
+    texts = ["".join(rng.choice(letters, n)) for n in (1, 2, 5, 30, 700)] + ["ab " + "".join(rng.choice(letters, 900)) + " cd\nef", "", "the on"]
+    keys = rng.integers(0, 2**63, len(texts)).astype(np.uint64)
+    drawn = []
+    for long in (3, 512, 10_000):
+        monkeypatch.setattr(pieces, "LONG_WORD", long)
+        lat = pieces.Lattices(MODEL, 1.0)
+        done, threshold = lat.sample(texts, keys, 3)
+        drawn.append(([[ids_of(lat, e) for e, _, _ in draws] for draws in done], [[v for _, _, v in draws] for draws in done], threshold))
+        for text, draws in zip(texts, done):
+            assert all(lat.decode(np.array(ids_of(lat, e), dtype=np.int64)) == text.encode() for e, _, _ in draws)
+    for ids, values, threshold in drawn[1:]:
+        assert ids == drawn[0][0]
+        assert np.allclose(threshold, drawn[0][2]) and all(np.allclose(a, b) for a, b in zip(values, drawn[0][1]))
+
+
+def test_a_word_of_a_million_letters(lat):
+    import time
+
+    text = "".join(np.random.default_rng(9).choice(list("etaoinshrdlu"), 1_000_000))
+    start = time.process_time()
+    done, _ = lat.sample([text], np.array([5], np.uint64), 2)
+    assert time.process_time() - start < 90
+    assert [lat.decode(np.concatenate([lat.piece.data[lat.piece_at.data[e]]])) == text.encode() for e, _, _ in done[0]] == [True, True]
+    lat.forget()
