@@ -334,6 +334,18 @@ def _(T):
     return got.select(rnd("error", 8).alias("error"))
 
 
+# By Parseval: the covariance of two band-limited signals is the cross power of the band's bins.
+@query("pairs_covariance_per_band", f"""with {_Z}, {_BANDS_SQL},
+bins as (select band, k from bands, unnest(range(1, 32)) as r(k) where k * {FS}::double / 64 >= lo and k * {FS}::double / 64 < hi),
+ks as (select distinct k from bins),
+ft as (select recording_id, start, channel, k, list_sum(list_transform(range(0, 64), lambda n: x[n + 1] * cos(2 * pi() * k * n / 64))) as re, list_sum(list_transform(range(0, 64), lambda n: x[n + 1] * sin(2 * pi() * k * n / 64))) as im from zw, ks)
+select a.recording_id, a.start, band, a.channel as ch_i, b.channel as ch_j, {sql_rnd('2.0::double / 64 / 63 * sum(a.re * b.re + a.im * b.im)')} as value
+from ft a join ft b on b.recording_id = a.recording_id and b.start = a.start and b.k = a.k and a.channel <= b.channel join bins on bins.k = a.k group by 1, 2, 3, 4, 5""")
+def _(T):
+    got = pairs.raw_band_covariance(packed_windows(T), ["recording_id", "start"], FS)
+    return got.select("recording_id", "start", "band", "ch_i", "ch_j", rnd("value").alias("value"))
+
+
 # The channels of a window take the names of its montage, whose positions do not follow the alphabet.
 _NAMED = f"""{MONTAGE}, {X.windows_sql()},
 zn as (select w.recording_id, w.start, m.channel, list_transform(x, lambda v: (v - list_avg(x)) / (list_stddev_pop(x) + 1e-8::double)) as x

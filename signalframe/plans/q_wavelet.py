@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions import wavelets as V
 from ..operators import augment, layout, normalize, rank, spectral, splits, wavelet, windowing
 from . import fixtures as X
 from .q_splits import _SPLIT
@@ -36,16 +34,45 @@ def flagship(T):
     return energy.groupBy("split", "channel", "band").agg(F.count(F.lit(1)).alias("n_patches"), rnd(F.avg("energy")).alias("mean_energy"))
 
 
-def _matrix_sql(name, m):
-    rows = [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))]
-    return sql_values(name, ["k", "i", "w"], rows)
-
-
-def _dwt_query(name, wave, levels, mode):
-    m = V.analysis_matrix(16, wave, levels, mode)
-    sql = f"""with {X.C}, {_matrix_sql('mat', m)},
-c as (select s.vec_id, s.channel, m.k, sum(m.w * s.v) as c from samples4 s join mat m on m.i = s.t group by 1, 2, 3)
-select vec_id, channel::int as channel, k::int as k, {sql_rnd('c')} as c from c"""
+# Published analysis taps, so that the oracles owe nothing to the code they check.
+_BIOR44 = (
+    [0.0, 0.03782845550726404, -0.023849465019556843, -0.11062440441843718, 0.37740285561283066,
+     0.8526986790088938, 0.37740285561283066, -0.11062440441843718, -0.023849465019556843, 0.03782845550726404],
+    [0.0, -0.06453888262869706, 0.04068941760916406, 0.41809227322161724, -0.7884856164055829,
+     0.41809227322161724, 0.04068941760916406, -0.06453888262869706, 0.0, 0.0],
+)
+_DB4 = (
+    [-0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703481171909309,
+     -0.027983769416859854, 0.6308807679298589, 0.7148465705529157, 0.2303778133088965],
+    [-0.2303778133088965, 0.7148465705529157, -0.6308807679298589, -0.027983769416859854,
+     0.18703481171909309, 0.030841381835560764, -0.0328830116668852, -0.010597401785069032],
+)
+_REST = {
+    "reflect": "list_reverse(x)", "symmetric": "list_reverse(x)", "periodization": "x",
+    "zero": "list_transform(x, lambda v: 0.0::double)", "constant": "list_transform(x, lambda v: x[len(x)])",
+}
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join(f"{v!r}::double" for v in values) + "]"
+
+
+def _dwt_sql(taps, levels, mode) -> str:
+    """The signal and its continuation, filtered around the circle and halved level by level; the first half of every band stays."""
+    n = len(taps[0])
+    part = lambda w, a: f"list_transform(range(0, len({a}) // 2), lambda n: list_sum(list_transform(range(0, {n}), lambda k: {_list_sql(w)}[k + 1] * {a}[(2 * (n + {(n - 2) // 2 // 2}) + k - {n - 2} + len({a})) % len({a}) + 1])))"
+    ctes = [f"l0 as (select vec_id, channel, list_concat(x, {_REST[mode]}) as a0 from windows4)"]
+    for j in range(1, levels + 1):
+        ctes.append(f"l{j} as (select *, {part(taps[0], f'a{j - 1}')} as a{j}, {part(taps[1], f'a{j - 1}')} as d{j} from l{j - 1})")
+    out = f"a{levels}[1:len(a{levels}) // 2]"
+    for j in range(levels, 0, -1):
+        out = f"list_concat({out}, d{j}[1:len(d{j}) // 2])"
+    return ",\n".join([*ctes, f"c as (select vec_id, channel, {out} as c from l{levels})"])
+
+
+def _dwt_query(name, wave, levels, mode, taps, as_mode=None):
+    sql = f"""with {X.C}, {_dwt_sql(taps, levels, as_mode or mode)}
+select vec_id, channel::int as channel, k::int as k, {sql_rnd('c[k + 1]')} as c from c, unnest(range(0, 16)) as r(k)"""
 
     @query(name, sql)
     def _(T):
@@ -53,11 +80,11 @@ select vec_id, channel::int as channel, k::int as k, {sql_rnd('c')} as c from c"
         return got.select("vec_id", "channel", F.posexplode("coeffs").alias("k", "c")).select("vec_id", "channel", "k", rnd("c").alias("c"))
 
 
-_dwt_query("wavelet_dwt_bior_reflect", "bior4.4", 2, "reflect")
-_dwt_query("wavelet_dwt_bior_symmetric", "bior4.4", 1, "symmetric")
-_dwt_query("wavelet_dwt_bior_zero", "bior4.4", 3, "zero")
-_dwt_query("wavelet_dwt_bior_constant", "bior4.4", 2, "constant")
-_dwt_query("wavelet_dwt_db4_falls_back", "db4", 2, "reflect")
+_dwt_query("wavelet_dwt_bior_reflect", "bior4.4", 2, "reflect", _BIOR44)
+_dwt_query("wavelet_dwt_bior_symmetric", "bior4.4", 1, "symmetric", _BIOR44)
+_dwt_query("wavelet_dwt_bior_zero", "bior4.4", 3, "zero", _BIOR44)
+_dwt_query("wavelet_dwt_bior_constant", "bior4.4", 2, "constant", _BIOR44)
+_dwt_query("wavelet_dwt_db4_falls_back", "db4", 2, "reflect", _DB4, "periodization")
 
 
 @query("wavelet_dwt_haar", f"""with {X.C}, patches as (select vec_id, channel, x from windows4), {HAAR2},
@@ -93,7 +120,7 @@ def _(T):
 
 
 def _stack_sql():
-    lo, hi = V.filters("db4")
+    lo, hi = _DB4
     off = (16 - len(lo)) // 2 - 8
     kept = (64 + 16 - 16) // 2 + 1
     taps = sql_values("taps", ["k", "lo", "hi"], [(k + off, float(a), float(b)) for k, (a, b) in enumerate(zip(lo, hi))])
