@@ -24,7 +24,11 @@ _EMPTY = r"^[\x20\x09-\x0D]*$"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects.
+
+    A null or empty text has too few words and goes; rows that repeat share one
+    verdict; an empty table stays empty.
+    """
     return cascade(docs).filter("kept").select(*docs.columns)
 
 
@@ -41,17 +45,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are at least 0.8 alike."""
+    """One document of each group whose five-word shingles are at least 0.8 alike.
+
+    The least ``doc_id`` stays (null last), then the least row hash; rows that repeat
+    are one document; an empty table stays empty. Further cases: ``simhash.keep_one``.
+    """
     return keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it, none, once or twice.
+
+    A null source is a source of its own, a null text has size 0; rows that repeat
+    are drawn one by one; an empty table stays empty.
+    """
     return repeat(docs, mix(docs))
 
 
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two different segmentations of every text, as ids."""
+    """Two different segmentations of every text, as ids.
+
+    A null or empty text has one empty segmentation; a character outside the
+    vocabulary becomes its bytes; an empty table gives an empty one.
+    """
     return segmentations(docs, PIECES).drop("decoded")
 
 
