@@ -159,3 +159,27 @@ def test_every_candidate_pair_is_decided(spark, monkeypatch, pairs):
     first = {}
     got = [first.setdefault(group[i], i) for i in range(len(texts))]
     assert got == want
+
+
+def test_near_duplicates_that_are_found(spark):
+    """Measured: pairs of at least 0.8 alike, by number of words changed in 150; each text has one edited copy."""
+    rng = random.Random(21)
+    texts, changed = [], []
+    for i in range(120):
+        words = [f"{rng.randrange(10**6):x}" for _ in range(150)]
+        edited, m = list(words), 1 + i % 3
+        for at in rng.sample(range(10, 140, 12), m):
+            edited[at] = f"edit{i}x{at}"
+        texts += [" ".join(words), " ".join(edited)]
+        changed.append(m)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    group = {r.doc_id: r.group for r in simhash.near_duplicates(docs).collect()}
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    found = {1: [], 2: [], 3: []}
+    for i, m in enumerate(changed):
+        a, b = shingles[2 * i], shingles[2 * i + 1]
+        assert len(a & b) / len(a | b) >= 0.8
+        found[m].append(group[2 * i] == group[2 * i + 1])
+    rate = {m: sum(v) / len(v) for m, v in found.items()}
+    assert rate[1] == 1.0 and rate[2] >= 0.95 and rate[3] >= 0.8, rate
+    assert len(set(group.values())) >= 120
