@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from .labels import literal_map
 from .rank import best_epoch
 
@@ -121,13 +122,14 @@ RECORDED = {
 _PLACES = {"cfg": "$[0].provenance.resolved_model_config", "top": "$[0].provenance"}
 
 
-def read_results(documents: DataFrame, run: str = "run_id", text: str = "text", recorded: dict = RECORDED) -> DataFrame:
+def read_results(documents: DataFrame, run: str = "run_id", text: str = "text", recorded: dict = RECORDED, carried=()) -> DataFrame:
     """Result files of unknown shape as ``(run, state, schema_version, scored_rows, settings)``.
 
     ``state`` is ``missing`` (null or empty text), ``unreadable`` (no JSON object),
     ``no provenance`` or ``ok``. ``scored_rows`` is the recorded number of test samples
     or, without it, the sum of the per-class support. ``settings`` maps each name of
     ``recorded`` to ``(kind, value)``: the JSON kind tells a number from its text.
+    Columns named in ``carried`` follow as they are.
     """
     v = F.col("__v")
     get = lambda path, kind: F.try_variant_get(v, path, kind)
@@ -151,7 +153,7 @@ def read_results(documents: DataFrame, run: str = "run_id", text: str = "text",
     return parsed.select(
         run, state.alias("state"), get("$[0].result_schema_version", "bigint").alias("schema_version"),
         F.coalesce(get("$[0].test_samples", "bigint"), F.when(F.size(get("$[0].per_class_support", "array<bigint>")) > 0, support)).alias("scored_rows"),
-        settings.alias("settings"),
+        settings.alias("settings"), *carried,
     )
 
 
@@ -172,8 +174,10 @@ def stale_results(documents: DataFrame, wanted: DataFrame, test_sizes: DataFrame
     was scored on its whole test set. A wanted name that no result records cannot
     be compared: it gives a row with ``stale`` false, so it does not pass as checked.
     """
-    read = read_results(documents, run, text, recorded)
-    read = read.join(test_sizes.select(run, "test_rows"), run, "left") if test_sizes is not None else read.withColumn("test_rows", F.lit(None).cast("long"))
+    # Texts are joined before they are parsed: a map of all settings is several times a file's text.
+    files = documents.select(run, text)
+    files = files.join(test_sizes.select(run, "test_rows"), run, "left") if test_sizes is not None else files.withColumn("test_rows", F.lit(None).cast("long"))
+    read = read_results(files, run, text, recorded, ["test_rows"])
     number = lambda c: F.col(c).cast("string")
     version = (
         F.when(F.col("schema_version") < MIN_SCHEMA, F.concat(F.lit("result_schema_version "), number("schema_version")))
@@ -182,15 +186,18 @@ def stale_results(documents: DataFrame, wanted: DataFrame, test_sizes: DataFrame
         .when(F.col("scored_rows") != F.col("test_rows"), F.concat(F.lit("scored on "), number("scored_rows"), F.lit(" of "), number("test_rows")))
     )
     first = F.when(F.col("state").isin("missing", "unreadable"), F.col("state")).otherwise(F.coalesce(version, F.when(F.col("state") != "ok", F.col("state"))))
-    judged = read.withColumn("reason", first)
-    blocked = judged.filter(F.col("reason").isNotNull()).select(run, "reason", F.lit(True).alias("stale"))
     names = wanted.agg(F.collect_list(F.struct("name", "want")).alias("w")).scalar()
-    pairs = judged.filter(F.col("reason").isNull()).select(run, "settings", F.explode(names).alias("__w"))
-    known = F.col("__w.name").isin(*recorded)
-    got = F.try_element_at("settings", F.col("__w.name"))
-    differs = ~same_recorded(F.col("__w.want"), got["kind"], got["value"])
-    reason = F.when(~known, F.concat(F.lit("uncheckable: "), F.col("__w.name"))).when(differs, F.concat(F.lit("differs: "), F.col("__w.name")))
-    return blocked.unionByName(pairs.select(run, reason.alias("reason"), known.alias("stale")).filter(F.col("reason").isNotNull()))
+    entry = lambda reason, stale: F.struct(reason.alias("reason"), stale.alias("stale"))
+
+    def compared(settings, w):
+        got = F.try_element_at(settings, w["name"])
+        known = w["name"].isin(*recorded)
+        differs = ~same_recorded(w["want"], got["kind"], got["value"])
+        return entry(F.when(~known, F.concat(F.lit("uncheckable: "), w["name"])).when(differs, F.concat(F.lit("differs: "), w["name"])), known)
+
+    each = A.let(F.col("settings"), lambda s: F.filter(F.transform("__names", lambda w: compared(s, w)), lambda r: r["reason"].isNotNull()))
+    reasons = A.let(first, lambda why: F.when(why.isNotNull(), F.array(entry(why, F.lit(True)))).otherwise(each))
+    return read.withColumn("__names", names).select(run, F.explode(reasons).alias("r")).select(run, "r.reason", "r.stale")
 
 
 def stale_runs(results: DataFrame, wanted: DataFrame, run: str = "run_id") -> DataFrame:

@@ -51,3 +51,25 @@ def test_packed_windows_are_the_regrouped_ones(spark):
     got = normalize.zscore_rows(windowing.packed(df, 64, 24, ["b", "a"], frame=48), "add")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 28
     assert spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple").count("Exchange") < spark._jvm.PythonSQLUtils.explainString(want._jdf.queryExecution(), "simple").count("Exchange")
+
+
+def test_result_texts_are_joined_before_they_are_parsed(spark):
+    import re
+
+    from signalframe.operators import results
+
+    docs = spark.createDataFrame([(i, '{"provenance": {"seed": %d}, "per_class_support": [4], "result_schema_version": 2}' % i) for i in range(40)], "run_id long, text string")
+    sizes = docs.select("run_id", F.lit(4).cast("long").alias("test_rows"))
+    wanted = spark.createDataFrame([("SEED", "7"), ("NONE", "1")], "name string, want string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = results.stale_results(docs, wanted, sizes)
+        plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
+    assert moved and not any("settings" in m for m in moved)
+    assert sorted((r.run_id, r.reason, r.stale) for r in rows) == sorted(
+        [(i, "differs: SEED", True) for i in range(40) if i != 7] + [(i, "uncheckable: NONE", False) for i in range(40)])
