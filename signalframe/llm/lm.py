@@ -7,10 +7,15 @@ middle of that step as the count. The filter's size is fixed; words and pairs
 enter from the smallest count on at which all of them fit at the wanted error, so
 the broadcast never passes ``filter_bytes``. Counting covers every training text.
 
-The exact base score needs exact counts of all words. The most frequent ones (at
-most ``FREQUENT``, chosen from a table of counts of counts) travel as a broadcast;
-all others are looked up by a join of (document, word) rows, which are few because
-the frequent words are not among them.
+N-grams with smaller counts are not in the filter, and none of them is left out:
+texts are dealt to chunks, a chunk asks for the n-grams that the filter does not
+have, the counts answer slice by slice of the hashes, and the chunk is scored with
+both. An answer is quantised like the filter's counts. A training text's pair that no
+one else holds counts one; pairs seen once are kept only if a held-out text has them.
+
+The base score needs exact counts of all words. The most frequent ones (at most
+``FREQUENT``, chosen from a table of counts of counts) travel as a broadcast; a
+chunk asks for the others with its n-grams.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, row_key, text_of
+from .common import keep, text_of
 
 FREQUENT = 1 << 18
 FILTER_BYTES = 1 << 25
@@ -33,6 +38,8 @@ PRIOR = 60.0
 #: Tokens a task gathers before it sends counts on.
 FLUSH = 3_000_000
 SEGMENT = 1 << 17
+#: Characters of text that ask and are scored together.
+CHUNK = 1 << 22
 _LINE = 1 << 9  # bits of one filter line, in which all probes of an item lie
 _END = np.uint64(0x5851F42D4C957F2D)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -74,40 +81,59 @@ def _pieces(texts, most=1 << 22):
         yield texts[at:], at
 
 
+def _sliced(values: np.ndarray, slices: int):
+    """``(slice, from, to)`` of sorted hashes for every slice that has some."""
+    where = (values >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+    cuts = np.searchsorted(where, np.arange(slices + 1, dtype=np.uint64)).tolist()
+    return [(s, a, b) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+
+
 def _count(slices: int):
-    """texts -> (kind, slice, blob of hashes, blob of counts), sorted and added up per task."""
+    """(text, held out) -> (kind, slice, blob of hashes, blob of counts), sorted and added up per task.
+
+    A held-out text's pairs go along with count 0, so that their slice keeps them.
+    """
 
-    def flush(kind, hashes):
+    def flush(kind, hashes, seen=1):
         values, counts = np.unique(np.concatenate(hashes), return_counts=True)
-        where = (values >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
-        cuts = np.searchsorted(where, np.arange(slices + 1, dtype=np.uint64))
-        rows = [(kind, s, values[a:b].tobytes(), np.minimum(counts[a:b], 2**31 - 1).astype("<u4").tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        counts = counts * seen
+        rows = [(kind, s, values[a:b].tobytes(), np.minimum(counts[a:b], 2**31 - 1).astype("<u4").tobytes()) for s, a, b in _sliced(values, slices)]
         cols = list(zip(*rows))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["kind", "slice", "hashes", "counts"])
 
     def run(batches):
-        held, n = ([], []), 0
+        words, pairs, asked, n = [], [], [], 0
+
+        def send():
+            for kind, hashes, seen in ((1, words, 1), (2, pairs, 1), (2, asked, 0)):
+                if any(map(len, hashes)):
+                    yield flush(kind, hashes, seen)
+                hashes.clear()
+
         for batch in batches:
-            for texts, _ in _pieces(batch.column(0).cast(pa.binary()).to_pylist()):
+            held = batch.column(1).to_numpy(zero_copy_only=False)
+            for texts, at in _pieces(batch.column(0).cast(pa.binary()).to_pylist()):
                 tokens, sizes = _tokens(texts)
-                held[0].append(tokens)
-                held[1].append(_pairs(tokens))
+                out = np.repeat(held[at : at + len(texts)].astype(bool), sizes)
+                both = _pairs(tokens)
+                words.append(tokens[~out])
+                pairs.append(both[~out])
+                asked.append(both[out])
                 n += len(tokens)
                 if n >= FLUSH:
-                    for kind, h in enumerate(held):
-                        yield flush(kind + 1, h)
-                        h.clear()
+                    yield from send()
                     n = 0
-        if n:
-            for kind, h in enumerate(held):
-                yield flush(kind + 1, h)
+        yield from send()
 
     return run
 
 
 def _merge(batches):
-    """Blobs of one (kind, slice), sorted together by Spark -> rows (kind, hash, count); single pairs are left out."""
+    """Blobs of one (kind, slice), sorted together by Spark -> rows (kind, hash, count).
+
+    Pairs seen once are left out if no held-out text has them.
+    """
 
     def done(key, parts):
         hashes = np.concatenate([np.frombuffer(h, "<u8") for h, _ in parts])
@@ -116,7 +142,7 @@ def _merge(batches):
         hashes, counts = hashes[order], counts[order]
         start = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
         total = np.add.reduceat(counts, start)
-        kept = total > 1 if key[0] == 2 else np.ones(len(start), bool)
+        kept = (total > 1) | ((total == 1) & (np.minimum.reduceat(counts, start) == 0)) if key[0] == 2 else total > 0
         values = hashes[start][kept].view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(values), key[0], np.int32)), pa.array(values), pa.array(total[kept])], ["kind", "hash", "count"])
 
@@ -132,10 +158,10 @@ def _merge(batches):
         yield done(key, parts)
 
 
-def counts(train: DataFrame, chars: int) -> DataFrame:
-    """``(kind, hash, count)``: every word (kind 1), and every pair seen at least twice (kind 2)."""
-    slices = max(1, chars // 12_000_000)  # about two million different pairs each
-    blobs = train.select(text_of().alias("text")).mapInArrow(_count(slices), "kind int, slice int, hashes binary, counts binary")
+def counts(docs: DataFrame, held, slices: int) -> DataFrame:
+    """``(kind, hash, count)`` in training texts: every word (kind 1), and every pair (kind 2)
+    seen at least twice or seen once and again in a held-out text."""
+    blobs = docs.select(text_of().alias("text"), held.alias("held")).mapInArrow(_count(slices), "kind int, slice int, hashes binary, counts binary")
     blobs = blobs.repartition("kind", "slice").sortWithinPartitions("kind", "slice")
     return keep(blobs.mapInArrow(_merge, "kind int, hash long, count long"), "counts")
 
@@ -144,6 +170,11 @@ def _levels(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(count) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
+def _middle(level):
+    """The count that stands for a step."""
+    return np.where(level > 1, BASE ** (level - 0.5), 1.0)
+
+
 def _bits(items: np.ndarray, lines: int):
     """Line of each item and its bit positions inside."""
     line = ((items >> np.uint64(32)) * np.uint64(lines)) >> np.uint64(32)
@@ -211,7 +242,7 @@ def build_filter(table: DataFrame, filter_bytes: int = FILTER_BYTES) -> tuple[np
         total -= lv * n
         least = next((s[2] for s in steps if s[0] > lv), 1 << 62)
     per = SEGMENT * 8 // _LINE
-    lines = min(max(1, -(-total * BITS_PER_ITEM // _LINE)), filter_bytes * 8 // _LINE)
+    lines = max(1, min(-(-total * BITS_PER_ITEM // _LINE), filter_bytes * 8 // _LINE))
     items = table.filter(F.col("count") >= least).select("kind", "hash", "count").mapInArrow(_item_rows(lines, per), "segment int, items binary")
     built = items.repartition("segment").sortWithinPartitions("segment").mapInArrow(_build(lines, per), "segment int, bits binary")
     out = np.zeros(-(-lines // per) * SEGMENT, dtype=np.uint8)
@@ -231,58 +262,104 @@ def probe(bits: np.ndarray, lines: int, hashes: np.ndarray, kind: int) -> np.nda
             at = line * _LINE + s
             hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         live = live[hit]
-        out[live] = BASE ** (level - 0.5) if level > 1 else 1.0
+        out[live] = _middle(level)
     return out
 
 
-_ROW = "is_doc boolean, doc_id long, row long, held_out boolean, hash long, n_tokens long, n_known long, base double, score double, times long"
+def _lookup(hashes: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Counts of ``wanted`` in sorted ``hashes``, 0 for those that are not there."""
+    if not len(hashes):
+        return np.zeros(len(wanted))
+    spot = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return np.where(hashes[spot] == wanted, counts[spot], 0)
 
 
-def _score(shared, n_train: int, n_words: int):
-    def run(batches):
+def _texts_of(table: pa.Table):
+    """Texts of a chunk and whether each is held out."""
+    table = table.combine_chunks()
+    return table.column("text").cast(pa.binary()).to_pylist(), table.column("held_out").to_numpy().astype(bool)
+
+
+def _asked_pairs(bits, lines, least, tokens, sizes, held):
+    """A chunk's pairs that need an answer.
+
+    Pairs seen ``least`` times are in the filter. With a least of two, a training text's
+    own pair is in it or seen once; with one, no pair is missing.
+    """
+    open_ = np.repeat((held & (least > 1)) | (least > 2), sizes)
+    pair = np.unique(_pairs(tokens)[open_])
+    return pair[probe(bits, lines, pair, 2) == 0]
+
+
+def _ask(shared, least: int, slices: int):
+    """A chunk -> (chunk, kind, slice, blob of sorted hashes) of what the broadcasts do not say."""
+
+    def run(table):
+        bits, lines, frequent, _ = shared.value
+        texts, held = _texts_of(table)
+        tokens, sizes = _tokens(texts)
+        word = np.unique(tokens)
+        asked = word[_lookup(frequent, np.ones(len(frequent)), word) == 0], _asked_pairs(bits, lines, least, tokens, sizes, held)
+        rows = [(k + 1, s, h[a:b].tobytes()) for k, h in enumerate(asked) for s, a, b in _sliced(h, slices)]
+        kinds, where, blobs = zip(*rows) if rows else ((), (), ())
+        chunk = np.full(len(rows), table.column("chunk")[0].as_py(), np.int32)
+        return pa.table([pa.array(chunk), pa.array(kinds, pa.int32()), pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "kind", "slice", "hashes"])
+
+    return run
+
+
+def _answer(asked, table):
+    """What chunks ask of one (kind, slice), and its counts -> (chunk, kind, slice, blob of counts)."""
+    hashes, found = table.column("hash").to_numpy().view(np.uint64), table.column("count").to_numpy()
+    order = np.argsort(hashes)
+    hashes, found = hashes[order], found[order]
+    blobs = [_lookup(hashes, found, np.frombuffer(h, "<u8")).astype("<i8").tobytes() for h in asked.column("hashes").to_pylist()]
+    return pa.table([*(asked.column(c) for c in ("chunk", "kind", "slice")), pa.array(blobs, pa.binary())], ["chunk", "kind", "slice", "counts"])
+
+
+_ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(shared, least: int, n_train: int, n_words: int):
+    """A chunk and the answers to what it asked, in its order -> one row per text."""
+
+    def run(table, answers):
         bits, lines, frequent, frequent_count = shared.value
         floor = n_train + 0.5 * (n_words + 1)
-        for batch in batches:
-            raw = batch.column(3).cast(pa.binary()).to_pylist()
-            for texts, at in _pieces(raw):
-                tokens, sizes = _tokens(texts)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                word, back = np.unique(tokens, return_inverse=True)
-                spot = np.minimum(np.searchsorted(frequent, word), max(len(frequent) - 1, 0))
-                known = frequent[spot] == word if len(frequent) else np.zeros(len(word), bool)
-                exact = np.where(known, frequent_count[spot], 0) if len(frequent) else np.zeros(len(word))
-                share = np.where(known, np.log10((exact + 0.5) / floor), 0.0)
-                base = np.bincount(doc, share[back], len(sizes))
-                n_known = np.bincount(doc, known[back], len(sizes)).astype(np.int64)
-                seen = probe(bits, lines, word, 1)
-                uni = (seen + 0.5) / floor
-                first = np.r_[0, np.cumsum(sizes)[:-1]]
-                end = np.searchsorted(word, _END)
-                before = np.r_[end, back[:-1]]
-                before[first] = end
-                pair, where = np.unique(_pairs(tokens), return_inverse=True)
-                together = probe(bits, lines, pair, 2)[where]
-                context = seen[before]
-                # Pairs of a context cannot outnumber it; the rest of the mass follows the words.
-                p = (np.minimum(together, context) + PRIOR * uni[back]) / (context + PRIOR)
-                score = np.bincount(doc, np.log10(p), len(sizes))
-                n = len(sizes)
-                keys = [batch.column(c).slice(at, n) for c in range(3)]
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(n, bool)), *keys, none, pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(score), none], _NAMES
-                )
-                # Words outside the broadcast: one row per document and word.
-                rare = ~known[back]
-                if rare.any():
-                    code, times = np.unique(doc[rare] * len(word) + back[rare], return_counts=True)
-                    who, which = pa.array(code // len(word)), code % len(word)
-                    m = len(code)
-                    zero = pa.nulls(m, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.zeros(m, bool)), *[k.take(who) for k in keys], pa.array(word[which].view(np.int64)), zero, zero, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(times)],
-                        _NAMES,
-                    )
+        texts, held = _texts_of(table)
+        said = {1: b"", 2: b""}
+        for kind, _, blob in sorted(zip(*[answers.column(c).to_pylist() for c in ("kind", "slice", "counts")])):
+            said[kind] += blob
+        tokens, sizes = _tokens(texts)
+        n = len(sizes)
+        doc = np.repeat(np.arange(n), sizes)
+        word, back = np.unique(tokens, return_inverse=True)
+        exact = _lookup(frequent, frequent_count, word).astype(np.float64)
+        exact[exact == 0] = np.frombuffer(said[1], "<i8")
+        base = np.bincount(doc, np.log10((exact + 0.5) / floor)[back], n)
+        n_known = np.bincount(doc, (exact > 0)[back], n).astype(np.int64)
+        seen = probe(bits, lines, word, 1)
+        below = (seen == 0) & (exact > 0)
+        seen[below] = _middle(_levels(exact[below]))
+        uni = (seen + 0.5) / floor
+        first = np.r_[0, np.cumsum(sizes)[:-1]]
+        end = np.searchsorted(word, _END)
+        before = np.r_[end, back[:-1]]
+        before[first] = end
+        pair, where = np.unique(_pairs(tokens), return_inverse=True)
+        together = probe(bits, lines, pair, 2)
+        asked = pair[together == 0] if least > 2 else _asked_pairs(bits, lines, least, tokens, sizes, held)
+        exact = _lookup(asked, np.frombuffer(said[2], "<i8"), pair)
+        below = (together == 0) & (exact > 0)
+        together[below] = _middle(_levels(exact[below]))
+        # A training text holds its own pairs: one that no one counted is there once.
+        together = np.maximum(together[where], ~held[doc])
+        context = seen[before]
+        # Pairs of a context cannot outnumber it; the rest of the mass follows the words.
+        p = (np.minimum(together, context) + PRIOR * uni[back]) / (context + PRIOR)
+        score = np.bincount(doc, np.log10(p), n)
+        trained = np.full(n, n_train, np.int64)
+        return pa.table([table.column("doc_id"), table.column("held_out"), *map(pa.array, (sizes, n_known, trained, base, score))], _NAMES)
 
     return run
 
@@ -304,7 +381,8 @@ def score(docs: DataFrame, held_out=None, filter_bytes: int = FILTER_BYTES) -> D
         held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
     held = F.coalesce(held_out, F.lit(False))
     chars = docs.agg(F.sum(F.length("text"))).collect()[0][0] or 0
-    table = counts(docs.filter(~held), chars)
+    slices = max(1, chars // 12_000_000)  # about two million different pairs each
+    table = counts(docs, held, slices)
     words = table.filter("kind = 1")
     n_train, n_words = words.agg(F.sum("count"), F.count(F.lit(1))).collect()[0]
     n_train, n_words = n_train or 0, n_words or 0
@@ -318,23 +396,12 @@ def score(docs: DataFrame, held_out=None, filter_bytes: int = FILTER_BYTES) -> D
     top = words.filter(F.col("count") >= least).select("hash", "count").toPandas()  # at most FREQUENT rows
     order = np.argsort(top["hash"].to_numpy().astype(np.int64).view(np.uint64))
     frequent = top["hash"].to_numpy().astype(np.int64).view(np.uint64)[order]
-    bits, lines, _ = build_filter(table, filter_bytes)
+    bits, lines, entered = build_filter(table, filter_bytes)
     shared = spark.sparkContext.broadcast((bits, lines, frequent, top["count"].to_numpy().astype(np.float64)[order]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), held.alias("held_out"), text_of().alias("text"))
-    rows = rows.mapInArrow(_score(shared, n_train, n_words), _ROW)
-    # A document's own row has no word: spread such rows by the document instead.
-    rows = rows.withColumn("at", F.coalesce("hash", "row"))
-    rare = words.filter(F.col("count") < least).select(F.col("hash").alias("at"), F.col("count").alias("c"))
-    found = rows.join(rare.hint("merge"), "at", "left")
-    c = F.when(~F.col("is_doc"), F.coalesce("c", F.lit(0)))
-    floor = float(n_train + 0.5 * (n_words + 1))
-    part = F.col("times") * F.log10((c + 0.5) / F.lit(floor))
-    got = found.groupBy("doc_id", "row", "held_out").agg(
-        F.count_if("is_doc").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("known"), F.max("base").alias("base"), F.max("score").alias("score"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(part).alias("rare_base"),
-    )
-    got = got.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return got.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + (F.col("rare_known") / F.col("copies")).cast("long")).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce(F.col("rare_base") / F.col("copies"), F.lit(0.0))).alias("base_score"), "score",
-    )
+    doc_id, chunk = F.col("doc_id").cast("long"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chars // CHUNK + 1)).cast("int")
+    rows = docs.select(doc_id.alias("doc_id"), held.alias("held_out"), text_of().alias("text"), chunk.alias("chunk"))
+    asked = rows.groupBy("chunk").applyInArrow(_ask(shared, entered, slices), "chunk int, kind int, slice int, hashes binary")
+    rest = table.filter(F.col("count") < F.when(F.col("kind") == 1, F.lit(least)).otherwise(F.lit(entered)))
+    rest = rest.withColumn("slice", F.shiftright(F.shiftrightunsigned("hash", 32) * slices, 32).cast("int"))
+    answers = asked.groupBy("kind", "slice").cogroup(rest.groupBy("kind", "slice")).applyInArrow(_answer, "chunk int, kind int, slice int, counts binary")
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shared, entered, n_train, n_words), _ROW)

@@ -81,3 +81,36 @@ def test_conditional_distribution_sums_to_at_most_one():
     pairs = np.array([10.0, 25.0, 15.0, 0.0])
     p = (pairs + lm.PRIOR * uni) / (50 + lm.PRIOR)
     assert p.sum() == pytest.approx(1.0)
+
+
+def test_a_small_filter_loses_no_count(spark):
+    """What does not enter the filter is looked up: scores agree with those of a filter that holds everything."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scores = lambda rows: {r.doc_id: (r.score, r.n_tokens) for r in rows.collect()}
+    whole, small = scores(lm.score(docs)), scores(lm.score(docs, filter_bytes=1 << 16))
+    assert whole.keys() == small.keys()
+    # A few n-grams are false positives of either filter.
+    assert sum(abs(whole[k][0] - small[k][0]) for k in whole) < 0.02 * sum(n for _, n in whole.values())
+
+
+def test_pairs_seen_once_count(spark):
+    """A pair that one training text has is known to a held-out text with it, and to its own text."""
+    ids = [i for i in range(200)]
+    inside, outside = [i for i in ids if not held(i)], [i for i in ids if held(i)]
+    rows = [(inside[0], "salt pepper"), (inside[1], "pepper salt"), (inside[2], "salt"), (inside[3], "pepper"), (outside[0], "salt pepper"), (outside[1], "salt salt pepper pepper")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    assert got == pytest.approx({r.doc_id: r.score for r in lm.score(docs, filter_bytes=0).collect()})
+    n, words = 10, {"salt": 3, "pepper": 3, None: 4}
+    middle = lambda c: 1.0 if c == 1 else lm.BASE ** (int(lm._levels(np.array([c]))[0]) - 0.5)
+    seen = Counter((a, b) for i, t in rows if not held(i) for a, b in zip([None, *t.split()], [*t.split(), None]))
+
+    def score(text):
+        total = 0.0
+        for a, b in zip([None, *text.split()], [*text.split(), None]):
+            pair = middle(seen[a, b]) if seen[a, b] else 0.0
+            uni = (middle(words[b]) + 0.5) / (n + 0.5 * 4)
+            total += math.log10((min(pair, middle(words[a])) + lm.PRIOR * uni) / (middle(words[a]) + lm.PRIOR))
+        return total
+
+    assert got == pytest.approx({i: score(t) for i, t in rows})
