@@ -395,3 +395,18 @@ def test_one_null_rule_for_linear_maps(spark, monkeypatch, limit):
     assert all(same(a, b) for g, w in zip(got, want) for a, b in zip(g, w))
     with pytest.raises(Exception, match="array length"):
         spark.createDataFrame([([1.0],)], "x array<double>").select(linear.apply_matrix(F.col("x"), m)).collect()
+
+
+def test_filters_take_bounded_pieces_of_a_batch():
+    """However many recordings a batch holds, few numbers are worked on at once, each row once."""
+    import pyarrow as pa
+
+    sizes = [1200] * 2000 + [800] * 500
+    x = pa.array([np.full(n, float(i)) for i, n in enumerate(sizes)]).slice(3)
+    seen = []
+    for at, rows, places, (last,) in filters._alike(x, 4, [i % 2 for i in range(len(x))]):
+        assert rows.size <= filters._NUMBERS and rows.shape[0] == 4 * len(at)
+        assert (rows[::4, 0] == at + 3).all() and (x.values.to_numpy()[places[:, 0]] == at + 3).all()
+        assert (at % 2 == last).all()
+        seen += at.tolist()
+    assert sorted(seen) == list(range(len(x)))
