@@ -410,3 +410,26 @@ def test_filters_take_bounded_pieces_of_a_batch():
         assert (at % 2 == last).all()
         seen += at.tolist()
     assert sorted(seen) == list(range(len(x)))
+
+
+def test_windows_of_one_montage_are_dealt_to_many_groups(spark):
+    """A montage that all windows share must not bring them into one task."""
+    from signalframe.operators import spatial
+
+    montage = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "montage_id int, pos int, channel string")
+    geo = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 0.5), (1, 1, 0, 0.5), (1, 1, 1, 1.0)], "montage_id int, ch_i int, ch_j int, value double")
+    windows = spark.range(300).selectExpr("id recording_id", "0 start", "1 montage_id")
+    dyn = windows.selectExpr("recording_id", "start", "explode(array(struct('a' ch_i, 'a' ch_j, 1.0D value), struct('a' ch_i, 'b' ch_j, 0.25D value), struct('b' ch_i, 'b' ch_j, 2.0D value))) e").select("recording_id", "start", "e.*")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = spatial.total_affinity(geo, dyn, montage, windows, 0.5, 2.0, ("recording_id", "start"))
+        plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+        rows = {(r.recording_id, r.ch_i, r.ch_j): r.value for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    import re
+
+    dealt = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert any("__share" in d for d in dealt) and not any("montage_id" in d and "__share" not in d for d in dealt)
+    assert rows == {(k, *e): v for k in range(300) for e, v in {(0, 0): 2.5, (0, 1): 0.75, (1, 0): 0.75, (1, 1): 4.5}.items()}
