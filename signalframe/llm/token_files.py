@@ -11,6 +11,7 @@ place in the whole corpus.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,19 @@ REMEMBERED_RUNS = 600_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+class _Places(dict):
+    """Word -> number; a new word gets the next one and is noted for learning."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = place = len(self)
+        return place
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose words never cross white space.
 
@@ -53,24 +67,26 @@ class WordEncoder:
         self.forget()
 
     def forget(self):
-        self.places: dict[bytes, int] = {}
+        self.places, self.learned = _Places(), 0
         self.ids = np.zeros(1 << 20, dtype=np.int32)
         self.ends = np.zeros(1 << 16, dtype=np.int64)
 
     def _append(self, ids: np.ndarray, lengths: np.ndarray):
-        n, at = len(self.places), 0 if not self.places else int(self.ends[len(self.places) - 1])
+        n = self.learned
+        at = int(self.ends[n - 1]) if n else 0
         while at + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(lengths) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.ids[at : at + len(ids)] = ids
         self.ends[n : n + len(lengths)] = at + np.cumsum(lengths)
+        self.learned += len(lengths)
 
     def _one(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
 
     def learn(self, words: list[bytes]):
-        """Encode new different words. Ids are kept as bytes, which join fast and lie close."""
+        """Encode new different words, in the order of their numbers. Ids are kept as bytes, which join fast and lie close."""
         if len(self.runs) > REMEMBERED_RUNS:
             self.runs = {}
         runs, heads, tails, other, marks = self.runs, [], [], [], self._MARKS
@@ -101,25 +117,24 @@ class WordEncoder:
         found = [(next(alone) if h is None else runs[h]) + runs[t] for h, t in zip(heads, tails)]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self._append(np.frombuffer(b"".join(found), dtype=np.int32), sizes)
-        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words))))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of each text."""
         if len(self.places) > REMEMBERED:
             self.forget()
         split = [t.split() for t in texts]
-        flat = [w for words in split for w in words]
+        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         places = self.places
-        new = [w for w in dict.fromkeys(flat) if w not in places]
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(places.__getitem__, flat), dtype=np.int64, count=len(flat))
+        at = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
+        if places.new:
+            self.learn(places.new)
+            places.new = []
         ends = self.ends[: len(places)]
         starts = np.r_[0, ends[:-1]] if len(ends) else ends
         lengths = ends[at] - starts[at]
         total = np.r_[0, np.cumsum(lengths)]
         where = np.repeat(starts[at] - total[:-1], lengths) + np.arange(total[-1])
-        counts = np.diff(total[np.r_[0, np.cumsum([len(w) for w in split])].astype(np.int64)])
+        counts = np.diff(total[np.r_[0, np.cumsum(sizes)]])
         return self.ids[where], counts
 
 
