@@ -142,3 +142,28 @@ def test_a_word_of_a_million_letters(lat):
     assert time.process_time() - start < 90
     assert [lat.decode(np.concatenate([lat.piece.data[lat.piece_at.data[e]]])) == text.encode() for e, _, _ in done[0]] == [True, True]
     lat.forget()
+
+
+def test_log_probabilities_are_double(lat):
+    """Shares are kept and added up as doubles, also where masses change from plain to logarithms."""
+    want = every(sentencepiece.SentencePieceProcessor(model_file=MODEL), "the on")
+    done, _ = lat.sample(["the on"], np.array([3], np.uint64), 6)
+    assert all(math.exp(lp) == pytest.approx(want[ids_of(lat, e)], rel=1e-12) for e, lp, _ in done[0])
+    assert 30 < lat.safe < 60
+    text = "".join(np.random.default_rng(4).choice(list("etaoinshé日"), 200))
+    other = pieces.Lattices(MODEL, 1.0)
+    other.safe = 0
+    keys = np.array([9], np.uint64)
+    (plain, a), (logs, b) = lat.sample([text], keys, 3), other.sample([text], keys, 3)
+    for (e, lp, v), (f, lq, w) in zip(plain[0], logs[0]):
+        assert ids_of(lat, e) == ids_of(other, f) and lp == pytest.approx(lq, rel=1e-12) and v == pytest.approx(w, rel=1e-9)
+    assert a[0] == pytest.approx(b[0], rel=1e-9)
+
+
+def test_forgetting_keeps_the_arrays():
+    lat = pieces.Lattices(MODEL, 1.0)
+    lat.words(["the cat sat on the mat" * 2000])
+    held = lat.odds.data
+    lat.forget()
+    lat.words(["the mat"])
+    assert lat.odds.data is held and lat.odds.n < 100
