@@ -89,3 +89,69 @@ def keep(df: DataFrame, what: str = "table") -> DataFrame:
 
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: A-Z in lower case, and the bytes between words.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_IS_GAP = np.zeros(256, dtype=bool)
+_IS_GAP[[9, 10, 11, 12, 13, 32]] = True
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Longer words are hashed one by one.
+LONG_BYTES = 256
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose bits all depend on all bits."""
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Different values, sorted; ``np.unique`` without counts goes through a hash table, which takes far longer."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+class Words:
+    """Where the words of some texts lie, found on their bytes at once.
+
+    ``start`` and ``size`` are in ``data``, the texts one after another; ``counts`` is the
+    number of words of each text.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = False):
+        raw = b" ".join([*texts, bytes(8)])
+        self.data = np.frombuffer(raw, dtype=np.uint8)
+        if lower:
+            self.data = LOWER[self.data]
+        n = len(raw) - 8
+        gap = np.r_[True, _IS_GAP[self.data[:n]]]
+        change = np.flatnonzero(gap[1:] != gap[:-1])
+        self.start, self.size = change[::2], change[1::2] - change[::2]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        self.counts = np.diff(np.searchsorted(self.start, np.r_[0, ends]))
+
+    def eights(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next eight bytes of words as numbers, zero beyond their ends."""
+        by_byte = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
+        return by_byte[at] & _FIRST[np.minimum(left, 8)]
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes; words of at most eight bytes and equal size have different ones."""
+        import xxhash
+
+        h = mix64(self.size.astype(np.uint64) * _GOLD + self.eights(self.start, self.size))
+        live, k = np.flatnonzero((self.size > 8) & (self.size <= LONG_BYTES)), 8
+        while len(live):
+            h[live] = mix64(h[live] * _GOLD + self.eights(self.start[live] + k, self.size[live] - k))
+            k += 8
+            live = live[self.size[live] > k]
+        for i in np.flatnonzero(self.size > LONG_BYTES).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.start[i] + self.size[i]].tobytes())
+        return h

@@ -22,11 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, text_of
+from .common import Words, distinct, keep, mix64, text_of
 
 FREQUENT = 1 << 18
 FILTER_BYTES = 1 << 25
@@ -45,29 +44,21 @@ _END = np.uint64(0x5851F42D4C957F2D)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(h):
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def _tokens(texts: list[bytes]):
     """Word hashes of all texts with one end token after each, and the texts' lengths in tokens."""
-    digest = xxhash.xxh3_64_intdigest
-    split = [t.lower().split() for t in texts]
-    sizes = np.array([len(s) + 1 for s in split], dtype=np.int64)
-    known: dict[bytes, int] = {w: digest(w) for w in {w for s in split for w in s}}
+    words = Words(texts, lower=True)
+    sizes = words.counts + 1
     out = np.full(int(sizes.sum()), _END, dtype=np.uint64)
     inside = np.ones(len(out), dtype=bool)
     inside[np.cumsum(sizes) - 1] = False
-    out[inside] = np.fromiter((known[w] for s in split for w in s), dtype=np.uint64, count=int(sizes.sum()) - len(split))
+    out[inside] = words.hashes()
     return out, sizes
 
 
 def _pairs(tokens: np.ndarray) -> np.ndarray:
     """Hash of (token before, token); the end stands before a text's first token."""
     before = np.r_[_END, tokens[:-1]]  # a text's last token is the end
-    return _mix(before * _GOLD + tokens)
+    return mix64(before * _GOLD + tokens)
 
 
 def _pieces(texts, most=1 << 22):
@@ -178,12 +169,12 @@ def _middle(level):
 def _bits(items: np.ndarray, lines: int):
     """Line of each item and its bit positions inside."""
     line = ((items >> np.uint64(32)) * np.uint64(lines)) >> np.uint64(32)
-    low = _mix(items + _GOLD)
+    low = mix64(items + _GOLD)
     return line.astype(np.int64), [((low >> np.uint64(9 * i)) & np.uint64(_LINE - 1)).astype(np.int64) for i in range(PROBES)]
 
 
 def _item(hashes: np.ndarray, kind, level) -> np.ndarray:
-    return _mix(hashes + np.asarray(kind, np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.asarray(level, np.uint64) * _GOLD)
+    return mix64(hashes + np.asarray(kind, np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.asarray(level, np.uint64) * _GOLD)
 
 
 def _item_rows(lines: int, per: int):
@@ -287,7 +278,7 @@ def _asked_pairs(bits, lines, least, tokens, sizes, held):
     own pair is in it or seen once; with one, no pair is missing.
     """
     open_ = np.repeat((held & (least > 1)) | (least > 2), sizes)
-    pair = np.unique(_pairs(tokens)[open_])
+    pair = distinct(_pairs(tokens)[open_])
     return pair[probe(bits, lines, pair, 2) == 0]
 
 
@@ -298,7 +289,7 @@ def _ask(shared, least: int, slices: int):
         bits, lines, frequent, _ = shared.value
         texts, held = _texts_of(table)
         tokens, sizes = _tokens(texts)
-        word = np.unique(tokens)
+        word = distinct(tokens)
         asked = word[_lookup(frequent, np.ones(len(frequent)), word) == 0], _asked_pairs(bits, lines, least, tokens, sizes, held)
         rows = [(k + 1, s, h[a:b].tobytes()) for k, h in enumerate(asked) for s, a, b in _sliced(h, slices)]
         kinds, where, blobs = zip(*rows) if rows else ((), (), ())

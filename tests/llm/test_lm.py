@@ -114,3 +114,22 @@ def test_pairs_seen_once_count(spark):
         return total
 
     assert got == pytest.approx({i: score(t) for i, t in rows})
+
+
+def test_words_are_found_and_hashed_on_bytes():
+    """Places, counts and hashes of words, found on all texts' bytes at once."""
+    from signalframe.llm.common import Words, distinct
+
+    long = b"x" * 255
+    texts = [b" The\x0bcat\x1cB\x85 \t", b"", b" \n ", "Éé日 abcdefgh abcdefghi".encode(), b"\x00 \x00\x00 a a\x00", long + b" " + long + b"y " + long + b"yz " + b"z" * 70_000, b"the cat\x1cb\x85"]
+    want = [t.lower().split() for t in texts]
+    words = Words(texts, lower=True)
+    got = [words.data[a : a + n].tobytes() for a, n in zip(words.start, words.size)]
+    assert got == [w for t in want for w in t] and words.counts.tolist() == [len(t) for t in want]
+    hashes = words.hashes()
+    assert len({*hashes.tolist()}) == len({*got}) == len({*zip(got, hashes.tolist())})
+    assert Words([]).hashes().tolist() == Words([b""]).hashes().tolist() == []
+    alone = [h for t in texts for h in Words([t], lower=True).hashes().tolist()]
+    assert alone == hashes.tolist()
+    values = np.array([3, 1, 3, 2**63], np.uint64)
+    assert distinct(values).tolist() == [1, 3, 2**63] and distinct(values[:0]).tolist() == []
