@@ -155,3 +155,28 @@ class Words:
         for i in np.flatnonzero(self.size > LONG_BYTES).tolist():
             h[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.start[i] + self.size[i]].tobytes())
         return h
+
+    def same(self, other: np.ndarray) -> bool:
+        """Whether every word is, byte by byte, the word whose index ``other`` gives."""
+        if (self.size != self.size[other]).any():
+            return False
+        live, k = np.flatnonzero(other != np.arange(len(other))), 0
+        while len(live):
+            left = self.size[live] - k
+            if (self.eights(self.start[live] + k, left) != self.eights(self.start[other[live]] + k, left)).any():
+                return False
+            k += 8
+            live = live[(self.size[live] > k) & (self.size[live] <= LONG_BYTES)]
+        long = np.flatnonzero(self.size > LONG_BYTES)
+        return all(np.array_equal(*(self.data[self.start[i] : self.start[i] + self.size[i]] for i in pair)) for pair in zip(long, other[long]))
+
+    def numbered(self) -> tuple[list[bytes], np.ndarray]:
+        """Different words and every word's place among them."""
+        values, place = np.unique(self.hashes(), return_inverse=True)
+        one = np.zeros(len(values), np.int64)
+        one[place] = np.arange(len(place))
+        if not self.same(one[place]):  # two words share a hash: one by one
+            one = np.arange(len(place))
+            place = one
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.start[one].tolist(), (self.start + self.size)[one].tolist())], place

@@ -11,7 +11,6 @@ place in the whole corpus.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import Words, text_of
 
 #: Words a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
@@ -85,6 +84,10 @@ class WordEncoder:
     def _one(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
 
+    def _many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the fast call does not work out where tokens lie."""
+        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, words: list[bytes]):
         """Encode new different words, in the order of their numbers. Ids are kept as bytes, which join fast and lie close."""
         if len(self.runs) > REMEMBERED_RUNS:
@@ -101,9 +104,8 @@ class WordEncoder:
                 tails.append("")
                 other.append(w.decode("utf-8", "replace"))
         new = [r for r in dict.fromkeys(heads) if r is not None and r not in runs]
-        for at in range(0, len(new), 256):
-            some = new[at : at + 256]
-            ids = self._one(" ".join(some))
+        parts = [new[at : at + 64] for at in range(0, len(new), 64)]
+        for some, ids in zip(parts, self._many([" ".join(some) for some in parts])):
             ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
             if len(ends) == len(some):
                 raw = ids.tobytes()
@@ -113,7 +115,7 @@ class WordEncoder:
         runs[""] = b""
         for mark in set(tails) - runs.keys():
             runs[mark] = self._one(mark).tobytes()
-        alone = iter([np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch(other, add_special_tokens=False)])
+        alone = iter([ids.tobytes() for ids in self._many(other)])
         found = [(next(alone) if h is None else runs[h]) + runs[t] for h, t in zip(heads, tails)]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self._append(np.frombuffer(b"".join(found), dtype=np.int32), sizes)
@@ -122,10 +124,10 @@ class WordEncoder:
         """All ids and the number of each text."""
         if len(self.places) > REMEMBERED:
             self.forget()
-        split = [t.split() for t in texts]
-        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        words = Words(texts)
+        found, of = words.numbered()
         places = self.places
-        at = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
+        at = np.fromiter(map(places.__getitem__, found), dtype=np.int64, count=len(found))[of]
         if places.new:
             self.learn(places.new)
             places.new = []
@@ -134,7 +136,7 @@ class WordEncoder:
         lengths = ends[at] - starts[at]
         total = np.r_[0, np.cumsum(lengths)]
         where = np.repeat(starts[at] - total[:-1], lengths) + np.arange(total[-1])
-        counts = np.diff(total[np.r_[0, np.cumsum(sizes)]])
+        counts = np.diff(total[np.r_[0, np.cumsum(words.counts)]])
         return self.ids[where], counts
 
 

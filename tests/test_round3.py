@@ -73,3 +73,29 @@ def test_result_texts_are_joined_before_they_are_parsed(spark):
     assert moved and not any("settings" in m for m in moved)
     assert sorted((r.run_id, r.reason, r.stale) for r in rows) == sorted(
         [(i, "differs: SEED", True) for i in range(40) if i != 7] + [(i, "uncheckable: NONE", False) for i in range(40)])
+
+
+def test_operators_are_applied_to_arrow_arrays(spark, monkeypatch):
+    """No pandas objects per channel; pieces smaller than a batch, shapes and operators mixed, more outputs than channels."""
+    import numpy as np
+
+    from signalframe.operators import spatial
+
+    monkeypatch.setattr(spatial, "_NUMBERS", 7)
+    rng = np.random.default_rng(2)
+    shape = {"a": (3, 4), "b": (2, 5), "c": (3, 0)}
+    rows = [(k, name, rng.normal(size=shape[name]).tolist()) for k, name in enumerate("abacbaabcab")]
+    entries = [("a", 0, 2, 2.0), ("a", 3, 1, -1.0), ("b", 1, 0, 0.5), ("c", 0, 0, 1.0)]
+    packed = spark.createDataFrame(rows, "id int, operator_id string, x array<array<double>>").coalesce(1)
+    op = spark.createDataFrame(entries, "operator_id string, out_ch int, in_ch int, w double")
+    out = spatial.apply_operator(packed, op)
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    got = {r.id: r.x for r in out.collect()}
+    assert len(got) == len(rows)
+    for k, name, x in rows:
+        n, length = shape[name]
+        matrix = np.zeros((4 if name == "a" else n, n))
+        for o, i, w in [e[1:] for e in entries if e[0] == name]:
+            matrix[o, i] = w
+        assert np.allclose(np.array(got[k]).reshape(len(matrix), length), matrix @ np.array(x).reshape(n, length))
