@@ -156,27 +156,79 @@ class Words:
             h[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.start[i] + self.size[i]].tobytes())
         return h
 
-    def same(self, other: np.ndarray) -> bool:
-        """Whether every word is, byte by byte, the word whose index ``other`` gives."""
-        if (self.size != self.size[other]).any():
-            return False
-        live, k = np.flatnonzero(other != np.arange(len(other))), 0
+    def alike(self, at: np.ndarray, other: "Words", to: np.ndarray) -> np.ndarray:
+        """Whether the words at ``at`` are, byte by byte, the words of ``other`` at ``to``."""
+        good = self.size[at] == other.size[to]
+        live, k = np.flatnonzero(good & (self.size[at] <= LONG_BYTES)), 0
         while len(live):
-            left = self.size[live] - k
-            if (self.eights(self.start[live] + k, left) != self.eights(self.start[other[live]] + k, left)).any():
-                return False
+            a, b = at[live], to[live]
+            left = self.size[a] - k
+            good[live] = self.eights(self.start[a] + k, left) == other.eights(other.start[b] + k, left)
             k += 8
-            live = live[(self.size[live] > k) & (self.size[live] <= LONG_BYTES)]
-        long = np.flatnonzero(self.size > LONG_BYTES)
-        return all(np.array_equal(*(self.data[self.start[i] : self.start[i] + self.size[i]] for i in pair)) for pair in zip(long, other[long]))
+            live = live[good[live] & (left > 8)]
+        for i in np.flatnonzero(good & (self.size[at] > LONG_BYTES)).tolist():
+            good[i] = self.word(at[i]) == other.word(to[i])
+        return good
 
-    def numbered(self) -> tuple[list[bytes], np.ndarray]:
-        """Different words and every word's place among them."""
-        values, place = np.unique(self.hashes(), return_inverse=True)
-        one = np.zeros(len(values), np.int64)
-        one[place] = np.arange(len(place))
-        if not self.same(one[place]):  # two words share a hash: one by one
-            one = np.arange(len(place))
-            place = one
+    def word(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.start[i] + self.size[i]].tobytes()
+
+    def bytes_of(self, some: np.ndarray) -> list[bytes]:
         raw = self.data.tobytes()
-        return [raw[a:b] for a, b in zip(self.start[one].tolist(), (self.start + self.size)[one].tolist())], place
+        return [raw[a:b] for a, b in zip(self.start[some].tolist(), (self.start + self.size)[some].tolist())]
+
+
+class Numbers:
+    """Numbers of the different words met so far, in numpy arrays.
+
+    A word is found by its hash and compared byte by byte; one whose hash belongs to
+    another word gets a new number each time.
+    """
+
+    def __init__(self):
+        self.n = 0
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.kept = Words([])  # known words in the order of their hashes' arrival
+        self.row = np.zeros(0, np.int64)
+
+    def of(self, words: Words) -> tuple[np.ndarray, list[bytes]]:
+        """Every word's number, and the words that got new ones, in their order."""
+        values, back = np.unique(words.hashes(), return_inverse=True)
+        every = np.arange(len(back))
+        one = np.zeros(len(values), np.int64)
+        one[back[::-1]] = every[::-1]  # where a hash is met first
+        place = np.full(len(values), -1)
+        if len(self.known):
+            spot = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
+            there = np.flatnonzero(self.known[spot] == values)
+            spot = spot[there]
+            same = words.alike(one[there], self.kept, self.row[spot])
+            place[there[same]] = self.place[spot[same]]
+            taken = there[~same]
+        else:
+            taken = np.zeros(0, np.int64)
+        new = np.flatnonzero(place < 0)
+        new = new[np.argsort(one[new])]
+        place[new] = self.n + np.arange(len(new))
+        fresh = words.bytes_of(one[new])
+        out = place[back]
+        odd = np.flatnonzero(~words.alike(every, words, one[back]))
+        out[odd] = self.n + len(new) + np.arange(len(odd))
+        stay = new[~np.isin(new, taken)]
+        self._keep(values[stay], place[stay], words, one[stay])
+        self.n += len(new) + len(odd)
+        return out, fresh + words.bytes_of(odd)
+
+    def _keep(self, hashes, place, words: Words, at):
+        if not len(hashes):
+            return
+        size = words.size[at]
+        row = len(self.kept.start) + np.arange(len(at))
+        before = np.cumsum(size) - size
+        flat = words.data[np.repeat(words.start[at] - before, size) + np.arange(int(size.sum()))]
+        kept, end = self.kept, len(self.kept.data) - 8
+        kept.start, kept.size = np.r_[kept.start, end + before], np.r_[kept.size, size]
+        kept.data = np.r_[kept.data[:end], flat, np.zeros(8, np.uint8)]
+        known = np.r_[self.known, hashes]
+        order = np.argsort(known)
+        self.known, self.place, self.row = known[order], np.r_[self.place, place][order], np.r_[self.row, row][order]

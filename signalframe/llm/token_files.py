@@ -19,28 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, text_of
+from .common import Numbers, Words, text_of
 
 #: Words a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Letter runs it remembers, which make a forgotten word cheap to learn again.
 REMEMBERED_RUNS = 600_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
-class _Places(dict):
-    """Word -> number; a new word gets the next one and is noted for learning."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = place = len(self)
-        return place
-
-
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose words never cross white space.
 
@@ -50,7 +37,7 @@ class WordEncoder:
     runs go in one text and part at the ends of words. All other words go one by one.
     """
 
-    _MARKS = b".,!?;:"
+    _MARKS = ".,!?;:"
 
     def __init__(self, path: str):
         import os
@@ -66,7 +53,7 @@ class WordEncoder:
         self.forget()
 
     def forget(self):
-        self.places, self.learned = _Places(), 0
+        self.numbers, self.learned = Numbers(), 0
         self.ids = np.zeros(1 << 20, dtype=np.int32)
         self.ends = np.zeros(1 << 16, dtype=np.int64)
 
@@ -93,12 +80,12 @@ class WordEncoder:
         if len(self.runs) > REMEMBERED_RUNS:
             self.runs = {}
         runs, heads, tails, other, marks = self.runs, [], [], [], self._MARKS
-        for w in words:
-            letters = w.rstrip(marks)
-            run = letters.lower().decode("utf-8", "replace")  # A-Z only
+        # Lower-cased (A-Z only) and decoded all at once: no word holds a space.
+        for w, whole in zip(words, b" ".join(words).lower().decode("utf-8", "replace").split(" ")):
+            run = whole.rstrip(marks)
             if run.isalpha():
                 heads.append(run)
-                tails.append(w[len(letters) :].decode())
+                tails.append(whole[len(run) :])
             else:
                 heads.append(None)
                 tails.append("")
@@ -122,16 +109,13 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of each text."""
-        if len(self.places) > REMEMBERED:
+        if self.numbers.n > REMEMBERED:
             self.forget()
         words = Words(texts)
-        found, of = words.numbered()
-        places = self.places
-        at = np.fromiter(map(places.__getitem__, found), dtype=np.int64, count=len(found))[of]
-        if places.new:
-            self.learn(places.new)
-            places.new = []
-        ends = self.ends[: len(places)]
+        at, new = self.numbers.of(words)
+        if new:
+            self.learn(new)
+        ends = self.ends[: self.learned]
         starts = np.r_[0, ends[:-1]] if len(ends) else ends
         lengths = ends[at] - starts[at]
         total = np.r_[0, np.cumsum(lengths)]

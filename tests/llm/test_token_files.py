@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from signalframe.llm import token_files
+from signalframe.llm import common, token_files
 from signalframe.llm.common import shared_path
 
 SF = "/root/testdata/sf0.01"
@@ -67,3 +67,28 @@ def test_memory_starts_anew(monkeypatch):
     enc = token_files.WordEncoder(PATH)
     for text in ("a b c d", "e f", "a e g", ""):
         assert enc.encode([text.encode()])[0].tolist() + [1] == whole(text)
+
+
+@pytest.mark.parametrize("hashing", ["own", "few", "one"])
+def test_words_with_one_hash_stay_apart(monkeypatch, hashing):
+    """Words are compared byte by byte: hashes that meet cost time, no result."""
+    own = common.Words.hashes
+    if hashing == "few":
+        monkeypatch.setattr(common.Words, "hashes", lambda w: own(w) % np.uint64(5))
+    if hashing == "one":
+        monkeypatch.setattr(common.Words, "hashes", lambda w: own(w) * np.uint64(0))
+    rng = np.random.default_rng(6)
+    long = "x" * 300
+    every = ["the", "The", "the,", "cat!?", "don't", "12", "é日", "abcdefgh", "abcdefghi", "abcdefghj", long, long + "y", long + "z", "\x00", "\x00\x00", "A.B", "?!"]
+    numbers, enc = common.Numbers(), token_files.WordEncoder(PATH)
+    met = {}
+    for _ in range(4):
+        texts = [" ".join(rng.choice(every, n)) for n in (0, 1, 9, 30)]
+        raw = [t.encode() for t in texts]
+        at, new = numbers.of(common.Words(raw))
+        met.update(zip(range(numbers.n - len(new), numbers.n), new))
+        assert [met[i] for i in at.tolist()] == [w for t in raw for w in t.split()]
+        ids, counts = enc.encode(raw)
+        assert [ids[e - c : e].tolist() + [1] for e, c in zip(np.cumsum(counts), counts)] == [whole(t) for t in texts]
+    if hashing == "own":
+        assert numbers.n == len({*met.values()})
