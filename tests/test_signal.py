@@ -361,6 +361,27 @@ def test_filtered_blocks_of_many_recordings(spark):
             assert np.abs(mine["v"].to_numpy() - want[k]).max() < 1e-8
 
 
+@pytest.mark.parametrize("fs,cfg", [
+    (4.0, filters.Preprocess(target_rate=3.0, normalise="none")),
+    (4.0, filters.Preprocess(target_rate=7.0, normalise="none")),
+    (512.0, filters.Preprocess(notch=50.0, target_rate=64.0, normalise="none")),
+])
+def test_resampled_rest_shorter_than_the_reach(spark, fs, cfg):
+    """A recording's last block may hold fewer samples than a resampler looks ahead."""
+    frame, edge, reach = filters._layout(cfg, fs, 128)
+    rng = np.random.default_rng(4)
+    rests = sorted({0, 1, *range(edge, reach + 2, 1 if reach < 40 else 9)})
+    x = {f"r{n}": np.cumsum(rng.normal(size=(4, n)), axis=1) for rest in rests for n in (frame + rest, 2 * frame + rest)}
+    rows = [(r, t, *v[:, t].tolist()) for r, v in x.items() for t in range(v.shape[1])]
+    df = spark.createDataFrame(rows, "recording_id string, t long, a double, b double, c double, d double")
+    got = filters.preprocess(df, fs, cfg, frame=128, channels=["a", "b", "c", "d"]).toPandas()
+    parts = {k: g.sort_values("t") for k, g in got.groupby(["recording_id", "channel"])}
+    for r, v in x.items():
+        for c, want in zip("abcd", _whole(v, fs, cfg)):
+            assert list(parts[r, c]["t"]) == list(range(len(want)))
+            assert np.abs(parts[r, c]["v"].to_numpy() - want).max() < 1e-8
+
+
 def test_samples_are_shuffled_once(spark):
     """Only states, edges and moments meet the blocks: the arrays themselves do not move again."""
     import re
